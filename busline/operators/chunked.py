@@ -1,9 +1,10 @@
 """Order-dependent work on keys of any size.
 
-A bus, a stop or a passenger may own a third of all rows, so nothing here sorts or folds a whole
-key in one task. A key's history is cut into *chunks* (ranges of its order column). Rows are
-shuffled by (key, chunk); what a row needs from before its chunk comes from small per-chunk
-summaries:
+A bus, a stop or a passenger may own a third of all rows. :func:`width_for` measures that: as long as
+no key exceeds a limit that one task sorts easily, ``width`` is None and everything below is one
+plain window per key. Otherwise a key's history is cut into *chunks* (ranges of its order column),
+rows are shuffled by (key, chunk), and what a row needs from before its chunk comes from small
+per-chunk summaries:
 
 * :func:`carry`          running last / max / min / sum over everything before the row
 * :func:`next_value`     the value of the following row
@@ -11,7 +12,8 @@ summaries:
 * :func:`range_halo`     each chunk preceded by the rows of the last ``lookback`` units
 * :func:`spaced`         greedy selection with a minimum gap (cooldowns, rate limits, streaks)
 
-The summaries hold one row per (key, chunk); the windows over them see chunks, not rows.
+Both ways give the same rows. The summaries hold one row per (key, chunk); the windows over them see
+chunks, not rows.
 """
 
 from __future__ import annotations
@@ -24,12 +26,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from busline.session import cut_lineage
+
 CHUNK = "_chunk"
 HOUR_MS = 3_600_000
 ARRIVAL_CHUNK = 1_000_000
+KEY_LIMIT = 1_000_000
+
+
+def width_for(df: DataFrame, key: list[str], width: int, limit: int = KEY_LIMIT) -> int | None:
+    """``width`` when some key has more than ``limit`` rows, else None.
+
+    One partially aggregated count over the key columns. Measure a source table: the rows an
+    operator sees later are never more than the source's.
+    """
+    largest = df.groupBy(*key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return width if (largest or 0) > limit else None
 
 
-def with_chunk(df: DataFrame, order: str, width: int) -> DataFrame:
+def with_chunk(df: DataFrame, order: str, width: int | None) -> DataFrame:
+    if width is None:
+        return df.withColumn(CHUNK, F.lit(0).cast("long"))
     return df.withColumn(CHUNK, F.floor(F.col(order) / width).cast("long"))
 
 
@@ -57,18 +74,24 @@ def _over(kind: str, value: Column, window) -> Column:
     return {"max": F.max, "min": F.min, "sum": F.sum}[kind](value).over(window)
 
 
-def carry(df: DataFrame, key: list[str], order: str, specs: dict[str, Carry], width: int,
+def carry(df: DataFrame, key: list[str], order: str, specs: dict[str, Carry], width: int | None,
           inclusive: bool = False) -> DataFrame:
     """Add one column per spec: its running value over the rows of the key before this one.
 
     ``order`` must be unique within the key. ``inclusive`` also counts the row itself.
     Inside a chunk this is a plain window. The value at the chunk's start is a window over the
     per-chunk summaries, joined back on (key, chunk): the window output is already partitioned
-    and sorted that way, so the join adds no shuffle of the big side.
+    and sorted that way, so the join adds no shuffle of the big side. The chunked form reads its
+    input twice and therefore materialises it, so that chained calls stay linear.
     """
-    rows = with_chunk(df, order, width)
-    group = [*key, CHUNK]
     end = 0 if inclusive else -1
+    if width is None:
+        whole = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+        plain = {n: _over(s.kind, s.expr, whole) for n, s in specs.items()}
+        out = {n: F.coalesce(c, F.lit(0)) if specs[n].kind == "sum" else c for n, c in plain.items()}
+        return df.withColumns(out)
+    rows = with_chunk(cut_lineage(df), order, width)
+    group = [*key, CHUNK]
     local = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
     before = Window.partitionBy(*key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -89,9 +112,11 @@ def carry(df: DataFrame, key: list[str], order: str, specs: dict[str, Carry], wi
     return joined.select(*[c for c in df.columns if c not in specs], *out)
 
 
-def next_value(df: DataFrame, key: list[str], order: str, value: str, out: str, width: int) -> DataFrame:
+def next_value(df: DataFrame, key: list[str], order: str, value: str, out: str, width: int | None) -> DataFrame:
     """Add the ``value`` of the row that follows in the key (NULL on its last row)."""
-    rows = with_chunk(df, order, width)
+    if width is None:
+        return df.withColumn(out, F.lead(value).over(Window.partitionBy(*key).orderBy(order)))
+    rows = with_chunk(cut_lineage(df), order, width)
     group = [*key, CHUNK]
     after = Window.partitionBy(*key).orderBy(F.desc(CHUNK)).rowsBetween(-1, -1)
     firsts = (rows.groupBy(*group).agg(F.min_by(value, order).alias("_first"))
@@ -103,14 +128,16 @@ def next_value(df: DataFrame, key: list[str], order: str, value: str, out: str,
             .drop(CHUNK, "_lead", "_edge", "_after"))
 
 
-def row_halo(df: DataFrame, key: list[str], order: str, k: int, width: int) -> DataFrame:
+def row_halo(df: DataFrame, key: list[str], order: str, k: int, width: int | None) -> DataFrame:
     """Rows plus, per (key, chunk), copies of the ``k`` rows that precede the chunk.
 
     Copies carry ``_halo = true``. A window over (key, _chunk) that looks back at most ``k`` rows
     is then exact for the original rows. Every chunk that exists has at least one row, so the
     last ``k`` chunks hold enough of them.
     """
-    rows = with_chunk(df, order, width)
+    if width is None:
+        return with_chunk(df, order, None).withColumn("_halo", F.lit(False))
+    rows = with_chunk(cut_lineage(df), order, width)
     group = [*key, CHUNK]
     record = F.struct(order, *[c for c in df.columns if c != order and c not in key])
     latest = Window.partitionBy(*group).orderBy(F.desc(order))
@@ -124,8 +151,10 @@ def row_halo(df: DataFrame, key: list[str], order: str, k: int, width: int) -> D
     return rows.withColumn("_halo", F.lit(False)).unionByName(halo)
 
 
-def range_halo(df: DataFrame, order: str, lookback: int, width: int) -> DataFrame:
+def range_halo(df: DataFrame, order: str, lookback: int, width: int | None) -> DataFrame:
     """Rows plus copies of each chunk's last ``lookback`` units in the following chunk."""
+    if width is None:
+        return with_chunk(df, order, None).withColumn("_halo", F.lit(False))
     if lookback > width:
         raise ValueError("the chunk must be at least as wide as the lookback")
     at = F.floor(F.col(order) / width).cast("long")
@@ -189,7 +218,7 @@ def _pairs(value) -> list[tuple[int, int]]:
 
 
 def spaced(df: DataFrame, key: list[str], time: str, gap: int, strict: bool = False,
-           width: int = HOUR_MS, span: int = 4096) -> DataFrame:
+           width: int | None = HOUR_MS, span: int = 4096) -> DataFrame:
     """Distinct (key, time) points chosen greedily at least ``gap`` apart (``strict``: more than).
 
     Points with no neighbour closer than the gap are always chosen and never leave the JVM. The
@@ -203,6 +232,8 @@ def spaced(df: DataFrame, key: list[str], time: str, gap: int, strict: bool = Fa
     starts = chained.withColumn("_start", F.when(F.col("_prev").isNull() | apart, F.col(time)))
     islands = carry(starts.drop("_prev"), key, time, {"_island": Carry("last", F.col("_start"))}, width,
                     inclusive=True)
+    if width is not None:
+        islands = cut_lineage(islands)
     contested = with_chunk(islands.filter(F.col("_start").isNull()), time, width)
 
     # the island's first point is always chosen: it enters its first chunk as the last selected
@@ -264,6 +295,12 @@ def spaced(df: DataFrame, key: list[str], time: str, gap: int, strict: bool = Fa
             chosen.append([*head(pdf)[:-1], last])
         return pd.DataFrame(chosen, columns=[*key, time])
 
+    key_part = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_schema.fields[:n_keys - 1])
+    certain = islands.filter(F.col("_start").isNotNull()).select(*key, time)
+    if width is None:
+        alone = contested.withColumn("entry", F.lit(None).cast("long")).groupBy(*group)
+        return certain.unionByName(alone.applyInPandas(choose, f"{key_part}, `{time}` long"))
+
     steps = (contested.join(crossing, [*key, "_island"], "left_semi").groupBy(*group)
              .applyInPandas(summarise, schema(f"`{CHUNK}` long", f"steps {_STEPS}"))
              .withColumn("_span", F.floor(F.col(CHUNK) / span).cast("long")))
@@ -274,8 +311,6 @@ def spaced(df: DataFrame, key: list[str], time: str, gap: int, strict: bool = Fa
     entries = (steps.join(span_entries, [*key, "_island", "_span"])
                .groupBy(*key, "_island", "_span")
                .applyInPandas(enter_chunks, schema(f"`{CHUNK}` long", "entry long")))
-    key_part = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_schema.fields[:n_keys - 1])
     picked = (contested.join(entries, group, "left").groupBy(*group)
               .applyInPandas(choose, f"{key_part}, `{time}` long"))
-    certain = islands.filter(F.col("_start").isNotNull()).select(*key, time)
     return certain.unionByName(picked)

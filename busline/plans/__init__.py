@@ -1,0 +1,4 @@
+"""Registered queries. Importing the package fills the registry."""
+
+from busline.plans import telemetry  # noqa: F401
+from busline.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from busline.operators.chunked import Carry, carry, next_value, range_halo, row_halo, spaced
+from busline.operators.chunked import Carry, carry, next_value, range_halo, row_halo, spaced, width_for
 
 
 def table(spark, seed=1, n=400, keys=3, spread=2000):
@@ -76,3 +76,20 @@ def test_spaced_equals_greedy_scan(spark):
             data.setdefault(r.k, []).append(r.t)
         want = sorted((k, t) for k, ts in data.items() for t in greedy(ts, gap, strict))
         assert rows_of(spaced(df, ["k"], "t", gap, strict, width, span)) == want
+
+
+def test_plain_and_chunked_forms_agree(spark):
+    df = table(spark, 8)
+    spec = {"l": Carry("last", F.col("v")), "s": Carry("sum", F.col("v"))}
+    cols = ["k", "t", "l", "s"]
+    assert rows_of(carry(df, ["k"], "t", spec, None, True).select(*cols)) == rows_of(
+        carry(df, ["k"], "t", spec, 41, True).select(*cols))
+    assert rows_of(next_value(df, ["k"], "t", "t", "nx", None).select("k", "t", "nx")) == rows_of(
+        next_value(df, ["k"], "t", "t", "nx", 41).select("k", "t", "nx"))
+    assert rows_of(spaced(df, ["k"], "t", 9, False, None)) == rows_of(spaced(df, ["k"], "t", 9, False, 30, 3))
+
+
+def test_width_for_measures_the_largest_key(spark):
+    df = table(spark, 9)
+    assert width_for(df, ["k"], 77, limit=1000) is None
+    assert width_for(df, ["k"], 77, limit=100) == 77
