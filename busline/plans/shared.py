@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from busline.functions import geo
 from busline.operators import chunked, context, enrich, validate
 from busline.plans.views import table, view
+from busline.session import cut_lineage
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +56,11 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.enrich(in_context(spark, sf_dir), shapes(spark, sf_dir), route_stops(spark, sf_dir))
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """Written once and read by several consumers."""
+    return cut_lineage(df)
+
+
 # --- the same, as SQL --------------------------------------------------------------------------
 
 def hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
