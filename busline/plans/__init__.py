@@ -1,4 +1,4 @@
 """Registered queries. Importing the package fills the registry."""
 
-from busline.plans import alerts, telemetry  # noqa: F401
+from busline.plans import alerts, estimates, network, telemetry  # noqa: F401
 from busline.plans.registry import ORACLES, QUERIES  # noqa: F401

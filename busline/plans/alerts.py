@@ -69,15 +69,15 @@ _BEHAVIOUR = {
 }
 
 
-@query("behaviour_windows", _sql("""SELECT bus_id, t, CAST(n AS BIGINT) AS sample_count, round(max_acceleration, 6) AS max_acceleration,
-  round(min_acceleration, 6) AS min_acceleration, round(speed_variance, 4) AS speed_variance,
-  round(heading_variance, 4) AS heading_variance, round(average_speed, 6) AS average_speed FROM vec WHERE n >= 10""", **_BEHAVIOUR))
+_VECTOR = ["max_acceleration", "min_acceleration", "speed_variance", "heading_variance", "average_speed"]
+
+
+@query("behaviour_windows", _sql("SELECT bus_id, t, CAST(n AS BIGINT) AS sample_count, "
+                                 + ", ".join(f"{S.steady_sql(c, 4)} AS {c}" for c in _VECTOR) + " FROM vec WHERE n >= 10", **_BEHAVIOUR))
 def behaviour_windows(spark, sf):
     out = detect.behaviour_windows(S.enriched(spark, sf), width=S.time_width(spark, sf))
     return out.select("bus_id", "t", F.col("sample_count").cast("long").alias("sample_count"),
-                      F.round("max_acceleration", 6).alias("max_acceleration"),
-                      F.round("min_acceleration", 6).alias("min_acceleration"), F.round("speed_variance", 4).alias("speed_variance"),
-                      F.round("heading_variance", 4).alias("heading_variance"), F.round("average_speed", 6).alias("average_speed"))
+                      *[S.steady(c, 4).alias(c) for c in _VECTOR])
 
 
 @query("alert_erratic_driving", _sql("""SELECT bus_id, t, 'rules_fallback' AS method FROM vec
@@ -88,9 +88,9 @@ def alert_erratic_driving(spark, sf):
         "bus_id", "t", F.get_json_object("detail", "$.detectionMethod").alias("method"))
 
 
-@query("summary_vectors", oracle("""
-SELECT bus_id, round(coalesce(max(a), 0), 6) AS max_acceleration, round(coalesce(min(a), 0), 6) AS min_acceleration,
-  round(CASE WHEN count(*) > 1 THEN var_pop(speed) ELSE 0 END, 4) AS speed_variance, CAST(count(*) AS BIGINT) AS sample_count FROM (
+@query("summary_vectors", oracle(f"""
+SELECT bus_id, {S.steady_sql('coalesce(max(a), 0)', 4)} AS max_acceleration, {S.steady_sql('coalesce(min(a), 0)', 4)} AS min_acceleration,
+  {S.steady_sql('CASE WHEN count(*) > 1 THEN var_pop(speed) ELSE 0 END', 4)} AS speed_variance, CAST(count(*) AS BIGINT) AS sample_count FROM (
   SELECT *, CASE WHEN t > lag(t) OVER w THEN (speed - lag(speed) OVER w) / ((t - lag(t) OVER w) / 1000.0d) END AS a FROM newer_full
   WINDOW w AS (PARTITION BY bus_id, win ORDER BY t)) GROUP BY bus_id, win""", "telemetry", "lifecycle", extra=S.parts(
     ["cleaned", "marks", "line", "behind", "newer"],
@@ -101,8 +101,7 @@ def summary_vectors(spark, sf):
     rows = context.strictly_newer(S.cleaned(spark, sf).select("bus_id", "arrival", "t", "speed", "heading"),
                                   S.arrival_width(spark, sf)).withColumn("win", F.floor(F.col("t") / 60000))
     out = detect.summary_vector(rows, ["bus_id", "win"])
-    return out.select("bus_id", F.round("max_acceleration", 6).alias("max_acceleration"),
-                      F.round("min_acceleration", 6).alias("min_acceleration"), F.round("speed_variance", 4).alias("speed_variance"),
+    return out.select("bus_id", *[S.steady(c, 4).alias(c) for c in ("max_acceleration", "min_acceleration", "speed_variance")],
                       F.col("sample_count").cast("long").alias("sample_count"))
 
 
@@ -254,8 +253,8 @@ def dwell_times(spark, sf):
 
 
 @query("dwell_quality", oracle("""
-WITH_ SELECT d.bus_id, d.t, d.speed / 3.6d < 1 AND d.dwell_current_s > 10 AS is_dwell, d.dwell_current_s > 300 AS is_layover,
-  d.dwell_prev_s IS NULL AS was_missing FROM dwells d""".replace("WITH_ ", ""), "telemetry", "lifecycle",
+SELECT d.bus_id, d.t, d.speed / 3.6d < 1 AND d.dwell_current_s > 10 AS is_dwell, d.dwell_current_s > 300 AS is_layover,
+  d.dwell_prev_s IS NULL AS was_missing FROM dwells d""", "telemetry", "lifecycle",
     extra=S.parts(["cleaned", "marks", "line", "behind", "newer"], **_VISITS)))
 def dwell_quality(spark, sf):
     stays = dwell.dwell(_visits(spark, sf), width=S.time_width(spark, sf, 3 * chunked.HOUR_MS)).withColumns({

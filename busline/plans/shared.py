@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from busline.functions import geo
@@ -61,6 +61,16 @@ def materialised(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def steady(value: str | Column, digits: int) -> Column:
+    """Rounding whose result does not hang on the last bit: halves always go up, by a clear margin."""
+    column = F.col(value) if isinstance(value, str) else value
+    return F.floor(column * 10.0 ** digits + 0.500001) / 10.0 ** digits
+
+
+def steady_sql(expr: str, digits: int) -> str:
+    return f"(floor(({expr}) * 1e{digits} + 0.500001e0) / 1e{digits})"
+
+
 # --- the same, as SQL --------------------------------------------------------------------------
 
 def hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
@@ -77,7 +87,7 @@ SQL = {
         CAST(arg_max(route_id, trip_seq) AS STRING) AS boot_route
         FROM trips JOIN schedules USING (schedule_id) WHERE status = 'EN_ROUTE' AND bus_id % 7 <> 3 GROUP BY bus_id""",
     "marks": "SELECT * FROM lifecycle WHERE event <> 'INCIDENT_REPORTED'",
-    "line": """SELECT bus_id, arrival, t, NULL AS mark FROM cleaned
+    "line": """SELECT bus_id, arrival, t, CAST(NULL AS BIGINT) AS mark FROM cleaned
         UNION ALL SELECT bus_id, arrival, NULL, arrival FROM marks""",
     "behind": """SELECT bus_id, arrival, t, max(mark) OVER w AS mark, max(t) OVER w AS newest FROM line
         WINDOW w AS (PARTITION BY bus_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
