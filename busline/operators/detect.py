@@ -15,6 +15,7 @@ from busline import contracts as C
 from busline.functions import geo, scalars
 from busline.operators import chunked
 from busline.operators.chunked import CHUNK, Carry
+from busline.session import cut_lineage
 
 ALERT_COLUMNS = ["bus_id", "anomaly_type", "severity", "message", "trip_id", "route_id", "lat", "lon", "t",
                  "detail"]
@@ -75,6 +76,7 @@ def off_route_streaks(readings: DataFrame, limits: C.Thresholds = C.DEFAULTS,
     rows = _active(readings).select("bus_id", "t", "off_route", "trip_id", "route_id", "lat", "lon", "off_route_m")
     runs = chunked.carry(rows, ["bus_id"], "t", {"_run": Carry("last", F.when(~F.col("off_route"), F.col("t")))},
                          width).filter("off_route").withColumn("_run", F.coalesce("_run", F.lit(-1)))
+    runs = cut_lineage(runs)  # off-route rows only; read by the anchors and by their assignment
     anchors = chunked.spaced(runs, ["bus_id", "_run"], "t", limits.streak_window_ms, True, width)
     flagged = runs.join(anchors.withColumn("_anchor_t", F.col("t")), ["bus_id", "_run", "t"], "left")
     anchored = chunked.carry(flagged, ["bus_id", "_run"], "t", {"_anchor": Carry("last", F.col("_anchor_t"))}, width,
@@ -259,6 +261,7 @@ def trip_not_started(dlq: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: i
     back = Window.partitionBy("bus_id", CHUNK).orderBy("t").rangeBetween(-limits.dlq_window_ms, 0)
     counted = (halo.withColumn("_seen", F.sum("_here").over(back)).filter(~F.col("_halo"))
                .filter(F.col("_seen") >= limits.dlq_count).drop("_halo", CHUNK))
+    counted = cut_lineage(counted)  # alerting instants only
     fired = chunked.spaced(counted, ["bus_id"], "t", limits.dlq_cooldown_ms, False, width)
     hits = counted.join(fired, ["bus_id", "t"], "left_semi").withColumn(
         "dlq_count", F.greatest(F.lit(limits.dlq_count), F.col("_seen") - F.col("_here") + 1))
