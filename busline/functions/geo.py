@@ -68,11 +68,11 @@ def route_segments(points: DataFrame, key: str = "route_id") -> DataFrame:
     )
 
 
-def nearest_on_route(lat: Column, lon: Column, segments: Column) -> Column:
-    """struct(distance_m, seq, along_m) of the nearest segment; ties keep the earlier segment.
+def segment_distances(lat: Column, lon: Column, segments: Column) -> Column:
+    """array of struct(distance_m, seq, along_m), one per segment.
 
-    One pass over the segment array. The three chained transforms bind the projection ratio and
-    the projected distance once per segment instead of repeating their trigonometry.
+    The chained transforms bind the projection ratio once per segment instead of repeating its
+    trigonometry.
     """
     def with_ratio(s: Column) -> Column:
         d1 = haversine_m(lat, lon, s["lat1"], s["lon1"])
@@ -87,20 +87,72 @@ def nearest_on_route(lat: Column, lon: Column, segments: Column) -> Column:
         return F.struct(haversine_m(lat, lon, foot_lat, foot_lon).alias("distance_m"),
                         s["seq"].alias("seq"), (s["cum"] + t * s["len"]).alias("along_m"))
 
-    return F.array_min(F.transform(F.transform(segments, with_ratio), with_distance))
+    return F.transform(F.transform(segments, with_ratio), with_distance)
+
+
+def nearest_on_route(lat: Column, lon: Column, segments: Column) -> Column:
+    """struct(distance_m, seq, along_m) of the nearest segment; ties keep the earlier segment."""
+    return F.array_min(segment_distances(lat, lon, segments))
+
+
+CELL_DEG = 0.002
+
+
+def cell_of(degrees: Column) -> Column:
+    return F.floor(degrees / CELL_DEG).cast("long")
+
+
+def route_cells(shapes: DataFrame, key: str = "route_id") -> DataFrame:
+    """(route, cell) → the segments that can be nearest for a point in that cell.
+
+    Cells lie in a band of one cell around the drawn line. For the centre c of a cell with half
+    diagonal h, a segment further from c than the nearest one by more than 2h is never nearest
+    inside the cell, so the short list gives the exact answer. The table grows with the length of
+    the network, not with traffic. Points outside the band use the whole segment array.
+    """
+    legs = shapes.select(key, F.explode("segments").alias("s"))
+    reach = F.greatest(F.abs(F.col("s.lat2") - F.col("s.lat1")), F.abs(F.col("s.lon2") - F.col("s.lon1")))
+    pieces = F.greatest(F.lit(1), F.ceil(reach / (CELL_DEG / 2))).cast("int")
+    along = (legs.withColumn("_n", pieces).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+             .select(key, (F.col("s.lat1") + (F.col("s.lat2") - F.col("s.lat1")) * F.col("_i") / F.col("_n")).alias("lat"),
+                     (F.col("s.lon1") + (F.col("s.lon2") - F.col("s.lon1")) * F.col("_i") / F.col("_n")).alias("lon")))
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    cells = (along.select(key, cell_of(F.col("lat")).alias("cy"), cell_of(F.col("lon")).alias("cx")).distinct()
+             .select(key, "cy", "cx", F.explode(around).alias("o"))
+             .select(key, (F.col("cy") + F.col("o.a")).alias("cy"), (F.col("cx") + F.col("o.b")).alias("cx")).distinct())
+    centre_lat, centre_lon = (F.col("cy") + 0.5) * CELL_DEG, (F.col("cx") + 0.5) * CELL_DEG
+    # twice the half diagonal at its widest, plus slack for the flat projection inside a segment
+    margin = CELL_DEG * 111_320.0 * 2 ** 0.5 * 1.01 + 5.0
+    sized = (cells.join(shapes.select(key, "segments"), key)
+             .withColumn("_d", F.explode(F.array(segment_distances(centre_lat, centre_lon, F.col("segments"))))))
+    limit = F.array_min(F.transform("_d", lambda x: x["distance_m"])) + margin
+    return (sized.withColumn("_limit", F.explode(F.array(limit)))
+            .select(key, "cy", "cx", F.transform(
+                F.filter(F.arrays_zip("segments", "_d"), lambda z: z["_d"]["distance_m"] <= F.col("_limit")),
+                lambda z: z["segments"]).alias("near_segments")))
+
+
+def with_near_segments(df: DataFrame, cells: DataFrame, key: str = "route_id", lat: str = "lat",
+                       lon: str = "lon") -> DataFrame:
+    """Join each row with its cell's short list (NULL outside the band)."""
+    placed = df.withColumns({"cy": cell_of(F.col(lat)), "cx": cell_of(F.col(lon))})
+    return placed.join(cells, [key, "cy", "cx"], "left").drop("cy", "cx")
 
 
 def route_position(df: DataFrame, lat: str = "lat", lon: str = "lon", out: str = "pos") -> DataFrame:
     """Add ``pos`` = struct(off_m, along_m, remaining_m, progress_pct).
 
-    Needs the columns of :func:`route_segments` on the row. No route or no drawn length gives
-    zero progress; a one-point route gives the distance to that point.
+    Needs the columns of :func:`route_segments` on the row and uses ``near_segments`` of
+    :func:`with_near_segments` where present. No route or no drawn length gives zero progress; a
+    one-point route gives the distance to that point. The search passes through a one-row
+    generator, so that later filters and lambdas read its result instead of repeating it.
     """
-    near = nearest_on_route(F.col(lat), F.col(lon), F.col("segments"))
+    legs = F.coalesce("near_segments", "segments") if "near_segments" in df.columns else F.col("segments")
+    near = nearest_on_route(F.col(lat), F.col(lon), legs)
     to_first = haversine_m(F.col(lat), F.col(lon), F.col("first_lat"), F.col("first_lon"))
     total, along = F.col("total_m"), F.coalesce(F.col("_near.along_m"), F.lit(0.0))
     drawn = F.col("_near").isNotNull()
-    return (df.withColumn("_near", F.when(F.size("segments") > 0, near))
+    return (df.withColumn("_near", F.explode(F.array(F.when(F.size("segments") > 0, near))))
             .withColumn(out, F.struct(
                 F.coalesce(F.col("_near.distance_m"), F.when(F.col("n_points") >= 1, to_first),
                            F.lit(0.0)).alias("off_m"),
@@ -108,7 +160,7 @@ def route_position(df: DataFrame, lat: str = "lat", lon: str = "lon", out: str =
                 F.when(drawn, F.greatest(F.lit(0.0), total - along)).otherwise(0.0).alias("remaining_m"),
                 F.when(drawn, F.least(F.lit(100.0), F.greatest(F.lit(0.0), along / total * 100)))
                  .otherwise(0.0).alias("progress_pct")))
-            .drop("_near"))
+            .drop("_near", *(["near_segments"] if "near_segments" in df.columns else [])))
 
 
 def planar_locate(lat: Column, lon: Column, segments: Column) -> Column:

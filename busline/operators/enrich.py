@@ -32,14 +32,19 @@ def stops_ahead(route_stops: Column, along_m: Column) -> Column:
                            F.round(s["along_m"] - along_m, 2).alias("distanceAlongRouteMeters")))
 
 
-def enrich(readings: DataFrame, shapes: DataFrame, route_stops: DataFrame,
+def enrich(readings: DataFrame, shapes: DataFrame, route_stops: DataFrame, cells: DataFrame | None = None,
            limits: C.Thresholds = C.DEFAULTS) -> DataFrame:
     """Add route position, off-route flag, stops ahead and segment mode.
 
+    ``cells`` (see :func:`busline.functions.geo.route_cells`) shortens the segment search of
+    readings near their route.
+
     The geometry and stop tables are joined without a hint: AQE broadcasts them when their
     measured size is below the threshold and otherwise splits skewed routes.
     """
     joined = readings.join(shapes, "route_id", "left").join(route_stops, "route_id", "left")
+    if cells is not None:
+        joined = geo.with_near_segments(joined, cells)
     placed = geo.route_position(joined)
     none = F.array().cast("array<struct<stopId:int,stopName:string,stopOrder:int,distanceAlongRouteMeters:double>>")
     ahead = F.when(F.col("route_stops").isNotNull(), stops_ahead(F.col("route_stops"), F.col("pos.along_m")))

@@ -21,7 +21,7 @@ def _present(name: str) -> Column:
     return F.try_variant_get(F.col("_v"), f"$.{name}", "variant").isNotNull()
 
 
-def _once(df: DataFrame, *columns: Column) -> DataFrame:
+def once(df: DataFrame, *columns: Column) -> DataFrame:
     """Add computed columns through a one-row generator.
 
     Filters on columns derived from these are not pushed below a generator, so the parsing they
@@ -35,8 +35,8 @@ def decode_gps(df: DataFrame, value: str = "value") -> DataFrame:
     raw = F.col(value)
     if dict(df.dtypes)[value] == "binary":
         raw = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
-    parsed = _once(df, F.try_parse_json(raw).alias("_v"))
-    fields = _once(
+    parsed = once(df, F.try_parse_json(raw).alias("_v"))
+    fields = once(
         parsed,
         F.when(F.col("_v").isNull(), "JSON_PARSE")
          .when(~F.schema_of_variant("_v").startswith("OBJECT"), "SCHEMA_VALIDATION").alias("decode_error"),
@@ -77,7 +77,7 @@ def schema_only(df: DataFrame) -> DataFrame:
                   "heading must be numeric"))
     rules.append((scalars.parse_time(F.col("timestamp_text")).isNull(), "SCHEMA_VALIDATION",
                   "timestamp must be ISO 8601"))
-    return _once(df, *[c.alias(n) for n, c in _first_failure(rules).items()])
+    return once(df, *[c.alias(n) for n, c in _first_failure(rules).items()])
 
 
 def _first_failure(rules: list[tuple[Column, str, str]]) -> dict[str, Column]:
@@ -115,7 +115,7 @@ def location_contract(df: DataFrame, require_trip: bool = False) -> DataFrame:
 
 
 def _contract(df: DataFrame, checks: list[Column], out_of_box: Column | None = None) -> DataFrame:
-    failed = _once(df, F.array_compact(F.array(*checks)).alias("_failed"))
+    failed = once(df, F.array_compact(F.array(*checks)).alias("_failed"))
     kind = (F.when(F.col("decode_error").isNotNull(), F.col("decode_error"))
             .when(~F.col("has_timestamp"), "MISSING_TIMESTAMP")
             .when(F.size("_failed") > 0, "SCHEMA_VALIDATION"))
@@ -129,9 +129,9 @@ def _contract(df: DataFrame, checks: list[Column], out_of_box: Column | None = N
 
 
 def decode_heartbeat(df: DataFrame, value: str = "value") -> DataFrame:
-    parsed = _once(df, F.try_parse_json(value).alias("_v"))
+    parsed = once(df, F.try_parse_json(value).alias("_v"))
     optional = ["deviceId", "gpsFix", "satellites", "signalQuality", "batteryVoltage", "firmwareVersion"]
-    return _once(
+    return once(
         parsed,
         F.when(F.col("_v").isNull(), "JSON_PARSE")
          .when(~F.schema_of_variant("_v").startswith("OBJECT"), "SCHEMA_VALIDATION").alias("decode_error"),
@@ -178,7 +178,7 @@ def classify(df: DataFrame, limits: C.Thresholds = C.DEFAULTS) -> DataFrame:
     """Add ``invalid_reason`` to decoded messages. Split with ``isNull`` / ``isNotNull``."""
     typed = with_numbers(df)
     bad_speed = F.col("has_speed") & _number("speed").isNull()
-    return _once(typed, physics_reason(
+    return once(typed, physics_reason(
         F.col("decode_error").isNotNull(), F.col("lat"), F.col("lon"), F.col("speed"), bad_speed,
         limits).alias("invalid_reason"))
 

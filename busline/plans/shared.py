@@ -13,7 +13,11 @@ from busline.session import cut_lineage
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry rows that pass the physics rules."""
-    rows = view(spark, sf_dir, "telemetry")
+    # the view's formulas stand for stored columns, so they are evaluated once per row
+    raw = view(spark, sf_dir, "telemetry")
+    computed = ["payload_trip", "t", "lat", "lon", "speed", "heading", "malformed"]
+    rows = validate.once(raw.select("bus_id", "arrival", "event_id", *[F.col(c).alias(f"_{c}") for c in computed]),
+                         *[F.col(f"_{c}").alias(c) for c in computed])
     reason = validate.physics_reason(F.col("malformed"), F.col("lat"), F.col("lon"), F.col("speed"))
     return rows.filter(reason.isNull()).select(
         "bus_id", "arrival", "event_id", "payload_trip", F.lit(None).cast("string").alias("payload_route"), "t", "lat",
@@ -53,7 +57,21 @@ def route_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.enrich(in_context(spark, sf_dir), shapes(spark, sf_dir), route_stops(spark, sf_dir))
+    """The cleaned stream. The dimension tables are written once: they are the same for every row."""
+    lines, listed, cells = dimensions(spark, sf_dir)
+    return enrich.enrich(in_context(spark, sf_dir), lines, listed, cells)
+
+
+_DIMENSIONS: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
+
+
+def dimensions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(route segments, stops along routes, segment short lists), built once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _DIMENSIONS:
+        lines = materialised(shapes(spark, sf_dir))
+        _DIMENSIONS[key] = (lines, materialised(route_stops(spark, sf_dir)), materialised(geo.route_cells(lines)))
+    return _DIMENSIONS[key]
 
 
 def materialised(df: DataFrame) -> DataFrame:

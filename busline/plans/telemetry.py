@@ -293,7 +293,8 @@ FROM ctx c JOIN near n ON n.pk = 'r' || c.arrival""", "telemetry", "route_points
 def route_progress(spark, sf):
     """Every cleaned reading projected onto the bus's home route."""
     rows = S.cleaned(spark, sf).withColumn("route_id", (F.col("bus_id").cast("long") % 5).cast("string"))
-    placed = geo.route_position(rows.join(S.shapes(spark, sf), "route_id"))
+    lines, _, cells = S.dimensions(spark, sf)
+    placed = geo.route_position(geo.with_near_segments(rows.join(lines, "route_id"), cells))
     return placed.select(F.concat(F.lit("r"), F.col("arrival").cast("string")).alias("pk"),
                          F.round("pos.along_m", 2).alias("along_m"), F.round("pos.remaining_m", 2).alias("remaining_m"),
                          F.round("pos.progress_pct", 4).alias("progress_pct"), F.round("pos.off_m", 2).alias("off_m"))

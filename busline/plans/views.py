@@ -158,16 +158,31 @@ def oracle(select: str, *views: str, extra: dict[str, str] | None = None) -> str
     return head + _doubles(select)
 
 
+_SOURCES: dict[tuple[str, str, str], str] = {}
+
+
+def _source(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Name of a temporary view over one parquet table; its schema is read once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SOURCES:
+        alias = f"busline_{len(_SOURCES)}_{name}"
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(alias)
+        _SOURCES[key] = alias
+    return _SOURCES[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.table(_source(spark, sf_dir, name))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame; its parts are common table expressions over the parquet files."""
-    tables = [t for t in TABLES if re.search(rf"\bFROM {t}\b", " ".join(view_sql(n, "spark") for n in _ordered([name])))]
-    ctes = [f"{n} AS ({view_sql(n, 'spark')})" for n in _ordered([name])]
-    return spark.sql("WITH " + ",\n".join(
-        [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in tables] + ctes) + f"\nSELECT * FROM {name}")
+    names = _ordered([name])
+    text = " ".join(view_sql(n, "spark") for n in names)
+    tables = [t for t in TABLES if re.search(rf"\bFROM {t}\b", text)]
+    ctes = [f"{t} AS (SELECT * FROM {_source(spark, sf_dir, t)})" for t in tables]
+    ctes += [f"{n} AS ({view_sql(n, 'spark')})" for n in names]
+    return spark.sql("WITH " + ",\n".join(ctes) + f"\nSELECT * FROM {name}")
 
 
 def gps_json(telemetry: DataFrame) -> DataFrame:

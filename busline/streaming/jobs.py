@@ -55,8 +55,8 @@ def in_context(cleaned: DataFrame, lifecycle: DataFrame, bootstrap: DataFrame |
 
 
 def enriched(cleaned: DataFrame, lifecycle: DataFrame, shapes: DataFrame, route_stops: DataFrame,
-             bootstrap: DataFrame | None = None) -> DataFrame:
-    return enrich.enrich(in_context(cleaned, lifecycle, bootstrap), shapes, route_stops)
+             bootstrap: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+    return enrich.enrich(in_context(cleaned, lifecycle, bootstrap), shapes, route_stops, cells)
 
 
 def ingest_verdicts(readings: DataFrame, limits: C.Thresholds = C.DEFAULTS) -> DataFrame:
