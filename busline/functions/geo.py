@@ -121,11 +121,13 @@ def route_cells(shapes: DataFrame, key: str = "route_id") -> DataFrame:
              .select(key, "cy", "cx", F.explode(around).alias("o"))
              .select(key, (F.col("cy") + F.col("o.a")).alias("cy"), (F.col("cx") + F.col("o.b")).alias("cx")).distinct())
     centre_lat, centre_lon = (F.col("cy") + 0.5) * CELL_DEG, (F.col("cx") + 0.5) * CELL_DEG
-    # twice the half diagonal at its widest, plus slack for the flat projection inside a segment
-    margin = CELL_DEG * 111_320.0 * 2 ** 0.5 * 1.01 + 5.0
+    # twice the half diagonal at its widest. The 2 % and the 5 m cover the flat projection inside a
+    # segment and the plain-degree metric of planar_locate, which within 10 degrees of the equator
+    # differs from metres by at most 1.6 %.
+    margin = CELL_DEG * 111_320.0 * 2 ** 0.5 * 1.02 + 5.0
     sized = (cells.join(shapes.select(key, "segments"), key)
              .withColumn("_d", F.explode(F.array(segment_distances(centre_lat, centre_lon, F.col("segments"))))))
-    limit = F.array_min(F.transform("_d", lambda x: x["distance_m"])) + margin
+    limit = F.array_min(F.transform("_d", lambda x: x["distance_m"])) * 1.02 + margin
     return (sized.withColumn("_limit", F.explode(F.array(limit)))
             .select(key, "cy", "cx", F.transform(
                 F.filter(F.arrays_zip("segments", "_d"), lambda z: z["_d"]["distance_m"] <= F.col("_limit")),

@@ -282,24 +282,28 @@ def spaced(df: DataFrame, key: list[str], time: str, gap: int, strict: bool = Fa
             entry = _apply(_pairs(row["steps"]), entry, gap, strict)
         return pd.DataFrame(rows, columns=[*key, "_island", CHUNK, "entry"])
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf[time].to_numpy())
-        entry = pdf["entry"].iloc[0]
-        last = int(pdf.iloc[0]["_island"]) if pd.isna(entry) else int(entry)
-        side, chosen, at = "right" if strict else "left", [], 0
-        while True:
-            at = int(np.searchsorted(times, last + gap, side=side))
-            if at >= len(times):
-                break
-            last = int(times[at])
-            chosen.append([*head(pdf)[:-1], last])
-        return pd.DataFrame(chosen, columns=[*key, time])
+    def choose(batches):
+        """Scan rows sorted by island and time; what is carried between batches is one island's state."""
+        now, last = None, 0
+        for pdf in batches:
+            chosen = []
+            names = [*key, "_island", CHUNK]
+            for *place, t, entry in zip(*[pdf[c].tolist() for c in names], pdf[time].tolist(), pdf["entry"].tolist()):
+                if place != now:
+                    now, last = place, place[-2] if entry != entry or entry is None else int(entry)
+                if t - last > gap or (t - last == gap and not strict):
+                    last = t
+                    chosen.append((*place[:-2], t))
+            yield pd.DataFrame(chosen, columns=[*key, time])
+
+    def chosen_rows(rows: DataFrame) -> DataFrame:
+        ordered = rows.select(*group, time, "entry").repartition(*group).sortWithinPartitions(*group, time)
+        return ordered.mapInPandas(choose, f"{key_part}, `{time}` long")
 
     key_part = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_schema.fields[:n_keys - 1])
     certain = islands.filter(F.col("_start").isNotNull()).select(*key, time)
     if width is None:
-        alone = contested.withColumn("entry", F.lit(None).cast("long")).groupBy(*group)
-        return certain.unionByName(alone.applyInPandas(choose, f"{key_part}, `{time}` long"))
+        return certain.unionByName(chosen_rows(contested.withColumn("entry", F.lit(None).cast("long"))))
 
     steps = (contested.join(crossing, [*key, "_island"], "left_semi").groupBy(*group)
              .applyInPandas(summarise, schema(f"`{CHUNK}` long", f"steps {_STEPS}"))
@@ -311,6 +315,5 @@ def spaced(df: DataFrame, key: list[str], time: str, gap: int, strict: bool = Fa
     entries = (steps.join(span_entries, [*key, "_island", "_span"])
                .groupBy(*key, "_island", "_span")
                .applyInPandas(enter_chunks, schema(f"`{CHUNK}` long", "entry long")))
-    picked = (contested.join(entries, group, "left").groupBy(*group)
-              .applyInPandas(choose, f"{key_part}, `{time}` long"))
+    picked = chosen_rows(contested.join(entries, group, "left"))
     return certain.unionByName(picked)

@@ -15,6 +15,7 @@ from busline import contracts as C
 from busline.functions import geo, scalars
 from busline.operators import chunked
 from busline.operators.chunked import CHUNK, Carry
+from busline.operators.validate import once
 from busline.session import cut_lineage
 
 ALERT_COLUMNS = ["bus_id", "anomaly_type", "severity", "message", "trip_id", "route_id", "lat", "lon", "t",
@@ -239,12 +240,11 @@ def is_inactive_trip(error_type: Column, error_reason: Column) -> Column:
 
 def dlq_fields(df: DataFrame) -> DataFrame:
     """Bus, trip, route and position of a DLQ envelope; its payload text is the fallback for the bus."""
-    parsed = df.withColumn("_v", F.try_parse_json("original_payload"))
+    parsed = once(df, F.try_parse_json("original_payload").alias("_v"))
     pick = lambda name, kind="string": F.try_variant_get("_v", f"$.{name}", kind)
-    return parsed.withColumns({
-        "bus_id": F.coalesce(F.nullif(F.col("busId"), F.lit("")), pick("busId"), pick("bus_id")),
-        "trip_id": pick("tripId"), "route_id": pick("routeId"),
-        "lat": pick("lat", "double"), "lon": pick("lon", "double")}).drop("_v")
+    return once(parsed, F.coalesce(F.nullif(F.col("busId"), F.lit("")), pick("busId"), pick("bus_id")).alias("bus_id"),
+                pick("tripId").alias("trip_id"), pick("routeId").alias("route_id"),
+                pick("lat", "double").alias("lat"), pick("lon", "double").alias("lon")).drop("_v")
 
 
 def trip_not_started(dlq: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: int | None = chunked.HOUR_MS) -> DataFrame:

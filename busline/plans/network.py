@@ -120,7 +120,10 @@ def progress_requests(spark, sf):
     asked = S.cleaned(spark, sf).select(
         F.col("arrival").alias("request_id"), F.when(F.col("event_id") % 9 == 0, 77).otherwise(home).alias("route_id"), "lat", "lon",
         F.when(F.col("event_id") % 8 == 0, 55).otherwise(1 + F.col("event_id") % 5).alias("target_stop_order"))
-    out = network.progress_requests(asked, S.shapes(spark, sf, text_key=False), view(spark, sf, "links"), view(spark, sf, "stops"))
+    lines, _, cells = S.dimensions(spark, sf)
+    number = F.col("route_id").cast("long")
+    out = network.progress_requests(asked, lines.withColumn("route_id", number), view(spark, sf, "links"), view(spark, sf, "stops"),
+                                    cells.withColumn("route_id", number))
     return out.select("request_id", "reason", "travelled_m", "remaining_m", "progress_pct")
 
 

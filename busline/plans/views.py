@@ -10,6 +10,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from busline.operators.validate import once
+from busline.session import spread
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 BASE_MS = 1_777_716_000_000
 AS_OF_MS = BASE_MS + 20_000_000
@@ -166,7 +169,7 @@ def _source(spark: SparkSession, sf_dir: str, name: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _SOURCES:
         alias = f"busline_{len(_SOURCES)}_{name}"
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(alias)
+        spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")).createOrReplaceTempView(alias)
         _SOURCES[key] = alias
     return _SOURCES[key]
 
@@ -190,4 +193,5 @@ def gps_json(telemetry: DataFrame) -> DataFrame:
     body = F.to_json(F.struct(
         F.col("bus_id").alias("busId"), F.col("payload_trip").alias("tripId"), "lat", "lon", "speed", "heading",
         F.date_format(F.timestamp_millis("t"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp")))
-    return telemetry.select("arrival", F.when(F.col("malformed"), F.lit("{bad")).otherwise(body).alias("value"))
+    # one evaluation per row, as if the text had been read from a topic
+    return once(telemetry, F.when(F.col("malformed"), F.lit("{bad")).otherwise(body).alias("value")).select("arrival", "value")

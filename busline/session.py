@@ -19,6 +19,8 @@ def build_session(app: str = "busline", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # plans here are built from many small expressions; recording a call site for each is slow
+        "spark.sql.dataFrameQueryContext.enabled": "false",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
@@ -43,3 +45,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="busline-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread(table: DataFrame, least_rows: int = 20_000) -> DataFrame:
+    """Deal the rows of a table that is stored in few, unsplittable files to all cores.
+
+    A table with at least as many input splits as cores is returned unchanged, which is the case
+    for anything large; tiny tables are not worth a shuffle either.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores or table.count() < least_rows:
+        return table
+    return table.repartition(cores)
