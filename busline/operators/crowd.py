@@ -103,30 +103,28 @@ def with_trust(reports: DataFrame, profiles: DataFrame, limits: C.Thresholds = C
             .withColumn("trust", F.coalesce("trust_score", F.lit(limits.default_trust))).drop("trust_score"))
 
 
-def live_occupancy(requests: DataFrame, reports: DataFrame, profiles: DataFrame,
-                   limits: C.Thresholds = C.DEFAULTS) -> DataFrame:
+def live_occupancy(requests: DataFrame, reports: DataFrame, profiles: DataFrame, limits: C.Thresholds = C.DEFAULTS,
+                   width: int | None = 3 * chunked.HOUR_MS) -> DataFrame:
     """Requests (request_id, route_id, stop_id, t) with sums over the reports of the last 20 minutes.
 
-    Reports are summed per (place, instant) first. Both sides then meet in window-wide time bins,
-    each request looking into its own bin and the one before, so a pair is tested only when it can
-    match and a hot stop contributes at most one row per instant.
+    No request meets a report. Reports are summed per (place, instant), the instants that requests
+    ask about are added with zero weight, and one trailing window over these instants answers them
+    all. Requests then pick up their instant's answer, one row per (place, instant).
     """
-    window = limits.crowd_window_ms
-    instants = (with_trust(reports, profiles, limits).groupBy(*PLACE, "t").agg(
-        F.count("*").alias("_n"), F.sum("score").alias("_s"), F.sum("trust").alias("_t"),
-        F.sum(F.col("score") * F.col("trust")).alias("_st")))
-    binned = instants.select(*PLACE, F.col("t").alias("_rt"), F.floor(F.col("t") / window).alias("_bin"),
-                             "_n", "_s", "_t", "_st")
-    own = F.floor(F.col("t") / window)
-    asked = requests.select("request_id", *PLACE, "t", F.explode(F.array(own, own - 1)).alias("_bin"))
-    hits = (asked.join(binned, [*PLACE, "_bin"])
-            .filter((F.col("_rt") >= F.col("t") - window) & (F.col("_rt") <= F.col("t"))))
-    sums = hits.groupBy("request_id").agg(F.sum("_n").alias("report_count"), F.sum("_s").alias("score_sum"),
-                                          F.sum("_t").alias("trust_sum"), F.sum("_st").alias("weighted_sum"))
-    return requests.join(sums, "request_id", "left").withColumns({
-        "report_count": F.coalesce("report_count", F.lit(0)),
-        "avg_live": F.when(F.col("trust_sum") > 0, F.col("weighted_sum") / F.col("trust_sum"))
-        .otherwise(F.col("score_sum") / F.col("report_count"))})
+    sums = ["_n", "_s", "_t", "_st"]
+    said = with_trust(reports, profiles, limits).groupBy(*PLACE, "t").agg(
+        F.count("*").alias("_n"), F.sum("score").cast("double").alias("_s"), F.sum("trust").alias("_t"),
+        F.sum(F.col("score") * F.col("trust")).alias("_st"))
+    asked = requests.select(*PLACE, "t").distinct().select(
+        *PLACE, "t", F.lit(0).cast("long").alias("_n"), *[F.lit(0.0).alias(c) for c in sums[1:]])
+    instants = said.unionByName(asked).groupBy(*PLACE, "t").agg(*[F.sum(c).alias(c) for c in sums])
+    halo = chunked.range_halo(instants, "t", limits.crowd_window_ms, width)
+    back = Window.partitionBy(*PLACE, CHUNK).orderBy("t").rangeBetween(-limits.crowd_window_ms, 0)
+    totals = halo.select(*PLACE, "t", "_halo", *[F.sum(c).over(back).alias(n) for c, n in zip(
+        sums, ["report_count", "score_sum", "trust_sum", "weighted_sum"])]).filter(~F.col("_halo")).drop("_halo")
+    return requests.join(totals, [*PLACE, "t"], "left").withColumn(
+        "avg_live", F.when(F.col("trust_sum") > 0, F.col("weighted_sum") / F.col("trust_sum"))
+        .when(F.col("report_count") > 0, F.col("score_sum") / F.col("report_count")))
 
 
 def hybrid_prediction(live: DataFrame, historical: Column) -> DataFrame:

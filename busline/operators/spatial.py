@@ -17,16 +17,16 @@ def near(left: DataFrame, right: DataFrame, max_radius_m: float, out: str = "dis
     """Pairs within ``left.radius_m`` (never above ``max_radius_m``).
 
     Left has (.., lat, lon, radius_m); right has (.., lat, lon), returned with the prefix ``r_``.
-    Requests are spread over nine cells, the data side keeps one row per point.
+    The right side, a table of places, is spread over nine cells; the left side, which grows with
+    traffic, keeps one row per point. A crowded cell is split by the adaptive skew join.
     """
     cell = max_radius_m / METRES_PER_DEGREE
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
                                  for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    asked = (left.withColumn("_o", around)
-             .withColumns({"_cy": F.floor(F.col("lat") / cell) + F.col("_o.a"),
-                           "_cx": F.floor(F.col("lon") / cell) + F.col("_o.b")}).drop("_o"))
-    held = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumns({
-        "_cy": F.floor(F.col("r_lat") / cell), "_cx": F.floor(F.col("r_lon") / cell)})
+    asked = left.withColumns({"_cy": F.floor(F.col("lat") / cell), "_cx": F.floor(F.col("lon") / cell)})
+    held = (right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("_o", around)
+            .withColumns({"_cy": F.floor(F.col("r_lat") / cell) + F.col("_o.a"),
+                          "_cx": F.floor(F.col("r_lon") / cell) + F.col("_o.b")}).drop("_o"))
     pairs = asked.join(held, ["_cy", "_cx"]).withColumn(
         out, geo.haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
     return pairs.filter(F.col(out) <= F.col("radius_m")).drop("_cy", "_cx")

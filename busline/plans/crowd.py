@@ -100,7 +100,9 @@ def _asked(spark, sf):
 
 def _live(spark, sf):
     profiles = S.materialised(crowd.trust_profiles(_judged(spark, sf)))
-    return crowd.live_occupancy(_asked(spark, sf), view(spark, sf, "crowd_reports"), profiles)
+    reports, asked = view(spark, sf, "crowd_reports"), _asked(spark, sf)
+    busiest = reports.select("route_id", "stop_id").unionByName(asked.select("route_id", "stop_id"))
+    return crowd.live_occupancy(asked, reports, profiles, width=chunked.width_for(busiest, ["route_id", "stop_id"], CROWD_CHUNK))
 
 
 @query("live_occupancy", _recursive(f"SELECT request_id, CAST(n AS BIGINT) AS report_count, {S.steady_sql('live', 6)} AS avg_live FROM scored", "ev", **_HYBRID))

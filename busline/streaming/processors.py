@@ -7,8 +7,11 @@ those of the batch operators over the same rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -160,12 +163,12 @@ class BehaviourWindow(StatefulProcessor):
             kept = [*kept, (int(row["t"]), float(row["speed"]), float(row["heading"]))][-self.limits.behaviour_rows:]
             if len(kept) < self.limits.behaviour_min_rows:
                 continue
-            window = pd.DataFrame(kept, columns=["t", "speed", "heading"])
-            seconds = window["t"].diff() / 1000.0
-            rate = (window["speed"].diff() / seconds)[seconds > 0]
-            out.append((key[0], kept[-1][0], float(rate.max()) if len(rate) else 0.0, float(rate.min()) if len(rate) else 0.0,
-                        float(window["speed"].var(ddof=0)), float(window["heading"].var(ddof=0)),
-                        float(window["speed"].mean()), float(len(kept))))
+            t, speed, heading = np.array(kept, dtype=float).T
+            seconds = np.diff(t) / 1000.0
+            rate = np.diff(speed)[seconds > 0] / seconds[seconds > 0]
+            out.append((key[0], kept[-1][0], float(rate.max(initial=-np.inf)) if len(rate) else 0.0,
+                        float(rate.min(initial=np.inf)) if len(rate) else 0.0, float(speed.var()), float(heading.var()),
+                        float(speed.mean()), float(len(kept))))
         self.rows.put(kept)
         yield _frame(out, self.COLUMNS)
 
@@ -334,6 +337,20 @@ class DwellState(StatefulProcessor):
         yield frame
 
 
+class _Trailing:
+    """Sums of (t, total, n) entries between two times, by running sums."""
+
+    def __init__(self, entries):
+        ordered = sorted(entries)
+        self.times = [e[0] for e in ordered]
+        self.totals = [0.0, *accumulate(e[1] for e in ordered)]
+        self.counts = [0, *accumulate(e[2] for e in ordered)]
+
+    def within(self, start: int, end: int) -> tuple[float, int]:
+        lo, hi = bisect_left(self.times, start), bisect_right(self.times, end)
+        return self.totals[hi] - self.totals[lo], self.counts[hi] - self.counts[lo]
+
+
 class StopConsensus(StatefulProcessor):
     """Recent reports at one stop; each named report gets the mean of the other passengers'."""
 
@@ -354,12 +371,18 @@ class StopConsensus(StatefulProcessor):
             slot = (int(row["t"]), row["passenger_id"])
             total, n = kept.get(slot, (0.0, 0))
             kept[slot] = (total + float(row["score"]), n + 1)
+        everyone = _Trailing((at, *v) for (at, _), v in kept.items())
+        by_passenger: dict[str, list] = {}
+        for (at, who), v in kept.items():
+            by_passenger.setdefault(who, []).append((at, *v))
+        own = {who: _Trailing(v) for who, v in by_passenger.items()}
         out = []
         for row in batch:
             t, me = int(row["t"]), row["passenger_id"]
-            others = [v for (at, who), v in kept.items() if who != me and t - self.limits.crowd_window_ms <= at <= t]
-            n = sum(v[1] for v in others)
-            out.append((me, int(row["arrival"]), float(row["score"]), n, sum(v[0] for v in others) / n if n else None))
+            total, n = everyone.within(t - self.limits.crowd_window_ms, t)
+            mine, times = own[me].within(t - self.limits.crowd_window_ms, t)
+            others = n - times
+            out.append((me, int(row["arrival"]), float(row["score"]), others, (total - mine) / others if others else None))
         if batch:
             edge = int(batch[-1]["t"]) - self.limits.crowd_window_ms
             self.recent.put([(at, who, v[0], v[1]) for (at, who), v in kept.items() if at >= edge])
