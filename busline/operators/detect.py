@@ -148,7 +148,7 @@ def erratic_driving(windows: DataFrame, forest_anomaly: Column | None = None,
                  .otherwise("Behavioral anomaly detected (rule fallback)"), detail)
 
 
-def _largest_cluster(points: np.ndarray, eps: float, min_points: int) -> int:
+def largest_cluster(points: np.ndarray, eps: float, min_points: int) -> int:
     """Size of the largest density cluster among the points of one short window."""
     delta = points[:, None, :] - points[None, :, :]
     near = (delta ** 2).sum(axis=2) <= eps * eps
@@ -177,7 +177,7 @@ def cluster_share(eps: float, min_points: int):
     def share(window: pd.Series) -> pd.Series:
         def one(points) -> float:
             grid = np.array([(p["lat"], p["lon"]) for p in points], dtype=float)
-            return _largest_cluster(grid, eps, min_points) / len(grid)
+            return largest_cluster(grid, eps, min_points) / len(grid)
         return window.map(one).astype(float)
     return share
 

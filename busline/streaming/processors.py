@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from busline import contracts as C
+from busline.operators.detect import largest_cluster
 
 
 def _ordered(rows: Iterator[pd.DataFrame], *by: str) -> list[dict]:
@@ -187,7 +188,6 @@ class StationaryWindow(StatefulProcessor):
         self.alerted = handle.getValueState("alerted", "on boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        from busline.operators.detect import _largest_cluster
         limits = self.limits
         kept = [tuple(r) for r in self.points.get()] if self.points.exists() else []
         alerted = bool(self.alerted.get()[0]) if self.alerted.exists() else False
@@ -198,7 +198,7 @@ class StationaryWindow(StatefulProcessor):
             dense = False
             if len(kept) >= limits.stationary_min_points and t - kept[0][0] >= limits.stationary_span_ms:
                 grid = pd.DataFrame(kept).iloc[:, 1:].to_numpy()
-                top = _largest_cluster(grid, limits.stationary_eps_deg, limits.stationary_min_points)
+                top = largest_cluster(grid, limits.stationary_eps_deg, limits.stationary_min_points)
                 dense = top / len(kept) >= limits.stationary_share
             if dense and not alerted:
                 out.append((key[0], t))
