@@ -102,8 +102,7 @@ def active_trips(lifecycle: DataFrame, require_matching_trip: bool = True) -> Da
 def trip_cache_status(lifecycle: DataFrame) -> DataFrame:
     """One row: number of active trips and time of the last lifecycle event by arrival."""
     active = active_trips(lifecycle).agg(F.count("*").alias("active_trip_count"))
-    last = lifecycle.agg(F.max_by("t", "arrival").alias("last_lifecycle_t"))
-    return active.withColumn("_k", F.lit(0)).join(last.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return active.withColumn("last_lifecycle_t", lifecycle.agg(F.max_by("t", "arrival")).scalar())
 
 
 def require_active_trip(readings: DataFrame, active: DataFrame, required: bool = True) -> DataFrame:
@@ -135,13 +134,11 @@ def startup_buffer(readings: DataFrame, ready_arrival: int, size: int = C.DEFAUL
     is the ``size``-th arrival, found with a distributed top-k instead of numbering all rows.
     """
     early = readings.filter(F.col("arrival") < ready_arrival).select("arrival").orderBy("arrival").limit(size)
-    cut = early.agg(F.max("arrival").alias("_cut")).withColumn("_k", F.lit(0))
+    cut = early.agg(F.max("arrival")).scalar()
     waiting = F.col("arrival") < ready_arrival
-    return (readings.withColumn("_k", F.lit(0)).join(F.broadcast(cut), "_k", "left")
-            .withColumns({
-                "evaluate_at": F.when(waiting, F.lit(ready_arrival)).otherwise(F.col("arrival")).cast("long"),
-                "error_type": F.when(waiting & (F.col("arrival") > F.col("_cut")), "TRIP_CACHE_REBUILDING")})
-            .drop("_k", "_cut"))
+    return readings.withColumns({
+        "evaluate_at": F.when(waiting, F.lit(ready_arrival)).otherwise(F.col("arrival")).cast("long"),
+        "error_type": F.when(waiting & (F.col("arrival") > cut), "TRIP_CACHE_REBUILDING")})
 
 
 def telemetry_key(bus: str = "bus_id"):

@@ -68,8 +68,6 @@ def trust_profiles(judged: DataFrame, limits: C.Thresholds = C.DEFAULTS,
     """
     start = int(round(limits.default_trust * 100))
     moves = judged.select("passenger_id", "arrival", trust_change(limits).alias("d"))
-    verified = F.sum(F.when(F.col("d") >= 0, 1).otherwise(0))
-    counts = moves.groupBy("passenger_id").agg(F.count("*").alias("total_reports"), verified.alias("verified_reports"))
 
     def then(acc: Column, s: Column, lo: Column, hi: Column) -> Column:
         clamp = lambda x: F.least(hi, F.greatest(lo, x))
@@ -77,23 +75,24 @@ def trust_profiles(judged: DataFrame, limits: C.Thresholds = C.DEFAULTS,
 
     whole = F.lit(100).cast("long"), F.lit(0).cast("long")
     nothing = F.struct(whole[1].alias("s"), whole[1].alias("lo"), whole[0].alias("hi"))
-    changed = chunked.with_chunk(moves.filter("d <> 0"), "arrival", width)
-    per_chunk = (changed.groupBy("passenger_id", CHUNK)
-                 .agg(F.array_sort(F.collect_list(F.struct("arrival", F.col("d").cast("long").alias("d")))).alias("_m"))
-                 .select("passenger_id", CHUNK, F.aggregate(
+    change = F.when(F.col("d") != 0, F.struct("arrival", F.col("d").cast("long").alias("d")))
+    per_chunk = (chunked.with_chunk(moves, "arrival", width).groupBy("passenger_id", CHUNK)
+                 .agg(F.array_sort(F.collect_list(change)).alias("_m"), F.count("*").alias("total_reports"),
+                      F.count_if(F.col("d") >= 0).alias("verified_reports"))
+                 .select("passenger_id", CHUNK, "total_reports", "verified_reports", F.aggregate(
                      "_m", nothing, lambda acc, m: then(acc, m["d"], whole[1], whole[0])).alias("f")))
 
     def fold(df: DataFrame, order: str, keys: list[str]) -> DataFrame:
-        return (df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "f"))).alias("_m"))
-                .select(*keys, F.aggregate("_m", nothing, lambda acc, m: then(
+        sums = ["total_reports", "verified_reports"]
+        return (df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "f"))).alias("_m"),
+                                      *[F.sum(c).alias(c) for c in sums])
+                .select(*keys, *sums, F.aggregate("_m", nothing, lambda acc, m: then(
                     acc, m["f"]["s"], m["f"]["lo"], m["f"]["hi"])).alias("f")))
 
     per_span = fold(per_chunk.withColumn("_span", F.floor(F.col(CHUNK) / span)), CHUNK, ["passenger_id", "_span"])
     total = fold(per_span, "_span", ["passenger_id"])
     points = F.least(F.col("f.hi"), F.greatest(F.col("f.lo"), F.lit(start) + F.col("f.s")))
-    return (counts.join(total, "passenger_id", "left")
-            .select("passenger_id", (F.coalesce(points, F.lit(start)) / 100.0).alias("trust_score"),
-                    "total_reports", "verified_reports"))
+    return total.select("passenger_id", (points / 100.0).alias("trust_score"), "total_reports", "verified_reports")
 
 
 def with_trust(reports: DataFrame, profiles: DataFrame, limits: C.Thresholds = C.DEFAULTS) -> DataFrame:
@@ -142,13 +141,11 @@ def hybrid_prediction(live: DataFrame, historical: Column) -> DataFrame:
 def training_reports(reports: DataFrame, minimum_real: int = 100) -> DataFrame:
     """Only real reports once there are enough of them, otherwise real and synthetic ones.
 
-    The switch is one scalar row, compared through a broadcast of that single row.
+    The number of real reports is a scalar subquery.
     """
     real = (F.col("passenger_id") != "synthetic") | F.col("passenger_id").isNull()
-    switch = reports.agg(F.coalesce(F.sum(F.when(real, 1).otherwise(0)), F.lit(0)).alias("_real")).withColumn(
-        "_k", F.lit(0))
-    return (reports.withColumn("_k", F.lit(0)).join(F.broadcast(switch), "_k")
-            .filter((F.col("_real") < minimum_real) | real).drop("_k", "_real"))
+    n_real = reports.agg(F.count_if(real)).scalar()
+    return reports.filter((n_real < minimum_real) | real)
 
 
 def crowd_features(reports: DataFrame) -> DataFrame:

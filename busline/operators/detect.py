@@ -172,10 +172,12 @@ def largest_cluster(points: np.ndarray, eps: float, min_points: int) -> int:
 
 
 def cluster_share(eps: float, min_points: int):
-    """Pandas UDF: share of the window's points in its largest density cluster."""
+    """Pandas UDF: share of the window's points in its largest density cluster, 0 for a NULL window."""
     @F.pandas_udf("double")
     def share(window: pd.Series) -> pd.Series:
         def one(points) -> float:
+            if points is None:
+                return 0.0
             grid = np.array([(p["lat"], p["lon"]) for p in points], dtype=float)
             return largest_cluster(grid, eps, min_points) / len(grid)
         return window.map(one).astype(float)
@@ -186,8 +188,8 @@ def stationary_windows(readings: DataFrame, limits: C.Thresholds = C.DEFAULTS,
                        width: int | None = chunked.HOUR_MS) -> DataFrame:
     """Readings with the flag whether their trailing window forms one dense cluster.
 
-    The window array is only built for rows whose window is long enough; the flag of every other
-    row is false. Its rows are bounded by the window length, as times are unique per bus.
+    Only windows that are long enough are handed to the clustering; the flag of every other row is
+    false. A window's rows are bounded by its length, as times are unique per bus.
     """
     rows = _active(readings).select("bus_id", "t", "lat", "lon", "trip_id", "route_id")
     halo = chunked.range_halo(rows, "t", limits.stationary_ms, width)
@@ -196,10 +198,8 @@ def stationary_windows(readings: DataFrame, limits: C.Thresholds = C.DEFAULTS,
     long_enough = ((F.col("_n") >= limits.stationary_min_points)
                    & (F.col("t") - F.col("_from") >= limits.stationary_span_ms))
     points = sized.withColumn("_points", F.collect_list(F.struct("lat", "lon")).over(back)).filter(~F.col("_halo"))
-    measured = points.filter(long_enough).withColumn(
-        "share", cluster_share(limits.stationary_eps_deg, limits.stationary_min_points)("_points"))
-    short = points.filter(~long_enough).withColumn("share", F.lit(0.0))
-    return (measured.unionByName(short).withColumn("dense", F.col("share") >= limits.stationary_share)
+    share = cluster_share(limits.stationary_eps_deg, limits.stationary_min_points)
+    return (points.withColumn("share", share(F.when(long_enough, F.col("_points")))).withColumn("dense", F.col("share") >= limits.stationary_share)
             .withColumnRenamed("_n", "window_points").drop("_points", "_from", "_halo", CHUNK))
 
 
@@ -275,11 +275,25 @@ def trip_not_started(dlq: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: i
                                     F.lit(limits.dlq_window_ms // 1000).alias("windowSeconds"))))
 
 
+def row_alerts(readings: DataFrame, limits: C.Thresholds = C.DEFAULTS) -> DataFrame:
+    """Alerts that need one reading only (speed, inactive GPS, off route), in a single pass."""
+    active = F.coalesce(F.col("route_id"), F.lit("")) != ""
+
+    def raised(when: Column, kind: str, message: Column) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), message.alias("message")))
+
+    fired = F.array_compact(F.array(
+        raised(F.col("speed") > limits.alert_speed_kmh, "UNREALISTIC_SPEED", F.lit("Speed exceeded 120 km/h")),
+        raised(~active, "INACTIVE_GPS", F.lit("GPS received for inactive trip")),
+        raised(active & F.col("off_route"), "OFF_ROUTE", F.format_string(
+            "Bus deviated by %dm from route", F.bround("off_route_m", 0).cast("long")))))
+    return alert(readings.withColumn("_a", F.explode(fired)), F.col("_a.kind"), F.col("_a.message"))
+
+
 def detect_all(readings: DataFrame, as_of_ms: int, limits: C.Thresholds = C.DEFAULTS,
                forest_anomaly: Column | None = None, width: int | None = chunked.HOUR_MS) -> DataFrame:
     """All detectors that read the cleaned stream, as one alert table."""
-    parts = [unrealistic_speed(readings, limits), inactive_gps(readings), off_route(readings),
-             off_route_streaks(readings, limits, width), stationary(readings, limits, width),
+    parts = [row_alerts(readings, limits), off_route_streaks(readings, limits, width), stationary(readings, limits, width),
              communication_loss(readings, as_of_ms, limits, width),
              erratic_driving(behaviour_windows(readings, limits, width), forest_anomaly, limits)]
     out = parts[0]

@@ -104,7 +104,5 @@ def score(df: DataFrame, forest: DataFrame, features: list[str], out: str = "for
 
 def verdict(scored: DataFrame, contamination: float = 0.05, out: str = "forest_anomaly") -> DataFrame:
     """Rows above the score quantile that the contamination share sets (mergeable quantile sketch)."""
-    edge = scored.agg(F.percentile_approx("forest_score", 1 - contamination, 100_000).alias("_edge")).withColumn(
-        "_k", F.lit(0))
-    return (scored.withColumn("_k", F.lit(0)).join(F.broadcast(edge), "_k")
-            .withColumn(out, F.col("forest_score") > F.col("_edge")).drop("_k", "_edge"))
+    edge = scored.agg(F.percentile_approx("forest_score", 1 - contamination, 100_000)).scalar()
+    return scored.withColumn(out, F.col("forest_score") > edge)

@@ -47,9 +47,8 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame, point_key: list[str])
                                F.floor(F.col("lat") / cell).alias("_cy"), F.floor(F.col("lon") / cell).alias("_cx"))
     samples = in_cells.groupBy("_cy", "_cx").agg(F.min(F.struct("_vlat", "_vlon")).alias("_s"))
     listing = samples.agg(F.collect_list(F.struct("_cy", "_cx", F.col("_s._vlat").alias("lat"),
-                                                  F.col("_s._vlon").alias("lon"))).alias("_cells"),
-                          F.lit(0).alias("_k"))
-    measured = (points.select(*point_key, "lat", "lon", F.lit(0).alias("_k")).join(F.broadcast(listing), "_k")
+                                                  F.col("_s._vlon").alias("lon"))).alias("_cells"))
+    measured = (points.select(*point_key, "lat", "lon").withColumn("_cells", listing.scalar())
                 .withColumn("_d", F.transform("_cells", lambda c: F.struct(
                     geo.haversine_m(F.col("lat"), F.col("lon"), c["lat"], c["lon"]).alias("d"),
                     c["_cy"].alias("_cy"), c["_cx"].alias("_cx")))))

@@ -24,19 +24,16 @@ PLACE = ["route_id", "stop_id"]
 def sufficiency(history: DataFrame, records: DataFrame, as_of_ms: int, limits: C.Thresholds = C.DEFAULTS) -> DataFrame:
     """One row: age of the history in days (30-day look-back), record count, stops with enough
     recent records, reasons and the verdict. The seasonal count is reported and does not gate."""
-    age = history.filter(F.col("t") >= as_of_ms - 30 * DAY_MS).agg(
+    one = history.filter(F.col("t") >= as_of_ms - 30 * DAY_MS).agg(
         F.coalesce(F.greatest(F.lit(0.0), (as_of_ms - F.min("t")) / F.lit(float(DAY_MS))), F.lit(0.0)).alias("history_days"))
-    count = records.agg(F.count("*").alias("record_count"))
-    ready = ready_stops(records, as_of_ms, limits)
-    one = age.withColumn("_k", F.lit(0))
-    for part in (count, ready):
-        one = one.join(F.broadcast(part.withColumn("_k", F.lit(0))), "_k")
+    one = one.withColumn("record_count", records.agg(F.count("*")).scalar()).withColumn(
+        "ready_stops", ready_stops(records, as_of_ms, limits).scalar())
     reasons = F.array_compact(F.array(
         F.when(F.col("history_days") < limits.retrain_days,
                F.format_string(f"history_days %.1f < {limits.retrain_days}", "history_days")),
         F.when(F.col("record_count") < limits.retrain_records,
                F.format_string(f"eta_records %d < {limits.retrain_records}", "record_count"))))
-    return one.drop("_k").withColumn("reasons", F.array_join(reasons, "; ")).withColumn(
+    return one.withColumn("reasons", F.array_join(reasons, "; ")).withColumn(
         "sufficient", F.col("reasons") == "")
 
 

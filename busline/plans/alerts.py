@@ -184,12 +184,12 @@ def alert_totals(spark, sf):
 
 
 @query("audience_routing", _sql("""SELECT bus_id, t, anomaly_type, unnest(CASE WHEN anomaly_type = 'UNREALISTIC_SPEED'
-  THEN ['anomaly:admin', 'anomaly:driver'] ELSE ['anomaly:admin'] END) AS channel FROM (
+  OR anomaly_type = 'OFF_ROUTE' THEN ['anomaly:admin', 'anomaly:driver'] ELSE ['anomaly:admin'] END) AS channel FROM (
   SELECT bus_id, t, 'UNREALISTIC_SPEED' AS anomaly_type FROM enriched WHERE speed > 120
-  UNION ALL SELECT bus_id, t, 'INACTIVE_GPS' FROM enriched WHERE route_id IS NULL)"""))
+  UNION ALL SELECT bus_id, t, 'INACTIVE_GPS' FROM enriched WHERE route_id IS NULL
+  UNION ALL SELECT bus_id, t, 'OFF_ROUTE' FROM enriched WHERE route_id IS NOT NULL AND off_route)"""))
 def audience_routing(spark, sf):
-    rows = S.enriched(spark, sf)
-    alerts = detect.unrealistic_speed(rows).unionByName(detect.inactive_gps(rows))
+    alerts = detect.row_alerts(S.enriched(spark, sf))
     return detect.route_to_audiences(alerts).select("bus_id", "t", "anomaly_type", "channel")
 
 
