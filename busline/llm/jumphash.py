@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from busline.llm.common import stored, without
 
-#: Slots are numbered in this many independent parts of each shard.
-PARTS = 256
 #: Multiplier of the 64-bit congruential step of the published algorithm (fixed value).
 STEP = np.uint64(2862933555777941757)
 
@@ -50,21 +48,20 @@ def assign(rows: DataFrame, shards: int, key: str = "doc_id", text: str = "text"
     """Shard, slot and the shard after one more is appended, for every row.
 
     Columns: the key, size (UTF-8 bytes of the text plus 8), text_crc32, law, shard, slot, grown_shard. A null text has
-    no bytes, a null key is hashed as 0, equal keys share a shard, and repeated rows are kept. Slots are gapless from 0
-    within a shard: the rows of a shard are dealt to ``PARTS`` parts by a hash, numbered within each part, and moved on by
-    the sizes of the parts before it. A key that holds a large share of the rows is spread over the parts by
-    its row's place in the stored table, so no task ever holds a whole shard.
+    no bytes, a null key is hashed as 0, equal keys share a shard, and repeated rows are kept. Slots count from 0 in
+    the order of the key (null first, equal keys in any order). Rows are dealt to ranges of (shard, key, place in
+    the input), so a shard, or a key with a large share of the rows, is spread over many tasks: each range numbers its own
+    rows, and moves them on by the sizes of the ranges before it.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    sized = without(rows, "size", "text_crc32", "shard", "grown_shard", "part", "place").select(
-        key, (F.octet_length(body) + F.lit(8)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
-        shard_of(key, shards).alias("shard"), shard_of(key, shards + 1).alias("grown_shard"),
-        F.monotonically_increasing_id().alias("place"))
-    # one narrow table, read twice: places are fixed once it is written
-    sized = stored(sized, "shards").withColumn("part", F.pmod(F.xxhash64("place"), F.lit(PARTS)).cast("int"))
-    counts = sized.groupBy("shard", "part").count()  # at most shards x PARTS rows
-    before = F.expr("sum(count) OVER (PARTITION BY shard ORDER BY part) - count")
-    starts = counts.select("shard", "part", before.alias("start"))
+    sized = rows.select(
+        F.col(key), (F.octet_length(body) + F.lit(8)).cast("long").alias("size"),
+        F.crc32(body.cast("binary")).alias("text_crc32"), shard_of(key, shards).alias("shard"),
+        shard_of(key, shards + 1).alias("grown_shard"), F.monotonically_increasing_id().alias("place"))
+    # a narrow table; the range of a row is fixed once it is written
+    sized = stored(sized.repartitionByRange("shard", key, "place").withColumn("part", F.spark_partition_id()), "shards")
+    counts = sized.groupBy("shard", "part").count()  # ranges are disjoint: at most (ranges + shards) rows
+    starts = counts.select("shard", "part", F.expr("sum(count) OVER (PARTITION BY shard ORDER BY part) - count").alias("start"))
     number = F.expr(f"row_number() OVER (PARTITION BY shard, part ORDER BY `{key}`, place) - 1")
     return (sized.withColumn("number", number)
             .join(F.broadcast(starts), ["shard", "part"])  # bounded as above

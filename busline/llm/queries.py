@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busline.llm import jumphash, pieces
+from busline.llm import jumphash, pieces, postings
 from busline.llm.common import documents
 from busline.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -40,7 +40,39 @@ landed AS (SELECT doc_id, n, max(shard) AS shard FROM jumps GROUP BY ALL)
 """
 
 
-@query("op9_jump_shards")
+@query("op9_jump_shards", JUMP_SQL + """,
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))),
+spelt AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+summed AS (SELECT doc_id, n, xor(list_reduce(list_transform(range(n), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS crc FROM spelt, crc_table)
+SELECT doc_id, summed.n + 8 AS size, crc AS text_crc32, 'key' AS law, a.shard::INT AS shard,
+  row_number() OVER (PARTITION BY a.shard ORDER BY doc_id) - 1 AS slot, b.shard::INT AS grown_shard
+FROM summed JOIN (SELECT * FROM landed WHERE n = """ + str(SHARDS) + """) a USING (doc_id)
+JOIN (SELECT * FROM landed WHERE n = """ + str(SHARDS + 1) + """) b USING (doc_id)""")
 def jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt to shards by the jump hash of doc_id."""
     return jumphash.assign(documents(spark, sf_dir).select("doc_id", "text"), SHARDS)
+
+
+@query("op1_decontamination", r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS p, least(13, len(w)) AS n
+    FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+pos AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) > 0),
+cand AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS p, len(w) AS total
+    FROM pos, (SELECT DISTINCT n FROM win) WHERE i + n - 1 <= len(w)),
+hit AS (SELECT DISTINCT r, i, cand.n, item_id FROM cand JOIN win USING (p)),
+covered AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM hit) GROUP BY r),
+held AS (SELECT r, count(DISTINCT item_id) AS n_items,
+    string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN held USING (r)""")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against the windows of 13 words of all benchmark items."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return postings.decontaminate(documents(spark, sf_dir), items).drop("items")
