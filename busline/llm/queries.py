@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busline.llm import jumphash, pieces, postings
+from busline.llm import jumphash, pieces, postings, trigrams
 from busline.llm.common import documents
 from busline.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -19,6 +19,30 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def spans_text(spans: Column) -> Column:
+    """``kind:start:end`` of an array of spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def count_of(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def spans_sql(kinds: list[tuple[str, str, str]]) -> str:
+    """SQL for (r, kind, n, start, stop): all spans of (kind, expression, test on the match ``m``) in ``d`` (r, body).
+
+    Gaps between matches come from splitting at the same expression; running lengths give the offsets.
+    """
+    def one(n: int, kind: str, pattern: str, test: str) -> str:
+        pattern = pattern.replace("'", "''")
+        return f"""SELECT r, '{kind}' AS kind, {n} AS n, e - length(m) AS start, e AS stop FROM (
+          SELECT r, m, sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY k) AS e FROM (
+            SELECT r, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(len(ms))) AS k FROM (
+              SELECT r, regexp_extract_all(body, '{pattern}') AS ms, string_split_regex(body, '{pattern}') AS gs FROM d)))
+          WHERE {test}"""
+    return " UNION ALL ".join(one(n, *kind) for n, kind in enumerate(kinds))
+
+
 @query("op5_sentencepiece")
 def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded; digests of the ids and of the decoded text."""
@@ -76,3 +100,26 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against the windows of 13 words of all benchmark items."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return postings.decontaminate(documents(spark, sf_dir), items).drop("items")
+
+
+def _secrets_sql() -> str:
+    kinds = []
+    for rule in trigrams.RULES:
+        pattern = ("(?i)" if rule.any_case else "") + rule.pattern
+        test = f"length(regexp_extract(m, '{pattern.replace(chr(39), chr(39) * 2)}', {rule.group})) >= {rule.least}"
+        kinds.append((rule.kind, pattern, test))
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in trigrams.BASE)
+    return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS body FROM documents),
+s AS ({spans_sql(kinds)}),
+t AS (SELECT r, n, kind, start, kind || ':' || start::BIGINT || ':' || stop::BIGINT AS v FROM s)
+SELECT doc_id, {counts}, sha256(coalesce(string_agg(v, ',' ORDER BY start, n) FILTER (kind IN {trigrams.BASE}), '')) AS base_sha256,
+  coalesce(string_agg(v, ',' ORDER BY start, n), '') AS spans FROM d LEFT JOIN t USING (r) GROUP BY d.r, doc_id"""
+
+
+@query("op8_secrets", _secrets_sql())
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text: the base kinds, and the further kinds of the rule set."""
+    found = trigrams.scan(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "secrets")
+    base = F.filter("secrets", lambda s: s["kind"].isin(*trigrams.BASE))
+    return found.select("doc_id", *[count_of("secrets", k) for k in trigrams.BASE],
+                        F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("secrets")).alias("spans"))
