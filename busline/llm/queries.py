@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busline.llm import jumphash, pieces, postings, trigrams
+from busline.llm import banding, jumphash, pieces, postings, trigrams
 from busline.llm.common import documents
 from busline.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -123,3 +123,9 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("secrets", lambda s: s["kind"].isin(*trigrams.BASE))
     return found.select("doc_id", *[count_of("secrets", k) for k in trigrams.BASE],
                         F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("secrets")).alias("spans"))
+
+
+@query("op10_ngram_join")
+def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its near-duplicate class and its number of links (five words, similarity 0.8)."""
+    return banding.link(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id", "n_links", "n_copies", "class_key")
