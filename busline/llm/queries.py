@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busline.llm import banding, jumphash, pieces, postings, trigrams
-from busline.llm.common import documents
+from busline.llm import banding, jumphash, pieces, postings, trigrams, votes
+from busline.llm.common import documents, stored
 from busline.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 SHARDS = 24
@@ -129,3 +129,10 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its near-duplicate class and its number of links (five words, similarity 0.8)."""
     return banding.link(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id", "n_links", "n_copies", "class_key")
+
+
+@query("op7_quality_votes")
+def quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text, the base rules, and the verdict of the weighted votes."""
+    rated = stored(votes.voted(votes.counted(documents(spark, sf_dir).select("doc_id", "text")).drop("text")), "votes")
+    return votes.judged(rated, votes.fit(rated)).select("doc_id", *votes.COUNTS, "base_failed", "kept", "quality")
