@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busline.llm import banding, jumphash, pieces, postings, trigrams, votes
+from busline.llm import banding, jumphash, pieces, postings, trigrams, votes, winnow
 from busline.llm.common import documents, stored
 from busline.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -136,3 +136,30 @@ def quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every text, the base rules, and the verdict of the weighted votes."""
     rated = stored(votes.voted(votes.counted(documents(spark, sf_dir).select("doc_id", "text")).drop("text")), "votes")
     return votes.judged(rated, votes.fit(rated)).select("doc_id", *votes.COUNTS, "base_failed", "kept", "quality")
+
+
+def _lines_sql(least: int) -> str:
+    """Windows as in ``winnow``, over all lines: running word counts give where each window ends or starts."""
+    return rf"""WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS r FROM documents),
+raw AS (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
+cut AS (SELECT r, i, line, trim(line, E' 	') AS s FROM raw),
+l AS (SELECT r, i, s, row_number() OVER w AS k, sum(len(regexp_split_to_array(s, '[ 	]+'))) OVER w AS upto,
+    len(regexp_split_to_array(s, '[ 	]+')) AS n FROM cut WHERE s <> '' WINDOW w AS (PARTITION BY r ORDER BY i)),
+win AS (SELECT a.r, a.k AS f, min(b.k) AS t FROM l a JOIN l b ON a.r = b.r AND b.k >= a.k AND b.k < a.k + {least}
+      AND b.upto - a.upto + a.n >= {least} GROUP BY ALL
+    UNION SELECT b.r, max(a.k), b.k FROM l a JOIN l b ON a.r = b.r AND b.k >= a.k AND b.k < a.k + {least}
+      AND b.upto - a.upto + a.n >= {least} GROUP BY b.r, b.k),
+told AS (SELECT win.r, f, t, string_agg(s, chr(10) ORDER BY k) AS body, min(i) AS first, max(i) AS last
+    FROM win JOIN l ON l.r = win.r AND k BETWEEN f AND t GROUP BY ALL),
+ranked AS (SELECT *, first_value(r) OVER w AS r1, first_value(last) OVER w AS last1 FROM told WINDOW w AS (PARTITION BY body ORDER BY r, first)),
+gone AS (SELECT DISTINCT r, unnest(range(first, last + 1)) AS i FROM ranked WHERE r <> r1 OR first > last1),
+kept AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS text FROM raw ANTI JOIN gone USING (r, i) GROUP BY r),
+lost AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, coalesce(n, 0)::INT AS n_removed
+FROM d LEFT JOIN kept USING (r) LEFT JOIN lost USING (r)"""
+
+
+@query("op4_line_winnowing", _lines_sql(winnow.LEAST_WORDS))
+def line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later repeated runs of lines of 50 words or more."""
+    return winnow.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
