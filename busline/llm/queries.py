@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busline.llm import banding, jumphash, pieces, postings, trigrams, votes, winnow
+from busline.llm import banding, jumphash, pieces, pii, postings, trigrams, votes, winnow
 from busline.llm.common import documents, stored
 from busline.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -142,9 +142,12 @@ def _lines_sql(least: int) -> str:
     """Windows as in ``winnow``, over all lines: running word counts give where each window ends or starts."""
     return rf"""WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS r FROM documents),
 raw AS (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
-cut AS (SELECT r, i, line, trim(line, E' 	') AS s FROM raw),
-l AS (SELECT r, i, s, row_number() OVER w AS k, sum(len(regexp_split_to_array(s, '[ 	]+'))) OVER w AS upto,
-    len(regexp_split_to_array(s, '[ 	]+')) AS n FROM cut WHERE s <> '' WINDOW w AS (PARTITION BY r ORDER BY i)),
+cut AS (SELECT r, i, line, trim(line, E' 	
+') AS s FROM raw),
+l AS (SELECT r, i, s, row_number() OVER w AS k, sum(len(regexp_split_to_array(s, '[ 	
+]+'))) OVER w AS upto,
+    len(regexp_split_to_array(s, '[ 	
+]+')) AS n FROM cut WHERE s <> '' WINDOW w AS (PARTITION BY r ORDER BY i)),
 win AS (SELECT a.r, a.k AS f, min(b.k) AS t FROM l a JOIN l b ON a.r = b.r AND b.k >= a.k AND b.k < a.k + {least}
       AND b.upto - a.upto + a.n >= {least} GROUP BY ALL
     UNION SELECT b.r, max(a.k), b.k FROM l a JOIN l b ON a.r = b.r AND b.k >= a.k AND b.k < a.k + {least}
@@ -163,3 +166,14 @@ FROM d LEFT JOIN kept USING (r) LEFT JOIN lost USING (r)"""
 def line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without later repeated runs of lines of 50 words or more."""
     return winnow.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query("op2_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: the base spans, and those that the trees add."""
+    found = stored(pii.candidates(documents(spark, sf_dir).select("doc_id", "text")).drop("text"), "candidates")
+    marked = pii.select(found, pii.fit(found))
+    base = F.filter("spans", lambda s: s["base"])
+    return marked.withColumn("_base", base).select(
+        "doc_id", *[count_of("_base", k) for k in pii.KINDS], F.sha2(spans_text(F.col("_base")), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"))
