@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busline.llm import banding, jumphash, pieces, pii, postings, trigrams, votes, winnow
+from busline.llm import banding, bayes, jumphash, pieces, pii, postings, quotes, trigrams, votes, winnow
 from busline.llm.common import documents, stored
 from busline.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -177,3 +177,16 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.withColumn("_base", base).select(
         "doc_id", *[count_of("_base", k) for k in pii.KINDS], F.sha2(spans_text(F.col("_base")), 256).alias("base_sha256"),
         spans_text(F.col("spans")).alias("spans"))
+
+
+@query("op3_quotation_links")
+def quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations in reply order, without quotes."""
+    return quotes.link(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query("op6_quality_bayes")
+def quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document: its text's evidence, its source as host, its language as path."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return bayes.classify(documents(spark, sf_dir), labels, F.col("source"), F.concat_ws("/", "source", "lang"))
