@@ -21,14 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from busline.llm.common import slices, stored
+from busline.llm.common import slices, stored, text_key
 
 SEGMENT_CHARS = 6_000_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _INDEX = T.StructType([T.StructField("segment", T.LongType()), T.StructField("term", T.StringType()),
                        T.StructField("count", T.LongType()), T.StructField("positions", T.BinaryType()),
-                       T.StructField("doc_ids", T.ArrayType(T.LongType()))])
+                       T.StructField("doc_ids", T.ArrayType(T.LongType())),
+                       T.StructField("text_keys", T.ArrayType(T.BinaryType()))])
 
 
 def words(text: str | Column) -> Column:
@@ -79,7 +80,7 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.add.reduceat((raw & 127).astype(np.int64) << (7 * within), starts))
 
 
-def _segment(number: int, texts: list[str | None], doc_ids: pa.Array) -> pa.RecordBatch:
+def _segment(number: int, texts: list[str | None], doc_ids: pa.Array, text_keys: pa.Array) -> pa.RecordBatch:
     """Index rows of one segment. A position is a word's number in the segment; one is left out between documents."""
     table = _word_bytes()
     split = [t.encode().translate(table).split() if t else [] for t in texts]
@@ -93,45 +94,47 @@ def _segment(number: int, texts: list[str | None], doc_ids: pa.Array) -> pa.Reco
     starts = np.cumsum(lengths + 1) - lengths - 1
     directory = _pack(np.append(starts, starts[-1] + lengths[-1] + 1), np.array([len(starts) + 1]))
     terms = len(tokens.dictionary)
-    ids = pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)
+    whole = pa.array([0, len(doc_ids)], pa.int32())
+    named = [pa.ListArray.from_arrays(whole, a).cast(pa.list_(a.type)) for a in (doc_ids, text_keys)]
     return pa.RecordBatch.from_arrays([
         pa.array(np.full(terms + 1, number, np.int64)),
         pa.concat_arrays([tokens.dictionary.cast(pa.string()), pa.nulls(1, pa.string())]),
         pa.array(np.append(counts, len(lengths)).astype(np.int64)),
         pa.concat_arrays([*lists, directory]),
-        pa.concat_arrays([pa.nulls(terms, pa.list_(pa.int64())), ids.cast(pa.list_(pa.int64()))]),
+        *[pa.concat_arrays([pa.nulls(terms, a.type), a]) for a in named],
     ], names=_INDEX.names)
 
 
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The stored index of ``docs``: (segment, term, count, positions, doc_ids).
+    """The stored index of ``docs``: (segment, term, count, positions, doc_ids, text_keys).
 
-    A row with a null term is the directory of its segment: where each document starts, and the documents' ids.
+    A row with a null term is the directory of its segment: where each document starts, its id and its text's key.
     Narrow: a task indexes its own rows, one segment of bounded size at a time.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for first, texts in slices(batch.column(1), SEGMENT_CHARS):
-                yield _segment(number, texts, batch.column(0).slice(first, len(texts)))
+                part = batch.slice(first, len(texts))
+                yield _segment(number, texts, part.column(0), part.column(2))
                 number += 1
 
-    return stored(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body")).mapInArrow(run, _INDEX), "index")
+    return stored(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body"), text_key(text).alias("text_key")).mapInArrow(run, _INDEX), "index")
 
 
 def directory(index: DataFrame) -> DataFrame:
-    """(segment, place, doc_id, n_words) of every indexed document."""
+    """(segment, place, doc_id, text_key, n_words) of every indexed document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for segment, packed, ids in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), strict=True):
+            for segment, packed, ids, keys in zip(*(c.to_pylist() for c in batch.columns[:2]), *batch.columns[2:], strict=True):
                 starts = _unpack(packed)
                 count = len(starts) - 1
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(count, segment, np.int64)), pa.array(np.arange(count, dtype=np.int32)),
-                    ids.values, pa.array(np.diff(starts) - 1)], names=["segment", "place", "doc_id", "n_words"])
+                    ids.values, keys.values, pa.array(np.diff(starts) - 1)], names=["segment", "place", "doc_id", "text_key", "n_words"])
 
-    rows = index.filter(F.col("term").isNull()).select("segment", "positions", "doc_ids")
-    return rows.mapInArrow(run, "segment long, place int, doc_id long, n_words long")
+    rows = index.filter(F.col("term").isNull()).select("segment", "positions", "doc_ids", "text_keys")
+    return rows.mapInArrow(run, "segment long, place int, doc_id long, text_key binary, n_words long")
 
 
 # --- look-ups -------------------------------------------------------------------------------------
@@ -263,7 +266,7 @@ def windows(items: DataFrame, width: int = 13, key: str = "item_id", text: str =
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
+    """One row per document: doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated, items.
 
     ``n_hit`` counts the document's words inside any window of an item, ``items`` are the ids (as strings, sorted) of
     items with such a window; contaminated: n_hit > 0 and share * n_hit >= n_words. A null item id counts as no item
@@ -285,6 +288,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, share: int
     n_hit, none = F.coalesce("n_hit", F.lit(0)).cast("long"), F.array().cast("array<string>")
     items_of = F.coalesce("items", none)
     return directory(index).join(found, ["segment", "place"], "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"),
+        "doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"),
         F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"), items_of.alias("items"))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
+    """The documents that are not contaminated, with their columns."""
+    found = decontaminate(docs, items, width, share).filter("contaminated").select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    marked = docs.withColumn("_own", text_key())
+    return marked.join(found, marked.doc_id.cast("long").eqNullSafe(found["_id"]) & (marked["_own"] == found["_key"]), "left_anti").select(*docs.columns)

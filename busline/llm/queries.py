@@ -99,7 +99,7 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN held USING (r)""")
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against the windows of 13 words of all benchmark items."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return postings.decontaminate(documents(spark, sf_dir), items).drop("items")
+    return postings.decontaminate(documents(spark, sf_dir), items).drop("items", "text_key")
 
 
 def _secrets_sql() -> str:
