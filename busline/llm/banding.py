@@ -38,7 +38,7 @@ def banding(similarity: float = SIMILARITY, recall: float = RECALL, most_hashes:
     if similarity >= 1:
         return 1, 1
     fitting = [(bands, rows) for rows in range(1, most_hashes + 1)
-               if (bands := math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))) * rows <= most_hashes]
+               if (bands := math.ceil(math.log(1 - recall) / math.log1p(-(similarity**rows)))) * rows <= most_hashes]
     if not fitting:
         raise ValueError("the recall needs more hashes")
     return fitting[-1]
