@@ -20,14 +20,6 @@ def iso_utc(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
 
 
-def hour_of_day(ts: Column) -> Column:
-    return F.hour(ts)
-
-
-def weekday_mon0(ts: Column) -> Column:
-    return F.weekday(ts)
-
-
 def weekday_sun0(day: Column) -> Column:
     return F.dayofweek(day) - 1
 

@@ -1,10 +1,9 @@
 """Order-dependent work on keys of any size.
 
-A bus, a stop or a passenger may own a third of all rows. :func:`width_for` measures that: as long as
-no key exceeds a limit that one task sorts easily, ``width`` is None and everything below is one
-plain window per key. Otherwise a key's history is cut into *chunks* (ranges of its order column),
-rows are shuffled by (key, chunk), and what a row needs from before its chunk comes from small
-per-chunk summaries:
+A bus, a stop or a passenger may own a third of all rows. A key's history is cut into *chunks* (ranges of its order
+column), rows are shuffled by (key, chunk), and what a row needs from before its chunk comes from small per-chunk
+summaries. The same is done at every size; ``width=None`` is one window per key, for inputs whose keys are known to be
+small:
 
 * :func:`carry`          running last / max / min / sum over everything before the row
 * :func:`next_value`     the value of the following row
@@ -31,17 +30,6 @@ from busline.session import cut_lineage
 CHUNK = "_chunk"
 HOUR_MS = 3_600_000
 ARRIVAL_CHUNK = 1_000_000
-KEY_LIMIT = 1_000_000
-
-
-def width_for(df: DataFrame, key: list[str], width: int, limit: int = KEY_LIMIT) -> int | None:
-    """``width`` when some key has more than ``limit`` rows, else None.
-
-    One partially aggregated count over the key columns. Measure a source table: the rows an
-    operator sees later are never more than the source's.
-    """
-    largest = df.groupBy(*key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    return width if (largest or 0) > limit else None
 
 
 def with_chunk(df: DataFrame, order: str, width: int | None) -> DataFrame:

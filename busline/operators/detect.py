@@ -305,10 +305,3 @@ def detect_all(readings: DataFrame, as_of_ms: int, limits: C.Thresholds = C.DEFA
 def route_to_audiences(alerts: DataFrame) -> DataFrame:
     """One row per alert and audience channel."""
     return alerts.withColumn("channel", F.explode(scalars.audiences(F.col("anomaly_type"))))
-
-
-def geometry_deviation(df: DataFrame) -> DataFrame:
-    """Distance to the route line for rows that carry segment columns; infinite without a line."""
-    placed = geo.route_position(df)
-    return placed.withColumn("geometry_m", F.when(F.coalesce(F.col("n_points"), F.lit(0)) < 1, F.lit(float("inf")))
-                             .otherwise(F.col("pos.off_m"))).drop("pos")

@@ -7,31 +7,32 @@ from pyspark.sql import functions as F
 
 from busline import contracts as C
 from busline.functions import geo
-from busline.operators import chunked
+from busline.operators import chunked, spatial
 from busline.operators.chunked import Carry
 
-METRES_PER_DEGREE = 111_000
+# the planar zone metric: metres per degree of latitude, and the shrinking of longitude
+METRES_PER_DEGREE, LON_SHARE = 111_000, 0.7
 
 
-def resolve_stop(points: DataFrame, zones: DataFrame, point_key: list[str], max_radius_m: float = 50.0) -> DataFrame:
+def resolve_stop(points: DataFrame, zones: DataFrame, point_key: list[str]) -> DataFrame:
     """Add ``stop_id`` of the first listed zone that contains the point, NULL outside all zones.
 
-    Zones (stop_id, zone_pos, lat, lon, radius_m) are spread over the grid cells around them, so a
-    point looks into its own cell only. The reduction to one zone is a min over structs, which
-    combines before the shuffle.
+    Zones (stop_id, zone_pos, lat, lon, radius_m) may be of any size: each is spread over the grid cells around it, of
+    the power of two above its own radius, and a point looks into one cell of each size that occurs. The
+    reduction to one zone is a min over structs, which combines before the shuffle.
     """
-    lat_cell = max_radius_m / METRES_PER_DEGREE
-    lon_cell = lat_cell / 0.7
+    lat_cell = F.pow(F.lit(2.0), F.col("_level")) / METRES_PER_DEGREE
+    lon_cell = lat_cell / LON_SHARE
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
                                  for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    placed = (zones.withColumn("_o", around)
+    placed = (zones.withColumns({"_o": around, "_level": spatial.level(F.col("radius_m"))})
               .select(F.col("stop_id").alias("_stop"), F.col("zone_pos").alias("_pos"), F.col("lat").alias("_zlat"),
-                      F.col("lon").alias("_zlon"), F.col("radius_m").alias("_radius"),
+                      F.col("lon").alias("_zlon"), F.col("radius_m").alias("_radius"), "_level",
                       (F.floor(F.col("lat") / lat_cell) + F.col("_o.a")).alias("_cy"),
                       (F.floor(F.col("lon") / lon_cell) + F.col("_o.b")).alias("_cx")))
-    near = (points.select(*point_key, "lat", "lon", F.floor(F.col("lat") / lat_cell).alias("_cy"),
-                          F.floor(F.col("lon") / lon_cell).alias("_cx"))
-            .join(placed, ["_cy", "_cx"])
+    near = (points.select(*point_key, "lat", "lon", F.explode(spatial.levels(zones)).alias("_level"))
+            .withColumns({"_cy": F.floor(F.col("lat") / lat_cell), "_cx": F.floor(F.col("lon") / lon_cell)})
+            .join(placed, ["_level", "_cy", "_cx"])
             .filter(geo.zone_distance_m(F.col("lat"), F.col("lon"), F.col("_zlat"), F.col("_zlon")) <= F.col("_radius")))
     first = near.groupBy(*point_key).agg(F.min(F.struct("_pos", "_stop"))["_stop"].alias("stop_id"))
     return points.join(first, point_key, "left")

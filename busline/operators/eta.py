@@ -21,10 +21,12 @@ def missing_fields(names: list[str] | None = None) -> Column:
     return F.when(F.size(absent) > 0, F.concat(F.lit("Missing ETA feature fields: "), F.array_join(absent, ", ")))
 
 
-def skip_reason(event: Column, off_route: Column, next_stop: Column) -> Column:
+def skip_reason(event: Column, off_route: Column, next_stop: Column, trip: Column) -> Column:
+    """Why a reading gets no estimate; NULL if it gets one."""
     return (F.when(event == "TRIP_ENDED", "trip_ended")
             .when(F.coalesce(off_route, F.lit(False)), "off_route")
-            .when(next_stop.isNull(), "NO_NEXT_STOP"))
+            .when(next_stop.isNull(), "NO_NEXT_STOP")
+            .when(trip.isNull(), "NO_TRIP"))
 
 
 def speed_ms(speed: Column, unit: str = "as-is") -> Column:

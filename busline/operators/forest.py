@@ -48,19 +48,14 @@ def grow_forest(df: DataFrame, features: list[str], row_key: list[str], trees: i
                 seed: int = 42) -> DataFrame:
     """One row per tree. Each tree sees ``sample`` rows drawn by a hash of (row, tree).
 
-    Subsampling is the algorithm. Copies of rows sent to trees number about 1.5 x trees x sample
-    whatever the table's size: large tables are thinned before rows are dealt to trees.
+    Subsampling is the algorithm, with the same draw at every size: a row goes to each tree with the probability that
+    sends about 1.5 x sample rows to a tree, and a tree keeps the ``sample`` of smallest hash.
     """
-    total = df.count()
-    rate = min(1.0, 1.5 * sample / max(total, 1))
+    rate = F.least(F.lit(1.0), F.lit(1.5 * sample) / F.greatest(df.agg(F.count("*")).scalar(), F.lit(1)))
     unit = lambda *cols: F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
     keyed = [F.col(c) for c in row_key]
-    if rate * trees >= 1:
-        chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: unit(F.lit(seed), t, *keyed) < rate)
-        dealt = df.withColumn("tree", F.explode(chosen))
-    else:
-        dealt = df.filter(unit(F.lit(seed), *keyed) < rate * trees).withColumn(
-            "tree", F.pmod(F.xxhash64(F.lit(seed + 1), *keyed), F.lit(trees)).cast("int"))
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: unit(F.lit(seed), t, *keyed) < F.col("_rate"))
+    dealt = df.withColumn("_rate", rate).withColumn("tree", F.explode(chosen))
     rows = dealt.select("tree", F.xxhash64(F.lit(seed), "tree", *keyed).alias("_order"),
                         *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
 

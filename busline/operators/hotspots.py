@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from busline.functions import geo
 from busline.operators import spatial
 from busline.session import cut_lineage
 
@@ -34,7 +33,7 @@ def dense_cells(readings: DataFrame, min_points: int = 10, cell: float = CELL_DE
     return counts.join(hoods, ["cy", "cx"]).filter(F.col("hood") >= min_points)
 
 
-def clusters(cells: DataFrame, max_rounds: int = 100) -> DataFrame:
+def clusters(cells: DataFrame) -> DataFrame:
     """Connected groups of neighbouring dense cells with weighted centroids.
 
     Smallest-label propagation with a jump to the label's own label, so rounds grow with the
@@ -42,7 +41,7 @@ def clusters(cells: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     label = F.struct("cy", "cx")
     labelled = cut_lineage(cells.withColumn("label", label))
-    for _ in range(max_rounds):
+    while True:
         offers = _around(labelled.select("cy", "cx", "label"), "n").groupBy(
             F.col("ncy").alias("cy"), F.col("ncx").alias("cx")).agg(F.min("label").alias("_best"))
         stepped = labelled.join(offers, ["cy", "cx"], "left").withColumn("_new", F.least("label", "_best"))
@@ -58,18 +57,13 @@ def clusters(cells: DataFrame, max_rounds: int = 100) -> DataFrame:
                 (F.sum("lat_sum") / F.sum("n")).alias("lat"), (F.sum("lon_sum") / F.sum("n")).alias("lon")).select(
                 F.concat_ws(":", F.col("label.cy").cast("string"), F.col("label.cx").cast("string")).alias("cluster"),
                 "points", "cells", "lat", "lon")
-    raise RuntimeError("cluster labels did not settle")
 
 
 def stationary_threshold_ms(readings: DataFrame, centroids: DataFrame, key: list[str], radius_m: float = 50.0,
                             usual_ms: int = 300_000, extended_ms: int = 900_000) -> DataFrame:
     """Stationary threshold per reading, longer inside a hotspot."""
     asked = readings.select(*key, "lat", "lon").withColumn("radius_m", F.lit(radius_m))
-    inside = spatial.near(asked, centroids.select("cluster", "lat", "lon"), radius_m).select(*key).distinct()
+    inside = spatial.near(asked, centroids.select("cluster", "lat", "lon")).select(*key).distinct()
     hit: Column = F.col("_in").isNotNull()
     return (readings.join(inside.withColumn("_in", F.lit(1)), key, "left")
             .withColumn("threshold_ms", F.when(hit, extended_ms).otherwise(usual_ms)).drop("_in"))
-
-
-def near_hotspot(lat: Column, lon: Column, hot_lat: Column, hot_lon: Column, radius_m: float = 50.0) -> Column:
-    return geo.haversine_m(lat, lon, hot_lat, hot_lon) < radius_m

@@ -2,34 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busline.functions import geo
 
-# one degree of latitude is about 111.2 km; one degree of longitude is at least 0.98 of that
-# within 11 degrees of the equator, which covers the service area
-METRES_PER_DEGREE = 109_000.0
+# a degree of latitude is nowhere shorter than this
+METRES_PER_DEGREE = 110_000.0
+# 2^25 m is more than half way round
+MAX_LEVEL = 25
 PRUNE_CELL_DEG = 0.05
 
 
-def near(left: DataFrame, right: DataFrame, max_radius_m: float, out: str = "distance_m") -> DataFrame:
-    """Pairs within ``left.radius_m`` (never above ``max_radius_m``).
+def level(radius_m: Column) -> Column:
+    """Power of two (exponent) that is not below the radius, at least one metre."""
+    return F.least(F.greatest(F.ceil(F.log2(F.greatest(radius_m, F.lit(1.0)))), F.lit(0)), F.lit(MAX_LEVEL)).cast("int")
 
-    Left has (.., lat, lon, radius_m); right has (.., lat, lon), returned with the prefix ``r_``.
-    The right side, a table of places, is spread over nine cells; the left side, which grows with
-    traffic, keeps one row per point. A crowded cell is split by the adaptive skew join.
+
+def levels(df: DataFrame, radius_m: str = "radius_m") -> Column:
+    """The levels that occur, as one scalar array of at most ``MAX_LEVEL`` + 1 numbers."""
+    found = df.select(level(F.col(radius_m)).alias("_level")).agg(F.collect_set("_level"))
+    return F.coalesce(found.scalar(), F.array().cast("array<int>"))
+
+
+def _lon_cell(lat_cell: Column, band: Column) -> Column:
+    """Width in degrees that covers the cell's metres anywhere in the band and its neighbours."""
+    edge = (F.greatest(F.abs(band), F.abs(band + 1)) + 1) * lat_cell
+    return lat_cell / F.cos(F.radians(F.least(edge, F.lit(89.9))))
+
+
+def near(left: DataFrame, right: DataFrame, out: str = "distance_m") -> DataFrame:
+    """Pairs within ``left.radius_m``, whatever the radius.
+
+    Left has (.., lat, lon, radius_m); right has (.., lat, lon), returned with the prefix ``r_``. Each request meets
+    places in cells of its own size: radii fall into levels of powers of two, and the level is part of the
+    join key. The right side, a table of places, is spread over nine cells for each level that occurs; the left
+    side, which grows with traffic, keeps one row per point. Cells widen with latitude and close around the
+    globe. A crowded cell is split by the adaptive skew join.
     """
-    cell = max_radius_m / METRES_PER_DEGREE
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
-                                 for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    asked = left.withColumns({"_cy": F.floor(F.col("lat") / cell), "_cx": F.floor(F.col("lon") / cell)})
-    held = (right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("_o", around)
-            .withColumns({"_cy": F.floor(F.col("r_lat") / cell) + F.col("_o.a"),
-                          "_cx": F.floor(F.col("r_lon") / cell) + F.col("_o.b")}).drop("_o"))
-    pairs = asked.join(held, ["_cy", "_cx"]).withColumn(
+    size = F.pow(F.lit(2.0), F.col("_level")) / METRES_PER_DEGREE
+    asked = left.withColumn("_level", level(F.col("radius_m"))).withColumn("_cy", F.floor(F.col("lat") / size))
+    wide = _lon_cell(size, F.col("_cy"))
+    asked = asked.withColumn("_cx", F.when(wide > 90, 0).otherwise(F.floor(F.col("lon") / wide)))
+    steps = F.array(*[F.lit(a) for a in (-1, 0, 1)])
+    held = (right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+            .withColumn("_level", F.explode(levels(left))).withColumn("_a", F.explode(steps))
+            .withColumn("_cy", F.floor(F.col("r_lat") / size) + F.col("_a")))
+    # the same place is also met from the other side of the date line
+    turned = F.filter(F.array(F.col("r_lon") - 360, F.col("r_lon"), F.col("r_lon") + 360), lambda x: x.between(-180 - 2 * wide, 180 + 2 * wide))
+    columns = F.when(wide > 90, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.flatten(F.transform(
+        turned, lambda x: F.transform(steps, lambda b: F.floor(x / wide) + b)))))
+    held = held.withColumn("_cx", F.explode(columns)).drop("_a")
+    pairs = asked.join(held, ["_level", "_cy", "_cx"]).withColumn(
         out, geo.haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
-    return pairs.filter(F.col(out) <= F.col("radius_m")).drop("_cy", "_cx")
+    return pairs.filter(F.col(out) <= F.col("radius_m")).drop("_level", "_cy", "_cx")
 
 
 def nearest_vertex(points: DataFrame, vertices: DataFrame, point_key: list[str]) -> DataFrame:

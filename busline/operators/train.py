@@ -157,60 +157,3 @@ def load_model(path: str) -> PipelineModel | None:
         if "does not exist" in str(error) or "PATH_NOT_FOUND" in str(error) or "empty" in str(error):
             return None
         raise
-
-
-# --- synthetic training sets -------------------------------------------------------------------
-
-def _between(low: float, high: float, seed: int) -> Column:
-    return low + (high - low) * F.rand(seed)
-
-
-def synthetic_eta(spark: SparkSession, n: int = 5000, seed: int = 42) -> DataFrame:
-    """Arrival records with rush-hour multipliers and 12 % noise."""
-    base = spark.range(n).select(
-        F.round(_between(50, 15000, seed), 2).alias("distance_m"), F.round(_between(0.5, 20, seed + 1), 4).alias("speed_ms"),
-        F.floor(_between(0, 24, seed + 2)).alias("hour_of_day"), F.floor(_between(0, 7, seed + 3)).alias("day_of_week"),
-        F.floor(_between(1, 21, seed + 4)).alias("stops_remaining"), F.randn(seed + 5).alias("_noise"))
-    weekend, hour = F.col("day_of_week") >= 5, F.col("hour_of_day")
-    traffic = (F.when(~weekend & (hour.between(7, 9) | hour.between(17, 19)), 1.25)
-               .when(weekend & hour.between(11, 14), 1.15).otherwise(1.0))
-    physics = F.col("distance_m") / F.greatest(F.col("speed_ms"), F.lit(C.MIN_SPEED_MS))
-    expected = physics * traffic
-    return base.withColumns({
-        "is_weekend": weekend.cast("int"), "physics_eta": F.round(physics, 2),
-        "eta_seconds": F.round(F.greatest(F.lit(0.0), expected * (1 + 0.12 * F.col("_noise"))), 2)}).drop("_noise")
-
-
-def synthetic_behaviour(spark: SparkSession, n: int = 2000, seed: int = 42, erratic_share: float = 0.05) -> DataFrame:
-    """Behaviour vectors, a share of them erratic."""
-    normal = {"max_acceleration": (0.5, 2.5), "min_acceleration": (-2.5, -0.5), "speed_variance": (0.1, 3.0),
-              "heading_variance": (0.05, 1.5), "average_speed": (15.0, 55.0)}
-    erratic = {"max_acceleration": (3.0, 8.0), "min_acceleration": (-8.0, -3.0), "speed_variance": (8.0, 25.0),
-               "heading_variance": (5.0, 20.0), "average_speed": (5.0, 90.0)}
-    rows = spark.range(n).withColumn("erratic", F.rand(seed) < erratic_share)
-    for i, name in enumerate(normal):
-        draw = F.rand(seed + 1 + i)
-        low, high = normal[name]
-        low_e, high_e = erratic[name]
-        rows = rows.withColumn(name, F.round(F.when(F.col("erratic"), low_e + (high_e - low_e) * draw)
-                                             .otherwise(low + (high - low) * draw), 4))
-    return rows.withColumn("sample_count", F.floor(_between(15, 26, seed + 9)).cast("double"))
-
-
-def synthetic_reports(spark: SparkSession, as_of_ms: int, n: int = 500, seed: int = 42) -> DataFrame:
-    """Occupancy reports that rise with rush hour, weekdays and stop sequence."""
-    routes = F.array(*[F.lit(r) for r in (101, 102, 138, 177, 255)])
-    rows = spark.range(n).select(
-        F.concat(F.lit("T"), (F.col("id") + 1000).cast("string")).alias("trip_id"),
-        F.get(routes, F.floor(_between(0, 5, seed)).cast("int")).alias("route_id"),
-        F.floor(_between(0, 2, seed + 1)).cast("int").alias("direction_id"),
-        F.floor(_between(1, 11, seed + 2)).cast("int").alias("stop_sequence"),
-        (F.lit(as_of_ms) - 30 * DAY_MS + F.floor(_between(0, 30 * 1440, seed + 3)) * 60_000).alias("t"),
-        F.randn(seed + 4).alias("_noise"))
-    at = F.timestamp_millis("t")
-    base = (25 + F.when(scalars.is_rush_hour(at), 45).otherwise(0) + F.when(F.weekday(at) < 5, 15).otherwise(0)
-            + 2 * F.col("stop_sequence"))
-    score = F.least(F.lit(100), F.greatest(F.lit(0), F.floor(base + 8 * F.col("_noise")))).cast("int")
-    return rows.withColumns({"stop_id": F.col("route_id") * 10 + F.col("stop_sequence"), "score": score,
-                             "passenger_id": F.lit("synthetic")}).withColumn(
-        "occupancy_label", scalars.occupancy_label(F.col("score"))).drop("_noise")

@@ -53,7 +53,7 @@ _STREAK = {
 @query("alert_persistent_off_route", _sql("SELECT bus_id, t, off_route_m FROM placed WHERE n = 3", **_STREAK).replace(
     "WITH ", "WITH RECURSIVE ", 1))
 def alert_persistent_off_route(spark, sf):
-    out = detect.off_route_streaks(S.enriched(spark, sf), width=S.time_width(spark, sf))
+    out = detect.off_route_streaks(S.enriched(spark, sf), width=chunked.HOUR_MS)
     return out.select("bus_id", "t", F.get_json_object("detail", "$.offRouteDistanceM").cast("double").alias("off_route_m"))
 
 
@@ -75,7 +75,7 @@ _VECTOR = ["max_acceleration", "min_acceleration", "speed_variance", "heading_va
 @query("behaviour_windows", _sql("SELECT bus_id, t, CAST(n AS BIGINT) AS sample_count, "
                                  + ", ".join(f"{S.steady_sql(c, 4)} AS {c}" for c in _VECTOR) + " FROM vec WHERE n >= 10", **_BEHAVIOUR))
 def behaviour_windows(spark, sf):
-    out = detect.behaviour_windows(S.enriched(spark, sf), width=S.time_width(spark, sf))
+    out = detect.behaviour_windows(S.enriched(spark, sf), width=chunked.HOUR_MS)
     return out.select("bus_id", "t", F.col("sample_count").cast("long").alias("sample_count"),
                       *[S.steady(c, 4).alias(c) for c in _VECTOR])
 
@@ -83,7 +83,7 @@ def behaviour_windows(spark, sf):
 @query("alert_erratic_driving", _sql("""SELECT bus_id, t, 'rules_fallback' AS method FROM vec
   WHERE n >= 10 AND ((speed_variance >= 8 AND heading_variance >= 5) OR max_acceleration >= 3)""", **_BEHAVIOUR))
 def alert_erratic_driving(spark, sf):
-    windows = detect.behaviour_windows(S.enriched(spark, sf), width=S.time_width(spark, sf))
+    windows = detect.behaviour_windows(S.enriched(spark, sf), width=chunked.HOUR_MS)
     return detect.erratic_driving(windows).select(
         "bus_id", "t", F.get_json_object("detail", "$.detectionMethod").alias("method"))
 
@@ -99,7 +99,7 @@ def summary_vectors(spark, sf):
     """Training vectors of finished one-minute windows."""
     from busline.operators import context
     rows = context.strictly_newer(S.cleaned(spark, sf).select("bus_id", "arrival", "t", "speed", "heading"),
-                                  S.arrival_width(spark, sf)).withColumn("win", F.floor(F.col("t") / 60000))
+                                  chunked.ARRIVAL_CHUNK).withColumn("win", F.floor(F.col("t") / 60000))
     out = detect.summary_vector(rows, ["bus_id", "win"])
     return out.select("bus_id", *[S.steady(c, 4).alias(c) for c in ("max_acceleration", "min_acceleration", "speed_variance")],
                       F.col("sample_count").cast("long").alias("sample_count"))
@@ -125,14 +125,14 @@ _STATIONARY = {
 @query("stationary_windows", _sql("""SELECT bus_id, t, CAST(n AS BIGINT) AS window_points, round(share, 6) AS share, dense FROM flags""",
                                   **_STATIONARY))
 def stationary_windows(spark, sf):
-    out = detect.stationary_windows(S.enriched(spark, sf), width=S.time_width(spark, sf))
+    out = detect.stationary_windows(S.enriched(spark, sf), width=chunked.HOUR_MS)
     return out.select("bus_id", "t", "window_points", F.round("share", 6).alias("share"), "dense")
 
 
 @query("alert_stationary", _sql("""SELECT bus_id, t FROM (SELECT *, lag(dense) OVER (PARTITION BY bus_id ORDER BY t) AS before
   FROM flags) WHERE dense AND NOT coalesce(before, false)""", **_STATIONARY))
 def alert_stationary(spark, sf):
-    return detect.stationary(S.enriched(spark, sf), width=S.time_width(spark, sf)).select("bus_id", "t")
+    return detect.stationary(S.enriched(spark, sf), width=chunked.HOUR_MS).select("bus_id", "t")
 
 
 @query("alert_stationary_by_speed", _sql("""SELECT bus_id, t FROM (
@@ -140,13 +140,13 @@ def alert_stationary(spark, sf):
     SELECT *, sum(CASE WHEN speed < 2 THEN 0 ELSE 1 END) OVER (PARTITION BY bus_id ORDER BY t) AS spell FROM act)
   WHERE speed < 2) WHERE t - since > 300000""", act=_ACTIVE))
 def alert_stationary_by_speed(spark, sf):
-    return detect.stationary_by_speed(S.enriched(spark, sf), width=S.time_width(spark, sf)).select("bus_id", "t")
+    return detect.stationary_by_speed(S.enriched(spark, sf), width=chunked.HOUR_MS).select("bus_id", "t")
 
 
 @query("alert_communication_loss", _sql(f"""SELECT bus_id, t FROM (SELECT bus_id, t, coalesce(lead(t) OVER
   (PARTITION BY bus_id ORDER BY t), {AS_OF_MS}) - t AS gap FROM act) WHERE gap > 180000""", act=_ACTIVE))
 def alert_communication_loss(spark, sf):
-    return detect.communication_loss(S.enriched(spark, sf), AS_OF_MS, width=S.time_width(spark, sf)).select("bus_id", "t")
+    return detect.communication_loss(S.enriched(spark, sf), AS_OF_MS, width=chunked.HOUR_MS).select("bus_id", "t")
 
 
 _DLQ = {
@@ -171,7 +171,7 @@ def alert_trip_not_started(spark, sf):
         "arrival", "t", F.lit("").alias("busId"), F.lit("INACTIVE_TRIP").alias("error_type"),
         F.lit("No active trip found").alias("error_reason"),
         F.to_json(F.struct(F.col("bus_id").alias("busId"), "lat", "lon")).alias("original_payload"))
-    out = detect.trip_not_started(detect.dlq_fields(envelopes), width=S.time_width(spark, sf))
+    out = detect.trip_not_started(detect.dlq_fields(envelopes), width=chunked.HOUR_MS)
     return out.select("bus_id", "t", F.get_json_object("detail", "$.dlqCount").cast("long").alias("dlq_count"))
 
 
@@ -179,7 +179,7 @@ def alert_trip_not_started(spark, sf):
 def alert_totals(spark, sf):
     """All detectors over one enriched stream, routed to their audiences and counted."""
     rows = S.materialised(S.enriched(spark, sf))
-    alerts = detect.route_to_audiences(detect.detect_all(rows, AS_OF_MS, width=S.time_width(spark, sf)))
+    alerts = detect.route_to_audiences(detect.detect_all(rows, AS_OF_MS, width=chunked.HOUR_MS))
     return alerts.groupBy("channel", "anomaly_type", "severity").agg(F.count("*").alias("n"))
 
 
@@ -221,7 +221,7 @@ _ZONES = {
 def stop_resolution(spark, sf):
     zones = view(spark, sf, "stops").withColumns({
         "zone_pos": F.col("stop_id"), "radius_m": F.when(F.col("stop_id") % 2 == 0, 50.0).otherwise(400.0)})
-    return dwell.resolve_stop(S.cleaned(spark, sf), zones, ["arrival"], 400.0).select("arrival", "stop_id")
+    return dwell.resolve_stop(S.cleaned(spark, sf), zones, ["arrival"]).select("arrival", "stop_id")
 
 
 # visits: which of three stops a bus is at follows from its clock
@@ -240,7 +240,7 @@ _VISITS = {
 
 def _visits(spark, sf):
     from busline.operators import context
-    rows = context.strictly_newer(S.cleaned(spark, sf).select("bus_id", "arrival", "t", "speed"), S.arrival_width(spark, sf))
+    rows = context.strictly_newer(S.cleaned(spark, sf).select("bus_id", "arrival", "t", "speed"), chunked.ARRIVAL_CHUNK)
     stop = F.concat(F.lit("S"), (F.floor(F.col("t") / 40000.0) % 3).cast("string"))
     return rows.select("bus_id", F.concat(F.lit("T"), "bus_id").alias("trip_id"), "t", stop.alias("stop_id"), "speed")
 
@@ -248,7 +248,7 @@ def _visits(spark, sf):
 @query("dwell", oracle("SELECT bus_id, t, stop_id, dwell_current_s, dwell_prev_s FROM dwells", "telemetry", "lifecycle",
                        extra=S.parts(["cleaned", "marks", "line", "behind", "newer"], **_VISITS)))
 def dwell_times(spark, sf):
-    return dwell.dwell(_visits(spark, sf), width=S.time_width(spark, sf, 3 * chunked.HOUR_MS)).select(
+    return dwell.dwell(_visits(spark, sf), width=3 * chunked.HOUR_MS).select(
         "bus_id", "t", "stop_id", "dwell_current_s", "dwell_prev_s")
 
 
@@ -257,7 +257,7 @@ SELECT d.bus_id, d.t, d.speed / 3.6d < 1 AND d.dwell_current_s > 10 AS is_dwell,
   d.dwell_prev_s IS NULL AS was_missing FROM dwells d""", "telemetry", "lifecycle",
     extra=S.parts(["cleaned", "marks", "line", "behind", "newer"], **_VISITS)))
 def dwell_quality(spark, sf):
-    stays = dwell.dwell(_visits(spark, sf), width=S.time_width(spark, sf, 3 * chunked.HOUR_MS)).withColumns({
+    stays = dwell.dwell(_visits(spark, sf), width=3 * chunked.HOUR_MS).withColumns({
         "hour": F.hour(F.timestamp_millis("t")), "speed_ms": F.col("speed") / 3.6})
     return dwell.dwell_quality(stays).select("bus_id", "t", "is_dwell", "is_layover",
                                              F.col("dwell_prev_s").isNull().alias("was_missing"))

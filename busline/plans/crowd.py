@@ -41,9 +41,7 @@ _CONSENSUS = {
 
 
 def _judged(spark, sf):
-    reports = view(spark, sf, "crowd_reports")
-    width = chunked.width_for(reports, ["route_id", "stop_id"], CROWD_CHUNK)
-    return crowd.consensus(reports, width=width)
+    return crowd.consensus(view(spark, sf, "crowd_reports"), width=CROWD_CHUNK)
 
 
 @query("report_consensus", oracle(f"SELECT arrival, CAST(others AS BIGINT) AS others, {S.steady_sql('consensus', 6)} AS consensus FROM judged",
@@ -101,8 +99,7 @@ def _asked(spark, sf):
 def _live(spark, sf):
     profiles = S.materialised(crowd.trust_profiles(_judged(spark, sf)))
     reports, asked = view(spark, sf, "crowd_reports"), _asked(spark, sf)
-    busiest = reports.select("route_id", "stop_id").unionByName(asked.select("route_id", "stop_id"))
-    return crowd.live_occupancy(asked, reports, profiles, width=chunked.width_for(busiest, ["route_id", "stop_id"], CROWD_CHUNK))
+    return crowd.live_occupancy(asked, reports, profiles, width=CROWD_CHUNK)
 
 
 @query("live_occupancy", _recursive(f"SELECT request_id, CAST(n AS BIGINT) AS report_count, {S.steady_sql('live', 6)} AS avg_live FROM scored", "ev", **_HYBRID))
@@ -117,10 +114,8 @@ def hybrid_prediction(spark, sf):
     """Live reports blended with the cold-start score."""
     asked = train.historical_score(None, _live(spark, sf))
     out = crowd.hybrid_prediction(asked, F.col("historical"))
-    n, trust = F.col("report_count"), F.col("trust_sum")
-    raw = F.when(n >= 5, F.least(F.lit(0.95), 0.70 + n * 0.05 * (trust / n))).otherwise(0.75)
     return out.select("request_id", S.steady("final_score", 6).alias("final_score"), "prediction", "live_adjustment",
-                      S.steady(raw, 2).alias("confidence"))
+                      S.steady("confidence", 2).alias("confidence"))
 
 
 @query("training_reports", oracle("""SELECT arrival, passenger_id FROM crowd_reports

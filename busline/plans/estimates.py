@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from busline.functions import scalars
-from busline.operators import eta
+from busline.operators import chunked, eta
 from busline.plans import shared as S
 from busline.plans.registry import query
 from busline.plans.views import AS_OF_MS, BASE_MS, oracle, view
@@ -17,8 +17,9 @@ def _sql(select: str, recursive: bool = False, **extra: str) -> str:
 
 # one reading per trip and instant: a bus has one clock, but a payload may name any trip
 _FEATURES = {
-    "kept": """SELECT bus_id, coalesce(trip_id, 'none') AS trip_id, route_id, t, speed AS speed_ms, next_stop_id, next_stop_m, stops_remaining,
-        progress_pct, segment_mode, off_route FROM enriched WHERE NOT off_route AND next_stop_id IS NOT NULL""",
+    "kept": """SELECT bus_id, trip_id, route_id, t, speed AS speed_ms, next_stop_id, next_stop_m, stops_remaining,
+        progress_pct, segment_mode, off_route FROM enriched WHERE NOT off_route AND next_stop_id IS NOT NULL
+          AND trip_id IS NOT NULL""",
     "ends": "SELECT trip_id, t FROM lifecycle WHERE event = 'TRIP_ENDED'",
     "ended": """SELECT k.*, (SELECT max(e.t) FROM ends e WHERE e.trip_id = k.trip_id AND e.t <= k.t) AS end_t FROM kept k""",
     "ranked": "SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY t) AS rn FROM ended",
@@ -32,13 +33,13 @@ _FEATURES = {
 def features(spark, sf):
     """On-route readings with a stop ahead, their speed smoothed per trip."""
     rows = S.enriched(spark, sf).filter(eta.skip_reason(
-        F.lit(None).cast("string"), F.col("off_route"), F.col("next_stop_id")).isNull())
-    rows = rows.select("bus_id", F.coalesce("trip_id", F.lit("none")).alias("trip_id"), "route_id", "t",
+        F.lit(None).cast("string"), F.col("off_route"), F.col("next_stop_id"), F.col("trip_id")).isNull())
+    rows = rows.select("bus_id", "trip_id", "route_id", "t",
                        eta.speed_ms(F.col("speed")).alias("speed_ms"), "next_stop_id", "next_stop_m", "stops_remaining",
                        "progress_pct", "segment_mode", "stops_ahead")
     rows = S.materialised(rows)  # read by the smoothing and by the join with its result
     ends = view(spark, sf, "lifecycle").filter("event = 'TRIP_ENDED'").select("trip_id", "t")
-    return eta.smooth_speed(rows, ends, width=S.time_width(spark, sf))
+    return eta.smooth_speed(rows, ends, width=chunked.HOUR_MS)
 
 
 @query("smoothed_speed", _sql(f"""SELECT trip_id, t, floor(v * 10000 + 0.500001d) / 10000 AS smoothed_ms, CAST(n AS BIGINT) AS smoothing_rows FROM feats""",
@@ -48,11 +49,12 @@ def smoothed_speed(spark, sf):
                                       F.col("smoothing_rows").cast("long").alias("smoothing_rows"))
 
 
-@query("skip_reasons", _sql("""SELECT arrival, CASE WHEN off_route THEN 'off_route' WHEN next_stop_id IS NULL THEN 'NO_NEXT_STOP' END AS reason
+@query("skip_reasons", _sql("""SELECT arrival, CASE WHEN off_route THEN 'off_route' WHEN next_stop_id IS NULL THEN 'NO_NEXT_STOP'
+    WHEN trip_id IS NULL THEN 'NO_TRIP' END AS reason
   FROM enriched"""))
 def skip_reasons(spark, sf):
     return S.enriched(spark, sf).select("arrival", eta.skip_reason(
-        F.lit(None).cast("string"), F.col("off_route"), F.col("next_stop_id")).alias("reason"))
+        F.lit(None).cast("string"), F.col("off_route"), F.col("next_stop_id"), F.col("trip_id")).alias("reason"))
 
 
 @query("required_fields", """
@@ -161,7 +163,7 @@ FROM reqs r LEFT JOIN snaps s ON s.trip_id = r.trip_id
 LEFT JOIN ahead_t a ON a.trip_id = s.trip_id AND a.t = s.t AND a.stop_id = r.stop_id""", *S.ENRICHED_VIEWS, extra=S.parts(
     S.ENRICHED_PARTS, **_ESTIMATES, reqs=_REQUESTS,
     ahead_t="""SELECT c.trip_id, c.t, a.stop_id, arg_min(a.ahead_m, a.stop_order) AS ahead_m FROM ahead a
-      JOIN (SELECT arrival, coalesce(trip_id, 'none') AS trip_id, t FROM ctx) c USING (arrival) GROUP BY ALL""")))
+      JOIN (SELECT arrival, trip_id, t FROM ctx) c USING (arrival) GROUP BY ALL""")))
 def eta_requests(spark, sf):
     """A batch of stop requests answered from the live snapshots."""
     live = eta.latest_snapshots(eta.snapshot(estimates(spark, sf)))

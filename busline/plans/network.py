@@ -10,14 +10,14 @@ from busline.plans.registry import query
 from busline.plans.views import oracle, view
 
 # riders ask from where buses were seen
-_ASK = """SELECT arrival AS request_id, lat, lon, CASE WHEN event_id % 2 = 0 THEN 500.0d ELSE 2500.0d END AS radius_m FROM cleaned"""
+_ASK = """SELECT arrival AS request_id, lat, lon, CASE event_id % 3 WHEN 0 THEN 60.0d WHEN 1 THEN 500.0d ELSE 2500.0d END AS radius_m FROM cleaned"""
 _LABELS = """SELECT l.stop_id, string_agg(CASE WHEN route_number = '' THEN route_name ELSE route_number END, ',' ORDER BY
   CASE WHEN route_number = '' THEN route_name ELSE route_number END) AS routes FROM links l JOIN routes USING (route_id) GROUP BY 1"""
 
 
 def _asked(spark, sf):
     return S.cleaned(spark, sf).select(F.col("arrival").alias("request_id"), "lat", "lon",
-                                       F.when(F.col("event_id") % 2 == 0, 500.0).otherwise(2500.0).alias("radius_m"))
+                                       F.when(F.col("event_id") % 3 == 0, 60.0).when(F.col("event_id") % 3 == 1, 500.0).otherwise(2500.0).alias("radius_m"))
 
 
 @query("stops_near", oracle(f"""
@@ -26,13 +26,13 @@ SELECT request_id, stop_id, stop_name, round(d, 1) AS distance_m, labels.routes
 JOIN labels USING (stop_id) WHERE d <= radius_m""", "telemetry", "stops", "links", "routes",
     extra=S.parts(["cleaned"], ask=_ASK, labels=_LABELS)))
 def stops_near(spark, sf):
-    out = network.stops_near(_asked(spark, sf), view(spark, sf, "stops"), view(spark, sf, "links"), view(spark, sf, "routes"), 2500.0)
+    out = network.stops_near(_asked(spark, sf), view(spark, sf, "stops"), view(spark, sf, "links"), view(spark, sf, "routes"))
     return out.withColumn("routes", F.array_join("routes", ","))
 
 
 # from where a bus is towards the end of a line
 _TRIPS = """SELECT arrival AS request_id, lat AS start_lat, lon AS start_lon, 6.9d AS end_lat, 79.9d + 0.1d * home_route AS end_lon,
-  3000.0d AS radius_m FROM cleaned WHERE speed > 10"""
+  3000.0d AS radius_m FROM cleaned"""
 
 
 @query("connecting_routes", oracle(f"""
@@ -44,11 +44,11 @@ SELECT request_id, route_id, start_stop_id, end_stop_id FROM (
   JOIN links x ON x.stop_id = a.stop_id JOIN links y ON y.stop_id = b.stop_id AND y.route_id = x.route_id AND y.stop_order > x.stop_order)
 WHERE n = 1""", "telemetry", "stops", "links", extra=S.parts(["cleaned"], ask=_TRIPS)))
 def connecting_routes(spark, sf):
-    rows = S.cleaned(spark, sf).filter("speed > 10")
+    rows = S.cleaned(spark, sf)
     asked = rows.select(F.col("arrival").alias("request_id"), F.col("lat").alias("start_lat"), F.col("lon").alias("start_lon"),
                         F.lit(6.9).alias("end_lat"), (79.9 + 0.1 * (F.col("bus_id").cast("long") % 5)).alias("end_lon"),
                         F.lit(3000.0).alias("radius_m"))
-    out = network.connecting_routes(asked, view(spark, sf, "stops"), view(spark, sf, "links"), view(spark, sf, "routes"), 3000.0)
+    out = network.connecting_routes(asked, view(spark, sf, "stops"), view(spark, sf, "links"), view(spark, sf, "routes"))
     return out.select("request_id", "route_id", "start_stop_id", "end_stop_id")
 
 
@@ -208,13 +208,13 @@ def delete_routes(spark, sf):
     return network.delete_routes(view(spark, sf, "routes"), view(spark, sf, "links"), deleted)[1]
 
 
-@query("subscriber_feed", oracle("""SELECT s.driver_id AS subscriber_id, c.arrival FROM cleaned c JOIN drivers s ON
-  (s.driver_id % 4 NOT IN (0, 1) OR s.driver_id % 5 = c.home_route) AND (s.driver_id % 4 NOT IN (0, 2) OR CAST(s.driver_id % 15 AS STRING) = c.bus_id)
-  WHERE s.driver_id < 12""", "telemetry", "drivers", extra=S.parts(["cleaned"])))
+@query("subscriber_feed", oracle("""SELECT s.driver_id AS subscriber_id, c.arrival FROM cleaned c JOIN drivers s ON s.driver_id % 4 <> 3
+  AND (s.driver_id % 4 NOT IN (0, 1) OR s.driver_id % 5 = c.home_route) AND (s.driver_id % 4 NOT IN (0, 2) OR CAST(s.driver_id % 15 AS STRING) = c.bus_id)
+UNION ALL SELECT NULL, arrival FROM cleaned WHERE EXISTS (SELECT 1 FROM drivers WHERE driver_id % 4 = 3)""", "telemetry", "drivers", extra=S.parts(["cleaned"])))
 def subscriber_feed(spark, sf):
     messages = S.cleaned(spark, sf).select("arrival", "bus_id", "t", (F.col("bus_id").cast("long") % 5).cast("string").alias("route_id"))
     kind = F.col("driver_id") % 4
-    subs = view(spark, sf, "drivers").filter("driver_id < 12").select(
+    subs = view(spark, sf, "drivers").select(
         F.col("driver_id").alias("subscriber_id"), F.when(kind.isin(0, 1), (F.col("driver_id") % 5).cast("string")).alias("want_route"),
         F.when(kind.isin(0, 2), (F.col("driver_id") % 15).cast("string")).alias("want_bus"))
     return network.subscriber_feed(messages, subs).select("subscriber_id", "arrival")

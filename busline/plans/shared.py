@@ -24,16 +24,6 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lon", "speed", "heading")
 
 
-def arrival_width(spark: SparkSession, sf_dir: str) -> int | None:
-    """Arrival chunk width for bus histories, None while no bus is large."""
-    return chunked.width_for(table(spark, sf_dir, "events"), ["user_id"], chunked.ARRIVAL_CHUNK)
-
-
-def time_width(spark: SparkSession, sf_dir: str, width: int = chunked.HOUR_MS) -> int | None:
-    """Time chunk width for bus histories, None while no bus is large."""
-    return chunked.width_for(table(spark, sf_dir, "events"), ["user_id"], width)
-
-
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips = view(spark, sf_dir, "trips").filter("bus_id % 7 <> 3")
     return context.bootstrap_trips(trips, view(spark, sf_dir, "schedules"))
@@ -41,7 +31,7 @@ def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.attach_trips(cleaned(spark, sf_dir), view(spark, sf_dir, "lifecycle"), bootstrap(spark, sf_dir),
-                                width=arrival_width(spark, sf_dir))
+                                width=chunked.ARRIVAL_CHUNK)
 
 
 def shapes(spark: SparkSession, sf_dir: str, text_key: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from busline.functions import geo, scalars
-from busline.operators import context, enrich, spatial, validate
+from busline.operators import chunked, context, enrich, spatial, validate
 from busline.plans import shared as S
 from busline.plans.registry import query
 from busline.plans.views import AS_OF_MS, BASE_MS, gps_json, oracle, view
@@ -114,14 +114,13 @@ def ingest_counters(spark, sf):
 
 
 @query("validate_heartbeat", """
-SELECT event_id, CASE WHEN event_id % 29 = 0 THEN 'SCHEMA_VALIDATION' WHEN event_id % 31 = 0 THEN 'SCHEMA_VALIDATION'
-  WHEN event_id % 37 = 0 THEN 'MISSING_TIMESTAMP' END AS error_type,
-  CASE WHEN event_id % 29 = 0 AND event_id % 31 = 0 THEN 'satellites: must be between 0 and 100; batteryVoltage: must be at least 0'
-   WHEN event_id % 29 = 0 THEN 'satellites: must be between 0 and 100' WHEN event_id % 31 = 0 THEN 'batteryVoltage: must be at least 0'
-   WHEN event_id % 37 = 0 THEN 'Missing required event timestamp' END AS error_reason
-FROM events WHERE event_id % 37 <> 0 OR (event_id % 29 <> 0 AND event_id % 31 <> 0)""")
+SELECT event_id, CASE WHEN event_id % 37 = 0 THEN 'MISSING_TIMESTAMP' WHEN event_id % 29 = 0 OR event_id % 31 = 0
+    THEN 'SCHEMA_VALIDATION' END AS error_type,
+  CASE WHEN event_id % 37 = 0 THEN 'Missing required event timestamp' WHEN event_id % 29 = 0 AND event_id % 31 = 0 THEN 'satellites: must be between 0 and 100; batteryVoltage: must be at least 0'
+   WHEN event_id % 29 = 0 THEN 'satellites: must be between 0 and 100' WHEN event_id % 31 = 0 THEN 'batteryVoltage: must be at least 0' END AS error_reason
+FROM events""")
 def validate_heartbeat(spark, sf):
-    rows = view(spark, sf, "tele_once").filter("event_id % 37 <> 0 OR (event_id % 29 <> 0 AND event_id % 31 <> 0)")
+    rows = view(spark, sf, "tele_once")
     stamp = F.when(F.col("event_id") % 37 != 0, F.date_format(F.timestamp_millis("t"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     beat = F.to_json(F.struct(
         F.col("bus_id").alias("busId"), stamp.alias("timestamp"), F.concat(F.lit("dev-"), "bus_id").alias("deviceId"),
@@ -215,13 +214,13 @@ LEFT JOIN (SELECT a.*, x.trip_id, x.lat, x.lon FROM accepted a JOIN rows_ x ON x
 @query("stateful_ingest", _ingest_sql)
 def stateful_ingest(spark, sf):
     rows = S.cleaned(spark, sf).withColumn("trip_id", F.coalesce("payload_trip", F.lit("none")))
-    return validate.stateful_ingest(rows, width=S.arrival_width(spark, sf), time_width=S.time_width(spark, sf)).select("arrival", "verdict")
+    return validate.stateful_ingest(rows, width=chunked.ARRIVAL_CHUNK, time_width=chunked.HOUR_MS).select("arrival", "verdict")
 
 
 @query("strictly_newer", oracle("SELECT bus_id, arrival, t FROM newer", "telemetry", "lifecycle", extra=S.parts(
     ["cleaned", "marks", "line", "behind", "newer"])))
 def strictly_newer(spark, sf):
-    return context.strictly_newer(S.cleaned(spark, sf).select("bus_id", "arrival", "t"), S.arrival_width(spark, sf))
+    return context.strictly_newer(S.cleaned(spark, sf).select("bus_id", "arrival", "t"), chunked.ARRIVAL_CHUNK)
 
 
 @query("bootstrap_trips", oracle("SELECT * FROM boot", "trips", "schedules", extra=S.parts(["boot"])))
@@ -362,7 +361,7 @@ SELECT bus_id, arg_max(t, t) AS t, arg_max(lat, t) AS lat, arg_max(lon, t) AS lo
                                             newer_full="SELECT c.* FROM cleaned c JOIN newer n USING (bus_id, arrival)")))
 def latest_positions(spark, sf):
     """Snapshot of the newest reading per bus (a max_by, which combines before the shuffle)."""
-    rows = context.strictly_newer(S.cleaned(spark, sf).select("bus_id", "arrival", "t", "lat", "lon", "speed"), S.arrival_width(spark, sf))
+    rows = context.strictly_newer(S.cleaned(spark, sf).select("bus_id", "arrival", "t", "lat", "lon", "speed"), chunked.ARRIVAL_CHUNK)
     return rows.groupBy("bus_id").agg(F.max_by(F.struct("t", "lat", "lon", "speed"), "t").alias("s")).select("bus_id", "s.*")
 
 

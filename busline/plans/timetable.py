@@ -70,8 +70,7 @@ def _fold_sql(select: str, *views: str) -> str:
 
 def _replayed(spark, sf):
     requests = view(spark, sf, "requests")
-    width = chunked.width_for(requests, ["trip_id"], chunked.ARRIVAL_CHUNK)
-    return timetable.replay_requests(view(spark, sf, "trips"), requests, width)
+    return timetable.replay_requests(view(spark, sf, "trips"), requests, chunked.ARRIVAL_CHUNK)
 
 
 @query("trip_requests", _fold_sql("SELECT trip_id, arrival, reason FROM steps WHERE n > 0"))

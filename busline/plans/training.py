@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from busline import contracts as C
 from busline.functions import scalars
-from busline.operators import detect, forest, hotspots, seasonal, train
+from busline.operators import chunked, detect, forest, hotspots, seasonal, train
 from busline.plans import shared as S
 from busline.plans.registry import query
 from busline.plans.views import oracle, view
@@ -98,7 +98,7 @@ def eta_model_metrics(spark, sf):
     from busline.operators import eta
     rows = S.materialised(train.eta_features(view(spark, sf, "eta_records")).drop("off_route"))
     fit_on, test_on = train.split_by_hash(rows, ["record_seq", "line"])
-    model = train.train_eta_model(fit_on, trees=10)
+    model = train.train_eta_model(fit_on)
     scored = train.score_eta(model, test_on).withColumn("_t", eta.tree_outcome(F.col("distance_m"), F.col("speed_ms"), F.col("tree_eta")))
     return train.error_metrics(scored.withColumn("predicted", F.col("_t.eta_seconds")), "eta_seconds", "predicted", ["route_id"])
 
@@ -106,7 +106,7 @@ def eta_model_metrics(spark, sf):
 @query("forest_verdicts")
 def forest_verdicts(spark, sf):
     """Isolation forest over behaviour windows: verdict counts and the method that fired."""
-    windows = S.materialised(detect.behaviour_windows(S.enriched(spark, sf), width=S.time_width(spark, sf)))
+    windows = S.materialised(detect.behaviour_windows(S.enriched(spark, sf), width=chunked.HOUR_MS))
     trees = forest.grow_forest(windows, C.BEHAVIOURAL_FEATURES, ["bus_id", "t"], trees=200)
     judged = forest.verdict(forest.score(windows, trees, C.BEHAVIOURAL_FEATURES))
     alerts = detect.erratic_driving(judged, F.col("forest_anomaly"))
@@ -140,9 +140,9 @@ def calendar_fields(spark, sf):
         scalars.month_partition(at, "").alias("month"))
 
 
-@query("identity_hashes", oracle("SELECT arrival, sha256(bus_id || '_' || t) AS identity FROM telemetry", "telemetry"))
+@query("identity_hashes", oracle("SELECT arrival, sha256(concat_ws('_', bus_id, payload_trip, t::VARCHAR, lat::VARCHAR, lon::VARCHAR)) AS identity FROM telemetry", "telemetry"))
 def identity_hashes(spark, sf):
-    return view(spark, sf, "telemetry").select("arrival", scalars.identity_hash(F.col("bus_id"), F.col("t")).alias("identity"))
+    return view(spark, sf, "telemetry").select("arrival", scalars.identity_hash(*[F.col(c) for c in ("bus_id", "payload_trip", "t", "lat", "lon")]).alias("identity"))
 
 
 @query("ready_stops", oracle(f"SELECT count(*) AS ready_stops FROM (SELECT 1 FROM eta_records WHERE t >= {HISTORY_END} - 172800000 GROUP BY route_id, stop_id HAVING count(*) >= 10)", "eta_records"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,24 +34,22 @@ def build_session(app: str = "busline", master: str | None = None, **conf: str)
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a folder of our own is used only where
-    the session names none (tests on one machine).
+    The folder is the cluster's ``spark.checkpoint.dir``, which all its machines share.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="busline-checkpoint-"))
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
-def spread(table: DataFrame, least_rows: int = 20_000) -> DataFrame:
-    """Deal the rows of a table that is stored in few, unsplittable files to all cores.
+def spread(table: DataFrame) -> DataFrame:
+    """Deal the rows of a table that has fewer input splits than there are cores to all cores.
 
-    A table with at least as many input splits as cores is returned unchanged, which is the case
-    for anything large; tiny tables are not worth a shuffle either.
+    Only the layout of the files is looked at, nothing is read. Large tables have many splits and stay as they are.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() >= cores or table.count() < least_rows:
-        return table
-    return table.repartition(cores)
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)

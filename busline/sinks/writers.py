@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from busline import contracts as C
 from busline.functions import scalars
 
 CHECKPOINT_EVERY = "10 seconds"
@@ -26,9 +25,12 @@ def sorted_json(df: DataFrame) -> Column:
 
 
 def invalid_json(df: DataFrame, raw: str = "value", reason: str = "invalid_reason") -> DataFrame:
-    """Rejected messages as JSON: the object with its reason, or the original text wrapped."""
-    parsed = F.from_json(F.col(raw), "map<string,string>")
-    tagged = F.map_concat(parsed, F.map_from_arrays(F.array(F.lit("_invalid_reason")), F.array(F.col(reason))))
+    """Rejected messages as JSON: the object with its reason, or the original text wrapped.
+
+    Numbers, booleans, arrays and nested objects stay what they are; the keys of an object come in order.
+    """
+    fields = F.map_filter(F.try_parse_json(raw).try_cast("map<string,variant>"), lambda k, _: k != "_invalid_reason")
+    tagged = F.map_concat(fields, F.map_from_arrays(F.array(F.lit("_invalid_reason")), F.array(F.col(reason).cast("variant"))))
     wrapped = F.struct(F.col(raw).alias("original_payload"), F.col(reason).alias("_invalid_reason"))
     is_object = F.schema_of_variant(F.try_parse_json(raw)).startswith("OBJECT")
     return df.withColumn("value", F.when(F.coalesce(is_object, F.lit(False)), F.to_json(tagged)).otherwise(F.to_json(wrapped)))
@@ -45,20 +47,6 @@ def topic_writer(df: DataFrame, topic: str, checkpoint: str, *, servers: str | N
     return writer.format("json").option("path", f"{path}/{topic}")
 
 
-def fan_out(df: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str) -> DataStreamWriter:
-    """One stream to several sinks: each micro batch is persisted once and written by every sink."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            for sink in sinks:
-                sink(batch, batch_id)
-        finally:
-            batch.unpersist()
-
-    return (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(processingTime=CHECKPOINT_EVERY))
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
@@ -148,12 +136,3 @@ def write_audiences(alerts: DataFrame, path: str) -> None:
 
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
-
-
-def snapshot_readers(df: DataFrame, as_of_ms: int) -> DataFrame:
-    """Snapshot rows that have not expired."""
-    return df.filter(F.col("expires_ms") > as_of_ms)
-
-
-def reading_ttl(df: DataFrame, limits: C.Thresholds = C.DEFAULTS) -> DataFrame:
-    return df.withColumn("expires_ms", F.col("t") + limits.snapshot_ttl_ms)

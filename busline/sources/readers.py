@@ -2,7 +2,9 @@
 
 Every stream goes through :func:`message_stream`: Kafka in production, files with the same columns
 where there is no broker. Both give (key, value, arrival, received_at); ``arrival`` is the order
-within a key, because a key lives in one Kafka partition and in one ordered file sequence.
+within a key, across topics too. Offsets of two topics have no common scale, so it is built from the
+broker's time, then the topic's rank, then the offset; a key lives in one partition of a topic. The topics must use
+the broker's append time, which never runs against the offsets.
 """
 
 from __future__ import annotations
@@ -27,16 +29,27 @@ FILE_SCHEMA = T.StructType([
 
 
 def kafka_options(topic: str, servers: str, starting: str, max_offsets: int | None = None) -> dict[str, str]:
-    options = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": starting,
-               "failOnDataLoss": "false"}
+    # offsets that have expired stop the query: skipping them would lose messages without a word
+    options = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": starting, "failOnDataLoss": "true"}
     if max_offsets:
         options["maxOffsetsPerTrigger"] = str(max_offsets)
     return options
 
 
-def _from_kafka(df: DataFrame) -> DataFrame:
+#: ``arrival`` units per millisecond: two bits for the topic's rank, twenty for the offset.
+ARRIVAL_PER_MS = 1 << 22
+
+
+def arrival_order(received_at: Column, name: str, offset: Column) -> Column:
+    """One long that orders messages of all topics: time in milliseconds, lifecycle before other topics, offset."""
+    rank = 0 if name == "lifecycle" else 1
+    return F.unix_millis(received_at) * ARRIVAL_PER_MS + rank * (1 << 20) + F.pmod(offset, F.lit(1 << 20))
+
+
+def from_broker(df: DataFrame, name: str) -> DataFrame:
+    """Broker records as messages."""
     return df.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"),
-                     F.col("offset").alias("arrival"), F.col("timestamp").alias("received_at"))
+                     arrival_order(F.col("timestamp"), name, F.col("offset")).alias("arrival"), F.col("timestamp").alias("received_at"))
 
 
 def message_stream(spark: SparkSession, name: str, *, servers: str | None = None, path: str | None = None,
@@ -44,8 +57,8 @@ def message_stream(spark: SparkSession, name: str, *, servers: str | None = None
     """Stream of one of the engine's topics, from Kafka (``servers``) or a JSON folder (``path``)."""
     topic, starting = TOPICS[name]
     if servers:
-        return _from_kafka(spark.readStream.format("kafka")
-                           .options(**kafka_options(topic, servers, starting, max_offsets)).load())
+        return from_broker(spark.readStream.format("kafka")
+                           .options(**kafka_options(topic, servers, starting, max_offsets)).load(), name)
     reader = spark.readStream.schema(FILE_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -57,7 +70,7 @@ def message_table(spark: SparkSession, name: str, *, servers: str | None = None,
     topic, _ = TOPICS[name]
     if servers:
         options = {**kafka_options(topic, servers, "earliest"), "endingOffsets": "latest"}
-        return _from_kafka(spark.read.format("kafka").options(**options).load())
+        return from_broker(spark.read.format("kafka").options(**options).load(), name)
     return spark.read.schema(FILE_SCHEMA).json(f"{path}/{topic}")
 
 

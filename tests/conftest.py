@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,6 +14,8 @@ def spark():
     session = build_session("busline-tests", "local[8]", spark__sql__shuffle__partitions="4",
                             spark__ui__enabled="false", spark__driver__memory="8g",
                             spark__ui__showConsoleProgress="false")
+    if not session.conf.get("spark.checkpoint.dir", None):
+        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="busline-tests-"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

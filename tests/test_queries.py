@@ -7,12 +7,13 @@ import pytest
 
 import __spark_entry__ as entry
 from busline.operators import chunked
+from busline.plans import crowd
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
 
 # order-dependent queries: with these widths their keys are cut into many chunks
-SMALL = {chunked.ARRIVAL_CHUNK: 500, chunked.HOUR_MS: 310_000, 3 * chunked.HOUR_MS: 1_250_000}
+SMALL = {"ARRIVAL_CHUNK": 500, "HOUR_MS": 310_000}
 HISTORY = ["stateful_ingest", "trip_context", "alert_persistent_off_route", "behaviour_windows", "alert_stationary",
            "alert_stationary_by_speed", "alert_communication_loss", "alert_trip_not_started", "dwell", "smoothed_speed",
            "trip_requests", "report_consensus"]
@@ -48,7 +49,9 @@ def test_query_equals_sql(spark, database, name):
 
 @pytest.mark.parametrize("name", HISTORY)
 def test_chunked_history_equals_sql(spark, database, name, monkeypatch):
-    monkeypatch.setattr(chunked, "width_for", lambda df, key, width, limit=0: SMALL[width])
+    for width, small in SMALL.items():
+        monkeypatch.setattr(chunked, width, small)
+    monkeypatch.setattr(crowd, "CROWD_CHUNK", 1_250_000)
     compare(spark, database, name)
 
 

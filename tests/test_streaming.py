@@ -1,5 +1,7 @@
 """Each stream processor must give the rows of its batch operator on the same input."""
 
+import json
+import datetime
 import random
 import tempfile
 
@@ -231,6 +233,9 @@ def test_cleaned_job_writes_every_sink(spark, folder):
     job.trigger(availableNow=True).start().awaitTermination()
     invalid = writers.invalid_json(bad.select("value", "invalid_reason")).select("value")
     assert '"_invalid_reason":"MALFORMED_JSON"' in run(spark, invalid, folder, "bad").first()[0]
+    sent = '{"tags":[1,2.5,"x"],"lat":99.5,"ok":true,"none":null,"deep":{"a":{"b":[]}},"_invalid_reason":"old"}'
+    kept = writers.invalid_json(spark.createDataFrame([(sent, "GEO")], "value string, invalid_reason string")).first().value
+    assert json.loads(kept) == {**json.loads(sent), "_invalid_reason": "GEO"}
     cleaned = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/out/cleaned")
     assert cleaned.count() == 20 and len(loads) == 1
     last = spark.read.parquet(writers.latest_version(spark, f"{folder}/out/positions")).first()
@@ -249,6 +254,15 @@ def test_refreshed_dimension_reloads_by_age():
     assert table.get() == 2
 
 
+def test_arrival_orders_topics_of_independent_offsets(spark):
+    schema = "key string, value string, offset long, timestamp timestamp"
+    at = lambda s: datetime.datetime(2026, 5, 2, 10, 0, s)
+    events = spark.createDataFrame([("1", "start", 0, at(0)), ("1", "end", 1, at(20))], schema)
+    readings = spark.createDataFrame([("1", "r1", 90_000, at(0)), ("1", "r2", 90_001, at(10)), ("1", "r3", 90_002, at(20)), ("1", "r4", 90_003, at(30))], schema)
+    both = readers.from_broker(events, "lifecycle").unionByName(readers.from_broker(readings, "telemetry"))
+    assert [r.value for r in both.orderBy("arrival").collect()] == ["start", "r1", "r2", "end", "r3", "r4"]
+
+
 def test_kafka_options():
     options = readers.kafka_options("t", "host:1", "latest", 500)
     assert options["startingOffsets"] == "latest" and options["maxOffsetsPerTrigger"] == "500"
