@@ -134,7 +134,7 @@ def hybrid_prediction(live: DataFrame, historical: Column) -> DataFrame:
                                         * (F.col("trust_sum") / F.col("report_count")))).otherwise(0.75)
     return live.withColumns({
         "final_score": final, "prediction": scalars.occupancy_label(final),
-        "confidence": F.round(confidence, 2), "historical_prediction": scalars.occupancy_label(historical),
+        "confidence": F.floor(confidence * 100 + 0.500001) / 100, "historical_prediction": scalars.occupancy_label(historical),
         "live_adjustment": enough})
 
 

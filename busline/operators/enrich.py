@@ -39,8 +39,9 @@ def enrich(readings: DataFrame, shapes: DataFrame, route_stops: DataFrame, cells
     ``cells`` (see :func:`busline.functions.geo.route_cells`) shortens the segment search of
     readings near their route.
 
-    The geometry and stop tables are joined without a hint: AQE broadcasts them when their
-    measured size is below the threshold and otherwise splits skewed routes.
+    The geometry and stop tables are joined without a hint. Read from files, their size is known when the join is
+    planned: they are broadcast below the session's threshold, and the telemetry is not moved for them. A network beyond
+    it has so many routes that moving by route spreads well, and AQE splits what is skewed.
     """
     joined = readings.join(shapes, "route_id", "left").join(route_stops, "route_id", "left")
     if cells is not None:

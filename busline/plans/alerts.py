@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from busline import contracts as C
 from busline.functions import scalars
 from busline.operators import chunked, detect, dwell
 from busline.plans import shared as S
-from busline.plans.registry import query
+from busline.plans.registry import ORACLES, query
 from busline.plans.views import AS_OF_MS, oracle, view
 
 
@@ -175,7 +176,17 @@ def alert_trip_not_started(spark, sf):
     return out.select("bus_id", "t", F.get_json_object("detail", "$.dlqCount").cast("long").alias("dlq_count"))
 
 
-@query("alert_totals", None)
+def _totals_sql() -> str:
+    """The statements of the single detectors, counted and joined with severities and channels."""
+    kinds = ["UNREALISTIC_SPEED", "INACTIVE_GPS", "OFF_ROUTE", "PERSISTENT_OFF_ROUTE", "STATIONARY", "COMMUNICATION_LOSS", "ERRATIC_DRIVING"]
+    counts = " UNION ALL ".join(f"SELECT '{k}' AS anomaly_type, count(*) AS n FROM ({ORACLES['alert_' + k.lower()]})" for k in kinds)
+    channels = [(C.ADMIN_CHANNEL, C.ADMIN_ALERTS), (C.DRIVER_CHANNEL, C.DRIVER_ALERTS), (C.PASSENGER_CHANNEL, C.PASSENGER_ALERTS)]
+    routed = ", ".join(f"('{k}', '{'HIGH' if k in C.HIGH_SEVERITY else 'MEDIUM'}', '{c}')" for c, listed in channels for k in kinds if k in listed)
+    return f"""SELECT channel, anomaly_type, severity, n FROM ({counts}) JOIN (VALUES {routed}) r(anomaly_type, severity, channel)
+      USING (anomaly_type) WHERE n > 0"""
+
+
+@query("alert_totals", _totals_sql())
 def alert_totals(spark, sf):
     """All detectors over one enriched stream, routed to their audiences and counted."""
     rows = S.materialised(S.enriched(spark, sf))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from busline.functions import geo
 from busline.operators import chunked, context, enrich, validate
-from busline.plans.views import table, view
-from busline.session import cut_lineage
+from busline.plans.views import stamp, view
+from busline.session import written
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,12 +52,12 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.enrich(in_context(spark, sf_dir), lines, listed, cells)
 
 
-_DIMENSIONS: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
+_DIMENSIONS: dict[tuple[str, str, int], tuple[DataFrame, DataFrame, DataFrame]] = {}
 
 
 def dimensions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(route segments, stops along routes, segment short lists), built once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """(route segments, stops along routes, segment short lists), built once per application and state of the tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir))
     if key not in _DIMENSIONS:
         lines = materialised(shapes(spark, sf_dir))
         _DIMENSIONS[key] = (lines, materialised(route_stops(spark, sf_dir)), materialised(geo.route_cells(lines)))
@@ -65,8 +65,8 @@ def dimensions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """Written once and read by several consumers."""
-    return cut_lineage(df)
+    """Written once, by columns, and read by several consumers."""
+    return written(df, "shared")
 
 
 def steady(value: str | Column, digits: int) -> Column:

@@ -161,12 +161,19 @@ def oracle(select: str, *views: str, extra: dict[str, str] | None = None) -> str
     return head + _doubles(select)
 
 
-_SOURCES: dict[tuple[str, str, str], str] = {}
+_SOURCES: dict[tuple[str, str, str, int], str] = {}
+
+
+def stamp(spark: SparkSession, sf_dir: str) -> int:
+    """Changes when a table of the folder is written anew."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    return hash(tuple(sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in files)))
 
 
 def _source(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """Name of a temporary view over one parquet table; its schema is read once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """Name of a temporary view over one parquet table; its schema is read once per application and state."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, stamp(spark, sf_dir))
     if key not in _SOURCES:
         alias = f"busline_{len(_SOURCES)}_{name}"
         spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")).createOrReplaceTempView(alias)

@@ -32,6 +32,11 @@ def test_scan_reads_only_what_is_used(spark):
     assert "props" not in text
 
 
+def test_telemetry_is_not_moved_for_the_route_tables(spark):
+    text = plan(spark, "enriched_telemetry")
+    assert "hashpartitioning(route_id" not in text and text.count("BroadcastHashJoin") >= 2
+
+
 def test_work_runs_where_the_package_is_not_installed(tmp_path):
     """Python workers start without the repository on their path; the code travels with the job."""
     script = (f"import sys; sys.path.insert(0, {ROOT!r})\n"
