@@ -36,10 +36,6 @@ def month_start(ts: Column) -> Column:
     return F.date_trunc("month", ts)
 
 
-def month_end(ts: Column) -> Column:
-    return F.add_months(F.to_date(month_start(ts)), 1)
-
-
 def month_partition(ts: Column, prefix: str = "eta_records_") -> Column:
     return F.concat(F.lit(prefix), F.date_format(ts, "yyyy_MM"))
 

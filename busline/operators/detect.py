@@ -31,10 +31,6 @@ def alert(df: DataFrame, kind: str | Column, message: Column, detail: Column | N
         (detail if detail is not None else F.lit(None).cast("string")).alias("detail"))
 
 
-def alert_location(df: DataFrame) -> DataFrame:
-    return df.withColumn("location", F.struct("lat", "lon")).drop("lat", "lon")
-
-
 def _active(readings: DataFrame) -> DataFrame:
     """Only rows on a route feed the stateful detectors."""
     return readings.filter(F.coalesce(F.col("route_id"), F.lit("")) != "")

@@ -1,4 +1,4 @@
 """Registered queries. Importing the package fills the registry."""
 
-from busline.plans import alerts, crowd, estimates, network, telemetry, timetable, training  # noqa: F401
+from busline.plans import alerts, crowd, estimates, network, telemetry, timetable, topics, training  # noqa: F401
 from busline.plans.registry import ORACLES, QUERIES  # noqa: F401

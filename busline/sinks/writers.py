@@ -113,15 +113,24 @@ def to_points(df: DataFrame, measurement: str, time: str, tags: list[str] | None
         F.col("value").isNotNull())
 
 
-def write_eta_records(records: DataFrame, path: str) -> None:
+def _mode(batch_id: int | None) -> str:
+    return "append" if batch_id is None else "overwrite"
+
+
+def _place(path: str, batch_id: int | None) -> str:
+    return path if batch_id is None else f"{path}/batch={batch_id}"
+
+
+def write_eta_records(records: DataFrame, path: str, batch_id: int | None = None) -> None:
     """Append to month folders, clustered by place and time so that readers skip row groups.
 
-    Range partitioning splits a hot month or stop over several tasks.
+    Range partitioning splits a hot month or stop over several tasks. A micro batch names itself by ``batch_id`` and
+    writes a folder of its own, so a batch that is tried again replaces its rows instead of repeating them.
     """
     monthly = records.withColumn("recorded_month", F.date_format("recorded_at", "yyyy-MM"))
     (monthly.repartitionByRange("recorded_month", "route_id", "stop_id", "timestamp")
      .sortWithinPartitions("recorded_month", "route_id", "stop_id", "timestamp")
-     .write.mode("append").partitionBy("recorded_month").parquet(path))
+     .write.mode(_mode(batch_id)).partitionBy("recorded_month").parquet(_place(path, batch_id)))
 
 
 def alert_rows(alerts: DataFrame) -> DataFrame:
@@ -129,9 +138,10 @@ def alert_rows(alerts: DataFrame) -> DataFrame:
     return alerts.select("bus_id", "anomaly_type", "severity", "trip_id", "route_id", "t", sorted_json(alerts).alias("payload"))
 
 
-def write_audiences(alerts: DataFrame, path: str) -> None:
+def write_audiences(alerts: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """One folder per audience channel; ``batch_id`` as for arrival records."""
     routed = alerts.withColumn("channel", F.explode(scalars.audiences(F.col("anomaly_type"))))
-    routed.write.mode("append").partitionBy("channel").parquet(path)
+    routed.write.mode(_mode(batch_id)).partitionBy("channel").parquet(_place(path, batch_id))
 
 
 def export_csv(df: DataFrame, path: str) -> None:
