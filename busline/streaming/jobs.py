@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from busline import contracts as C
-from busline.operators import context, enrich, eta, validate
+from busline.operators import context, crowd, enrich, validate
 from busline.sinks import writers
+from busline.sources import messages
 from busline.streaming import processors as P
 
 WATERMARK = "5 seconds"
@@ -116,13 +117,22 @@ def cleaned_job(context_rows: DataFrame, shapes: Refreshed, route_stops: Refresh
             .trigger(processingTime=writers.CHECKPOINT_EVERY))
 
 
-def estimate_batch(rows: DataFrame, smoothed_rows: DataFrame, tree: str | None = None, seasonal: DataFrame | None = None) -> DataFrame:
-    """Estimates of a micro batch: cascade over the smoothed speeds, with optional score tables."""
-    joined = rows.join(smoothed_rows, ["trip_id", "t"]).withColumns({
-        "distance_m": F.col("next_stop_m"), "speed_ms": F.col("smoothed_ms")})
-    joined = joined if tree else joined.withColumn("tree_eta", F.lit(None).cast("double"))
-    if seasonal is None:
-        joined = joined.withColumn("seasonal_eta", F.lit(None).cast("double"))
-    else:
-        joined = joined.join(seasonal, ["route_id", "next_stop_id"], "left")
-    return eta.cascade(joined, "xgboost")
+def crowd_jobs(messages_in: DataFrame, routes: DataFrame, links: DataFrame, out: str, checkpoint: str,
+               limits: C.Thresholds = C.DEFAULTS) -> list:
+    """Passenger reports to two sinks: accepted reports (appended) and passenger profiles (newest per passenger).
+
+    A report counts when it meets the contract and its stop lies on its route. Each named report is compared with the
+    others at its stop, and the outcome moves its passenger's trust.
+    """
+    checked = validate.crowd_contract(messages.parse_crowd_reports(messages_in)).filter("error_reason IS NULL").drop("error_reason")
+    accepted = crowd.check_stop(checked, routes, links).filter("error_reason IS NULL").select(
+        "route_id", "stop_id", "passenger_id", "arrival", "t", F.col("occupancy_score").cast("double").alias("score"))
+    judged = keyed(accepted.filter("passenger_id IS NOT NULL"), crowd.PLACE, P.StopConsensus(limits))
+    trust = keyed(judged, ["passenger_id"], P.TrustState(limits))
+
+    def writer(rows: DataFrame, sink: Callable[[DataFrame, int], None], name: str):
+        return (rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{checkpoint}/{name}")
+                .trigger(processingTime=writers.CHECKPOINT_EVERY))
+
+    return [writer(accepted, writers.append_sink(f"{out}/reports"), "reports"),
+            writer(trust, writers.snapshot_sink(f"{out}/profiles", "passenger_id", "arrival"), "profiles")]

@@ -205,6 +205,30 @@ def test_crowd_trust(spark, folder):
     assert all(0 <= r[1] <= 1 for r in rows_of(last))
 
 
+def test_crowd_jobs_append_reports_and_upsert_profiles(spark, folder):
+    """Messages of the report topic end as the rows and profiles that the batch operators give."""
+    rng = random.Random(5)
+    sent, good = [], []
+    for i in range(60):
+        row = {"trip_id": "T", "route_id": 1, "stop_id": rng.choice([1, 2, 9]), "occupancy_score": rng.choice([10, 50, 90, 200]),
+               "passenger_id": rng.choice(["p1", "p2", "p3", None]), "timestamp": f"2026-05-02T10:{i:02d}:00Z"}
+        sent.append((None, json.dumps(row), i, datetime.datetime(2026, 5, 2, 10, i)))
+        if row["stop_id"] != 9 and row["occupancy_score"] <= 100:
+            good.append((1, row["stop_id"], row["passenger_id"], i, T0 + 60_000 * i, float(row["occupancy_score"])))
+    stream = as_stream(spark, spark.createDataFrame(sent, readers.FILE_SCHEMA), folder, readers.TOPICS["crowd_reports"][0], "arrival")
+    routes = spark.createDataFrame([(1,)], "route_id int")
+    links = spark.createDataFrame([(1, 1), (1, 2)], "route_id int, stop_id int")
+    for job in jobs.crowd_jobs(stream, routes, links, f"{folder}/out", f"{folder}/cp"):
+        job.trigger(availableNow=True).start().awaitTermination()
+    batch = spark.createDataFrame(good, "route_id int, stop_id int, passenger_id string, arrival long, t long, score double")
+    kept = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/out/reports").select("arrival", "stop_id", "score")
+    assert rows_of(kept) == rows_of(batch.select("arrival", "stop_id", "score"))
+    profiles = spark.read.parquet(writers.latest_version(spark, f"{folder}/out/profiles")).select(
+        "passenger_id", "trust_score", "total_reports", "verified_reports")
+    named = crowd.consensus(batch, width=1_500_000).select("passenger_id", "arrival", "score", "others", "consensus")
+    assert rows_of(profiles) == rows_of(crowd.trust_profiles(named, width=10, span=3))
+
+
 def test_cleaned_job_writes_every_sink(spark, folder):
     """Messages of both topics through the whole job; the snapshot and the cleaned rows must agree."""
     rows, events = [], []
