@@ -16,11 +16,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from busline.llm.common import stored, without
+from busline.llm.common import stored, text_key, without
 from busline.operators.validate import once
 
-BLANK = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
+CAPITALS = "A-ZÀÂÄÇÈÉÊËÎÏÑÓÔÖÙÛÜ"
+CLOSED = "[.!?…:;\"»”]\\s*$"
 #: Frequent function words of four languages (fixed values).
 STOP_WORDS = ["the", "of", "and", "to", "in", "is", "that", "it", "for", "with", "de", "la", "le", "les", "et", "des", "que",
               "un", "une", "der", "die", "und", "das", "den", "ist", "nicht", "el", "los", "las", "por", "para", "se"]
@@ -29,9 +30,9 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 ROUNDS = 30
 
 
-def _removed(text: Column, chars: str) -> Column:
-    """How many of the characters the text has."""
-    return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
+def _found(text: str, chars: str) -> Column:
+    """How often the text has one of the characters."""
+    return F.regexp_count(text, F.lit(f"[{chars}]")).cast("long")
 
 
 def _ratio(a: str | Column, b: str | Column) -> Column:
@@ -87,34 +88,34 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     docs = without(docs, *COUNTS, "n_lines", "n_closed", "n_stops", "n_distinct", "n_capitals", "n_shouts")
     body = once(docs, F.coalesce(F.col(text), F.lit("")).alias("_body"))
-    split = once(body, F.filter(F.split("_body", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "").alias("_words"),
-                 F.filter(F.split("_body", "\n"), lambda s: F.translate(s, BLANK, "") != "").alias("_lines"))
+    split = once(
+        body, F.filter(F.split("_body", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "").alias("_words"),
+        F.filter(F.split("_body", "\n"), lambda s: s.rlike("[^ \\t\\x0B\\f\\r]")).alias("_lines"),
+        _found("_body", SYMBOLS).alias("n_symbols"), _found("_body", CAPITALS).alias("n_capitals"), _found("_body", "!?").alias("n_shouts"),
+    ).drop("_body")
     size = F.size("_words")
-    gram = lambda i: F.concat_ws(" ", F.get("_words", i - 1), F.get("_words", i), F.get("_words", i + 1))
-    grams = once(split, F.when(size >= 3, F.transform(F.sequence(F.lit(1), size - 2), gram))
-                 .otherwise(F.array().cast("array<string>")).alias("_grams"))
-    # equal windows are neighbours once sorted; most texts have none and are not sorted
-    again = F.size(F.array_distinct("_grams")) < F.size("_grams")
-    ordered = once(grams, F.when(again, F.array_sort(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
-                   .otherwise(F.array().cast("array<struct<g:string,i:int>>")).alias("_sorted"))
+    word = lambda i: F.get("_words", i)
+    places = F.when(size >= 3, F.sequence(F.lit(1), size - 2)).otherwise(F.array().cast("array<int>"))
+    hashed = once(
+        split, size.cast("long").alias("n_words"),
+        F.aggregate("_words", F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)).alias("word_chars"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), F.size("_lines").alias("n_lines"),
+        F.size(F.filter("_lines", lambda s: s.rlike(CLOSED))).alias("n_closed"),
+        F.size(F.array_intersect("_words", F.lit(STOP_WORDS))).alias("n_stops"), F.size(F.array_distinct("_words")).alias("n_distinct"),
+        F.transform(places, lambda i: F.xxhash64(word(i - 1), word(i), word(i + 1))).alias("_hashes"),
+    ).drop("_lines")
+    # most texts have no two windows of equal hash; only others sort the windows' words, where equal ones are neighbours
+    again = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
+    gram = lambda i: F.struct(F.concat_ws(" ", word(i - 1), word(i), word(i + 1)).alias("g"), i.alias("i"))
+    ordered = once(hashed, F.when(again, F.sort_array(F.transform(F.sequence(F.lit(1), size - 2), gram)))
+                   .otherwise(F.array().cast("array<struct<g:string,i:int>>")).alias("_sorted")).drop("_words", "_hashes")
     row = lambda k: F.get("_sorted", k)["g"]
     twice = lambda s, k: s["g"].eqNullSafe(row(k + 1)) | (F.when(k > 0, row(k - 1)).eqNullSafe(s["g"]))
     starts = F.sort_array(F.transform(F.filter("_sorted", twice), lambda s: s["i"]))
     covered = F.aggregate(
         starts, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
         lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"])
-    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÎÏÑÓÔÖÙÛÜ"
-    return once(
-        ordered, size.cast("long").alias("n_words"),
-        (F.char_length("_body") - _removed(F.col("_body"), BLANK)).cast("long").alias("word_chars"),
-        _removed(F.col("_body"), SYMBOLS).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"), F.size("_lines").alias("n_lines"),
-        F.size(F.filter("_lines", lambda s: F.translate(F.right(F.rtrim(s), F.lit(1)), ".!?…:;\"»”)", "") == "")).alias("n_closed"),
-        F.size(F.array_intersect("_words", F.lit(STOP_WORDS))).alias("n_stops"),
-        F.size(F.array_distinct("_words")).alias("n_distinct"),
-        _removed(F.col("_body"), capitals).alias("n_capitals"), _removed(F.col("_body"), "!?").alias("n_shouts"),
-    ).drop("_body", "_words", "_lines", "_grams", "_sorted")
+    return once(ordered, covered.cast("long").alias("n_repeat_words")).drop("_sorted")
 
 
 def base_failed() -> Column:
@@ -192,9 +193,13 @@ def judged(votes: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     return rated.withColumn("kept", ~F.col("base_failed") & (F.col("quality") > threshold))
 
 
-def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that are kept, with their columns. Counts are taken twice: to fit, and to judge."""
-    taken = once(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).select("_row", F.col(f"_row.{text}").alias("_text"))
-    votes = voted(counted(taken, "_text"))
-    model = fit(voted(counted(docs.select(F.col(text).alias("_text")), "_text")))
-    return judged(votes, model).filter("kept").select("_row.*")
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with their columns. Rows with equal doc_id and text are judged alike.
+
+    Votes are taken once and written without the texts, which the kept keys then pick out.
+    """
+    named = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text")
+    votes = stored(voted(counted(named)).select("doc_id", "text_key", "votes", "n_words", "n_repeat_words"), "votes")
+    good = judged(votes, fit(votes)).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    marked = docs.withColumn("_own", text_key())
+    return marked.join(good, marked.doc_id.cast("long").eqNullSafe(good["_id"]) & (marked["_own"] == good["_key"]), "left_semi").select(*docs.columns)
