@@ -14,7 +14,7 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
         return "\n".join("The " + prose(rng, 12) + " of " + prose(rng, 3) + "." for _ in range(6))
 
     passage, item = "The " + prose(rng, 60) + ".", prose(rng, 20)
-    base = clean()
+    base = clean().replace("\n", " ")  # one line, so that line dedup leaves the near copy alone
     near = base.replace(base.split()[7], "changed", 1)
     texts = [clean() for _ in range(20)] + [base, base, near, f"{clean()}\n{passage}", f"{clean()}\n{passage}", f"{clean()}\nThe {item}.", "too short", None,
                                             " ".join(w + "&&&" for w in prose(rng, 100).split())]
