@@ -1,3 +1,8 @@
+import random
+import re
+
+import pytest
+
 from busline.llm import quotes
 
 SCHEMA = "conv_id long, turn int, role string, text string, parent string"
@@ -33,6 +38,66 @@ def test_nulls_repeats_and_a_long_chain(spark):
     assert quotes.link(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def plain(rows):
+    """(conv_id, turn, parent, n_linked) by crediting every quoted piece to every earlier holder."""
+    tidy = lambda s: re.sub(r"\s+", " ", s.lower()).strip(" ")
+    cut = lambda s: list(dict.fromkeys(u for u in map(tidy, [s, *re.split(r"\n\s*\n", s), *s.split("\n")]) if u))
+    units, quoted = {}, {}
+    for conv, turn, _, text, _ in rows:
+        own, passages, before = [], [], 0
+        for line in text.split("\n"):
+            marks = re.match(r"\s*(?:>\s?)+", line)
+            level, line = (marks[0].count(">"), line[marks.end():]) if marks else (0, line)
+            if level and level == before:
+                passages[-1][1].append(line)
+            elif level:
+                passages.append((level, [line]))
+            else:
+                own.append(line)
+            before = level
+        units.setdefault((conv, turn), set()).update(cut("\n".join(own).strip("\n \t\r")))
+        quoted.setdefault((conv, turn), []).extend((level, p) for level, lines in passages for p in cut("\n".join(lines)))
+    out = set()
+    for (conv, turn), pieces in quoted.items():
+        best = []
+        for (c, source), own in units.items():
+            for level in {level for level, _ in pieces}:
+                linked = [len(p) for at, p in pieces if at == level and p in own]
+                if c == conv and source < turn and linked:
+                    best.append((level, -sum(linked), source, len(linked)))
+        out |= {(conv, turn, min(best)[2], min(best)[3])} if best else set()
+    return out
+
+
+def test_parent_is_the_message_quoted_most_of(spark):
+    rows = [(1, 0, "a", "Best regards from Bern\nx", None), (1, 1, "a", "Best regards from Bern\nC\nD", None), (1, 2, "a", "> Best regards from Bern\n> C", None)]
+    got = {r.turn: r for r in linked(spark, rows).collect()}
+    assert (got[2].parent, got[2].root, got[2].depth, got[2].n_linked) == (1, 1, 1, 2)
+
+
+def test_quotes_are_cut_at_blank_lines(spark):
+    rows = [(1, 0, "a", "one two\nthree\n\nfour", None), (1, 1, "a", "> one\n> two three\n>\n> nobody said", None)]
+    assert [(r.turn, r.parent, r.n_linked) for r in linked(spark, rows).orderBy("turn").collect()] == [(0, None, 0), (1, 0, 1)]
+
+
+@pytest.mark.parametrize("few", [0, 2, quotes.FEW])
+def test_parents_equal_plain_crediting(spark, few):
+    rng = random.Random(3)
+    lines = ["hello", "hello all", "best regards", "-- sent from afar", "ok", *(f"line {i} {'x' * (i % 7)}" for i in range(25))]
+    rows = []
+    for turn in range(90):
+        pick = lambda: [rng.choice(lines[:5] if rng.random() < 0.6 else lines) for _ in range(rng.randint(1, 5))]
+        text = [*pick(), *([""] * rng.randint(0, 1)), *pick()]
+        for _ in range(rng.randint(0, 3)):
+            mark = rng.choice([">", "> ", ">> ", ">>"])
+            text += [mark + s for s in (*pick(), *([""] * rng.randint(0, 1)), *pick())] + rng.choice([[], ["", "well"]])
+        rows.append((turn % 2, turn // 2, "a", "\n".join(text), None))
+    got = quotes.parents(spark.createDataFrame(rows, SCHEMA).repartition(3), few).collect()
+    want = plain(rows)
+    assert len(want) > 60 and len(got) == len(want)
+    assert {(r.conv_id, r.turn, r.parent, r.n_linked) for r in got} == want
+
+
 def test_query_covers_all_messages(spark):
     from busline.llm.queries import QUERIES
 
