@@ -1,10 +1,13 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
 Generators with high recall propose spans, which may overlap. A span of a base generator that passes its kind's check is
-always redacted; the check also labels the base generators' spans, right or wrong. Boosted trees learn from all of
-them, grouped into counted feature patterns, what spans of each shape and context are, and judge the further
+always redacted; the check also labels the base generators' spans, right or wrong. A further candidate is labelled by
+the check where that can fail for it (cards), or else by a base span of its kind that it overlaps, and not at all where
+neither tells. Boosted trees learn from all labelled spans, grouped into counted feature patterns, what spans of each
+shape and context are, and judge the further
 candidates: a candidate is redacted when its score reaches its kind's threshold, the smallest one at which held-out
-spans of that kind are right often enough. Candidates that overlap a base span of their kind add nothing and are left out.
+spans of that kind are right often enough. A kind without wrong spans among the held-out ones is not calibrated
+(``Model.calibrated``): its candidates are taken at any score of 0.5 or more that its held-out spans reach. Candidates that overlap a base span of their kind add nothing and are left out.
 
 Offsets count code points, ends are exclusive. Null texts count as empty.
 """
@@ -108,10 +111,11 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """Trees as (weight, nested node); a node is a value or (feature, bound, at most, above). Thresholds by kind."""
+    """Trees as (weight, nested node); a node is a value or (feature, bound, at most, above). By kind, thresholds and whether wrong spans tested them."""
 
     trees: list
     thresholds: list[float]
+    calibrated: list[bool]
 
     def score(self, c: Column) -> Column:
         def value(node) -> Column:
@@ -140,23 +144,31 @@ def _tree(text: str):
     return node()
 
 
+def _label(c: Column) -> Column:
+    """Whether a candidate of ``_found`` is right; null where nothing tells."""
+    over = lambda right: F.exists("_found", lambda b: b["base"] & (b["right"] == F.lit(right)) & (b["kind"] == c["kind"])
+                                  & (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    return F.when(c["base"] | (c["kind"] == KINDS.index("card")), c["right"]).when(over(True), True).when(over(False), False)
+
+
 def fit(found: DataFrame, precision: float = PRECISION) -> Model:
-    """Train on the base generators' spans of all rows, counted by feature pattern; a fifth is held out for thresholds.
+    """Train on the labelled spans of all rows, counted by feature pattern; a fifth is held out for thresholds.
 
     The patterns are few whatever the number of rows, since every feature has few values. Without both right and
     wrong spans there is no model, and nothing is added to the base spans.
     """
-    spans = found.select(F.explode("_found").alias("c")).filter("c.base")
+    spans = found.select(F.explode(F.transform("_found", lambda c: F.struct(
+        c["start"].alias("start"), _label(c).alias("label"), *[c[f].alias(f) for f in FEATURES]))).alias("c")).filter("c.label IS NOT NULL")
     held = F.pmod(F.xxhash64(F.struct("c.start", *[f"c.{f}" for f in FEATURES])), F.lit(5)) == 0
-    patterns = stored(spans.groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES], F.col("c.right").cast("double").alias("label"),
+    patterns = stored(spans.groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES], F.col("c.label").cast("double").alias("label"),
                                     held.alias("held")).agg(F.count("*").cast("double").alias("weight")), "patterns")
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(patterns)
     train = vectors.filter("NOT held")
     if train.select("label").distinct().count() < 2:
-        return Model([], [2.0] * len(KINDS))
+        return Model([], [2.0] * len(KINDS), [False] * len(KINDS))
     grown = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, weightCol="weight", seed=1, maxBins=64).fit(train)
     trees = [(float(w), _tree(t.toDebugString)) for w, t in zip(grown.treeWeights, grown.trees, strict=True)]
-    model = Model(trees, [])
+    model = Model(trees, [], [])
     row = F.struct(*FEATURES)
     bins = (patterns.filter("held").select("kind", "label", "weight", (F.floor(model.score(row) * 50) / 50).alias("bin"))
             .groupBy("kind", "bin").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("right"))
@@ -169,7 +181,7 @@ def fit(found: DataFrame, precision: float = PRECISION) -> Model:
             if right >= precision * n and b["bin"] >= 0.5:
                 best = b["bin"]
         thresholds.append(best)
-    return Model(trees, thresholds)
+    return Model(trees, thresholds, [any(b["right"] < b["n"] for b in bins if b["kind"] == k) for k in range(len(KINDS))])
 
 
 def select(found: DataFrame, model: Model) -> DataFrame:

@@ -68,6 +68,18 @@ def test_trees_add_cards_that_stand_together(spark):
     assert set(kinds) == {"card"}
 
 
+def test_further_candidates_are_labelled_and_calibrated(spark):
+    rng = random.Random(5)
+    number = lambda: f"+1 {rng.randint(200, 999)} {rng.randint(200, 999)} {rng.randint(1000, 9999)}"
+    texts = [f"{prose(rng, rng.randint(1, 9))} {number()} x@y.com" for _ in range(80)]
+    texts += [f"{prose(rng, rng.randint(1, 9))} {number()} 222 333 4444 555" for _ in range(80)]  # part of no phone number
+    found = pii.candidates(documents(spark, texts))
+    model = pii.fit(found)
+    assert model.calibrated == [False, False, True, True]  # digits that are no card are wrong spans of cards
+    got = of(pii.select(found, model))
+    assert all([(s.kind, s.base) for s in got[i].spans] == ([("phone", True), ("email", True)] if i < 80 else []) for i in range(160))
+
+
 def test_nothing_to_learn_from(spark):
     docs = documents(spark, ["me@example.com", None, ""])
     assert [len(r.spans) for _, r in sorted(of(pii.redact(docs)).items())] == [1, 0, 0]
