@@ -29,6 +29,10 @@ from busline.session import cut_lineage
 
 CHUNK = "_chunk"
 HOUR_MS = 3_600_000
+#: ``arrival`` units per millisecond in the broker's order: two bits for the topic's rank, twenty for the offset.
+ARRIVAL_PER_MS = 1 << 22
+#: An hour of broker arrivals, and the width for tables that number ``arrival`` by hand.
+BROKER_CHUNK = HOUR_MS * ARRIVAL_PER_MS
 ARRIVAL_CHUNK = 1_000_000
 
 

@@ -59,7 +59,7 @@ def trust_change(limits: C.Thresholds = C.DEFAULTS) -> Column:
 
 
 def trust_profiles(judged: DataFrame, limits: C.Thresholds = C.DEFAULTS,
-                   width: int | None = chunked.ARRIVAL_CHUNK, span: int = 100_000) -> DataFrame:
+                   width: int | None = chunked.BROKER_CHUNK, span: int = 100_000) -> DataFrame:
     """Trust, total and verified reports per passenger after all of them.
 
     One change is "add d, then clamp to [0, 100]". A run of changes is again "add s, then clamp to

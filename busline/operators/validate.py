@@ -192,7 +192,7 @@ def drop_blank(df: DataFrame, value: str = "value") -> DataFrame:
     return df.filter(F.trim(F.col(value)) != "")
 
 
-def stateful_ingest(df: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: int | None = chunked.ARRIVAL_CHUNK,
+def stateful_ingest(df: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: int | None = chunked.BROKER_CHUNK,
                     time_width: int | None = chunked.HOUR_MS) -> DataFrame:
     """Verdict of the per-bus ingest rules in arrival order: ``verdict`` is NULL when accepted.
 

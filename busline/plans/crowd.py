@@ -69,12 +69,12 @@ def _recursive(select: str, *views: str, **extra: str) -> str:
 
 @query("trust_profiles", _recursive("SELECT passenger_id, trust_score, total_reports, verified_reports FROM profiles"))
 def trust_profiles(spark, sf):
-    return crowd.trust_profiles(_judged(spark, sf))
+    return crowd.trust_profiles(_judged(spark, sf), width=chunked.ARRIVAL_CHUNK)
 
 
 @query("report_trust", _recursive("SELECT c.arrival, coalesce(p.trust_score, 0.8d) AS trust FROM crowd_reports c LEFT JOIN profiles p USING (passenger_id)"))
 def report_trust(spark, sf):
-    return crowd.with_trust(view(spark, sf, "crowd_reports"), crowd.trust_profiles(_judged(spark, sf))).select("arrival", "trust")
+    return crowd.with_trust(view(spark, sf, "crowd_reports"), crowd.trust_profiles(_judged(spark, sf), width=chunked.ARRIVAL_CHUNK)).select("arrival", "trust")
 
 
 _HYBRID = {
@@ -97,7 +97,7 @@ def _asked(spark, sf):
 
 
 def _live(spark, sf):
-    profiles = S.materialised(crowd.trust_profiles(_judged(spark, sf)))
+    profiles = S.materialised(crowd.trust_profiles(_judged(spark, sf), width=chunked.ARRIVAL_CHUNK))
     reports, asked = view(spark, sf, "crowd_reports"), _asked(spark, sf)
     return crowd.live_occupancy(asked, reports, profiles, width=CROWD_CHUNK)
 

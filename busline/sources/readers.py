@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from busline.operators.chunked import ARRIVAL_PER_MS
+
 TOPICS = {
     "telemetry": ("transport-telemetry-raw", "earliest"),
     "lifecycle": ("trip.lifecycle", "earliest"),
@@ -36,8 +38,6 @@ def kafka_options(topic: str, servers: str, starting: str, max_offsets: int | No
     return options
 
 
-#: ``arrival`` units per millisecond: two bits for the topic's rank, twenty for the offset.
-ARRIVAL_PER_MS = 1 << 22
 
 
 def arrival_order(received_at: Column, name: str, offset: Column) -> Column:

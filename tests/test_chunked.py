@@ -5,7 +5,9 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from busline.operators import chunked, context, validate
 from busline.operators.chunked import Carry, carry, next_value, range_halo, row_halo, spaced
+from busline.sources import readers
 
 
 def table(spark, seed=1, n=400, keys=3, spread=2000):
@@ -87,3 +89,25 @@ def test_plain_and_chunked_forms_agree(spark):
     assert rows_of(next_value(df, ["k"], "t", "t", "nx", None).select("k", "t", "nx")) == rows_of(
         next_value(df, ["k"], "t", "t", "nx", 41).select("k", "t", "nx"))
     assert rows_of(spaced(df, ["k"], "t", 9, False, None)) == rows_of(spaced(df, ["k"], "t", 9, False, 30, 3))
+
+
+def test_broker_arrivals_of_a_hot_key_share_chunks(spark, monkeypatch):
+    """Three hours of one bus, a message each four seconds: a summary for each hour, not for each message."""
+    records = spark.range(2700).select(F.lit("b").alias("key"), F.lit("{}").alias("value"), F.col("id").alias("offset"),
+                                       F.timestamp_millis(F.lit(1_700_000_000_000) + 4000 * F.col("id")).alias("timestamp"))
+    rows = readers.from_broker(records, "telemetry").select(
+        F.col("key").alias("bus_id"), "arrival", (F.unix_millis("received_at") - 9000 * F.pmod(F.col("arrival"), F.lit(2))).alias("t"),
+        F.lit("r").alias("trip_id"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
+    seen, real = [], chunked.with_chunk
+
+    def counted(df, order, width):
+        out = real(df, order, width)
+        if order == "arrival":
+            seen.append(out.select("bus_id", "_chunk").distinct().count())
+        return out
+
+    monkeypatch.setattr(chunked, "with_chunk", counted)
+    assert rows_of(context.strictly_newer(rows)) == rows_of(context.strictly_newer(rows, None))
+    verdicts = validate.stateful_ingest(rows).select("arrival", "verdict")
+    assert rows_of(verdicts) == rows_of(validate.stateful_ingest(rows, width=None).select("arrival", "verdict"))
+    assert seen and max(seen) <= 4
