@@ -98,6 +98,33 @@ def test_parents_equal_plain_crediting(spark, few):
     assert {(r.conv_id, r.turn, r.parent, r.n_linked) for r in got} == want
 
 
+def test_query_columns_equal_plain_python(spark, tmp_path):
+    from busline.llm.queries import QUERIES
+
+    rng = random.Random(11)
+    lines = ["hello", "Best  Regards", "see you", *(f"line {i}" for i in range(12))]
+    rows = []
+    for turn in range(40):
+        text = [rng.choice(lines) for _ in range(rng.randint(1, 3))]
+        if turn % 4:
+            text += ["A wrote:", *(f"> {rng.choice(lines)}" for _ in range(rng.randint(1, 3))), "> ", *(f">> {rng.choice(lines)}" for _ in range(turn % 3)), "well"]
+        rows.append((turn % 2, turn // 2, "a", "\n".join(text), None))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    up = {(c, t): (p, n) for c, t, p, n in plain(rows)}
+    want = []
+    for conv, turn, role, text, _ in rows:
+        root, depth = turn, 0
+        while (conv, root) in up:
+            root, depth = up[conv, root][0], depth + 1
+        own = "\n".join(s for s in text.split("\n") if not s.startswith(">") and s != "A wrote:")
+        passages = re.findall(r"(?:^> .*\n?)+|(?:^>> .*\n?)+", text, re.M)
+        parent, n = up.get((conv, turn), (None, 0))
+        want.append((conv, turn, role, own, parent, root, depth, len(passages), n))
+    got = QUERIES["op3_quotation_links"](spark, str(tmp_path))
+    got = got.select("conv_id", "turn", "role", "text", "parent", "root", "depth", "n_quotes", "n_linked").collect()
+    assert len(up) > 20 and sorted(map(tuple, got), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+
+
 def test_query_covers_all_messages(spark):
     from busline.llm.queries import QUERIES
 
