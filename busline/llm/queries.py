@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busline.llm import banding, bayes, jumphash, pieces, pii, postings, quotes, trigrams, votes, winnow
+from busline.llm import banding, bayes, jumphash, merkle, pieces, pii, postings, quotes, trigrams, votes, winnow
 from busline.llm.common import documents, stored
 from busline.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -64,9 +64,18 @@ landed AS (SELECT doc_id, n, max(shard) AS shard FROM jumps GROUP BY ALL)
 """
 
 
-@query("op9_jump_shards", JUMP_SQL + """,
-crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8),
-    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))),
+#: CTE with the table of the bytewise CRC-32.
+CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """Unsigned CRC-32 of a short text of ASCII, next to ``CRC_TABLE``."""
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), " \
+           "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+@query("op9_jump_shards", JUMP_SQL + ", " + CRC_TABLE + """,
 spelt AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
 summed AS (SELECT doc_id, n, xor(list_reduce(list_transform(range(n), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS crc FROM spelt, crc_table)
@@ -190,3 +199,39 @@ def quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document: its text's evidence, its source as host, its language as path."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return bayes.classify(documents(spark, sf_dir), labels, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT doc_id, lang, n_chars, list_transform([doc_id::VARCHAR, source, lang], lambda x: coalesce(octet_length(encode(x)) || ':' || x, '-')) AS a,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS b, coalesce({crc_sql("doc_id::VARCHAR")} % 7 = 0, false) AS hit FROM documents, crc_table),
+leaf AS (SELECT doc_id, lang, sha256(array_to_string(a, '') || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || b) AS h,
+    sha256(array_to_string(a, '') || coalesce(length((n_chars + hit::INT)::VARCHAR) || ':' || (n_chars + hit::INT), '-') || b) AS changed FROM d),
+placed AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER (PARTITION BY lang) AS n,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM leaf),
+nodes AS (SELECT g, 0 AS lvl, i, n, h FROM placed
+    UNION ALL SELECT g, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY g, lvl, i // 2, n),
+tops AS (SELECT 0 AS lvl, g AS i, (SELECT count(DISTINCT g) FROM placed) AS n, h FROM nodes WHERE n = 1
+    UNION ALL SELECT lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY lvl, i // 2, n),
+steps AS (SELECT g, i AS leaf_i, lvl, 0 AS tier, i, n FROM (SELECT p.g, p.i, l.lvl, l.n FROM placed p JOIN (SELECT DISTINCT g, lvl, n FROM nodes WHERE n > 1) l USING (g))),
+met AS (SELECT s.g, s.leaf_i, 0 AS tier, s.lvl, (s.leaf_i >> s.lvl) & 1 AS slot, coalesce(o.h, '') AS h FROM steps s
+      LEFT JOIN nodes o ON o.g = s.g AND o.lvl = s.lvl AND o.i = xor(s.leaf_i >> s.lvl, 1)
+    UNION ALL SELECT p.g, p.i, 1, l.lvl, (p.g >> l.lvl) & 1, coalesce(o.h, '') FROM placed p, (SELECT DISTINCT lvl FROM tops WHERE n > 1) l
+      LEFT JOIN tops o ON o.lvl = l.lvl AND o.i = xor(p.g >> l.lvl, 1)),
+proof AS (SELECT g, leaf_i AS i, string_agg(h, '' ORDER BY tier, lvl) AS path, list(slot || h ORDER BY tier, lvl) AS ups FROM met GROUP BY ALL)
+SELECT doc_id, p.h AS leaf, sub.h AS subroot, top.h AS root, sha256(coalesce(path, '')) AS proof_sha256,
+  list_reduce(coalesce(ups, []), lambda c, s: sha256(CASE WHEN s[1] = '1' THEN s[2:] || c ELSE c || s[2:] END), changed) AS folded_root,
+  folded_root = root AS verified
+FROM placed p LEFT JOIN proof USING (g, i) JOIN nodes sub ON sub.g = p.g AND sub.n = 1, (SELECT h FROM tops WHERE n = 1) top"""
+
+
+@query("op12_merkle_manifest", MERKLE_SQL)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and whether tampered rows are found out by their proofs."""
+    docs = documents(spark, sf_dir)
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    raised = F.col("n_chars").cast("decimal(20,0)") + hit.cast("int")
+    changed = merkle.leaf_of(*[raised.cast("string") if f == "n_chars" else F.col(f) for f in merkle.FIELDS])
+    made = merkle.manifest(docs, carry={"changed": changed})
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2("path", 256).alias("proof_sha256"),
+                       F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
