@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from busline.llm.common import stored
+from busline.llm.common import numbered, stored
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Levels of paths that one plan joins before its result is written.
@@ -37,26 +37,6 @@ def leaf_of(*fields: Column) -> Column:
     return F.sha2(F.concat(*[one(c) for c in fields]), 256)
 
 
-def numbered(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """``rows`` with ``number`` (from 0, in the order of ``order``, within ``group``) and ``total`` (the group's size).
-
-    Rows are dealt to sorted ranges of (group, order), so a group of any size is spread over many tasks; rows that agree
-    in all columns of ``order`` must be alike. Ranges are counted, and each moves its numbers on by the ranges before it.
-    """
-    place = stored(rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
-                   .withColumn("place", F.monotonically_increasing_id()), "places").withColumn("part", F.shiftright("place", 33))
-    counts = place.groupBy(*group, "part").agg(F.min("place").alias("head"), F.count("*").alias("held"))
-    by = f"PARTITION BY {', '.join(group)}" if group else ""
-    # one row per range and group in it
-    starts = stored(counts.select(*[F.col(c).alias(f"of_{c}") for c in group], F.col("part").alias("of_part"), "head",
-                                  F.expr(f"sum(held) OVER ({by} ORDER BY part) - held").alias("start"),
-                                  F.expr(f"sum(held) OVER ({by})").alias("total")), "starts")
-    same = F.col("part") == F.col("of_part")
-    for c in group:
-        same &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
-    return place.join(starts, same).select(*rows.columns, (F.col("place") - F.col("head") + F.col("start")).alias("number"), "total")
-
-
 def _with_siblings(nodes: DataFrame, fanout: int) -> DataFrame:
     """Nodes (g, i, n, hash, ...) with ``sib``: the hashes of the other slots of the run, joined from left to right."""
     slot = F.col("i") % fanout

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busline.llm import banding, bayes, jumphash, merkle, pieces, pii, postings, quotes, trigrams, votes, winnow
+from busline.llm import banding, bayes, jumphash, merkle, pieces, pii, postings, quotes, trigrams, turns, votes, winnow
 from busline.llm.common import documents, stored
 from busline.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -235,3 +235,74 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = merkle.manifest(docs, carry={"changed": changed})
     return made.select("doc_id", "leaf", "subroot", "root", F.sha2("path", 256).alias("proof_sha256"),
                        F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults that the CRC-32 of ``conv_id:turn`` decides; a null is one space."""
+    def shown(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    hit = (F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn")).cast("binary")) % 20).alias("hit")
+    read = rows.select("conv_id", "turn", shown("role").alias("role"), shown("text").alias("text"), hit).filter("hit <> 0")
+    text = F.when(F.col("hit") == 1, "").when(F.col("hit") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("hit") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return read.select("conv_id", "turn", F.when(F.col("hit") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+                       copies.alias("copy")).drop("copy")
+
+
+def _repair_sql() -> str:
+    """The dynamic programme row by row: costs to go in four columns, then a walk that takes the least letter."""
+    ahead = "CASE WHEN s IN (1, 2, 4) THEN 3 ELSE 4 END"
+    go = "CASE cls WHEN 's' THEN CASE WHEN s = 1 THEN 2 END WHEN 'u' THEN CASE WHEN s <> 3 THEN 3 END WHEN 'a' THEN CASE WHEN s = 3 THEN 4 END END"
+    keep = {1: "CASE cls WHEN 's' THEN v[2] WHEN 'u' THEN v[3] END", 2: "CASE cls WHEN 'u' THEN v[3] END",
+            3: "CASE cls WHEN 'a' THEN v[4] END", 4: "CASE cls WHEN 'u' THEN v[3] END"}
+    base = ", ".join(f"CASE WHEN gone THEN 4 + v[{s}] ELSE least(4 + v[{s}], more + {keep[s]}, 3 + more + v[{4 if s == 3 else 3}]) END AS b{s}" for s in keep)
+    return rf"""
+WITH RECURSIVE {CRC_TABLE},
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS hit FROM conversations, crc_table),
+hurt AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+    CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN hit = 3 THEN [0, 1] ELSE [0] END) AS copy FROM src WHERE hit <> 0),
+keyed AS (SELECT *, md5(octet_length(encode(role)) || ':' || role || text) AS same, rtrim(text, E' 	
+') AS bare FROM hurt),
+ordered AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, *,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, same, copy) AS p,
+    count(*) OVER (PARTITION BY conv_id) AS n FROM keyed),
+lines AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN min(p) OVER (PARTITION BY c, same) < p THEN 'duplicate'
+      WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault, left(role, 1) AS cls FROM ordered),
+r AS MATERIALIZED (SELECT c, p, n, cls, role, text, fault IN ('blank', 'duplicate') AS gone, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS more FROM lines),
+costs AS (SELECT c, n + 1 AS p, [0, 6, 3, 0] AS w FROM (SELECT DISTINCT c, n FROM r)
+    UNION ALL SELECT c, p, [least(b1, 3 + b3, 6 + b4), least(b2, 3 + b3, 6 + b4), least(b3, 3 + b4), least(b4, 3 + b3)] FROM (
+      SELECT r.c, r.p, {base} FROM (SELECT c, p, w AS v FROM costs) k JOIN r ON r.c = k.c AND r.p = k.p - 1)),
+walk AS (SELECT c, 1::BIGINT AS p, 1 AS s, '' AS audit, ''::VARCHAR AS body, 0 AS held FROM (SELECT DISTINCT c FROM r)
+    UNION ALL SELECT c, CASE WHEN e = 'I' THEN p ELSE p + 1 END, CASE e WHEN 'D' THEN s WHEN 'K' THEN go ELSE ahead END, audit || e,
+      CASE WHEN e = 'D' THEN body ELSE body || CASE WHEN held > 0 THEN chr(10) ELSE '' END
+        || CASE WHEN e = 'K' THEN role WHEN ahead = 3 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END END,
+      held + (e <> 'D')::INT FROM (
+      SELECT *, CASE WHEN p <= n AND now[s] = 4 + v[s] THEN 'D' WHEN now[s] = 3 + now[ahead] THEN 'I'
+          WHEN NOT gone AND go IS NOT NULL AND now[s] = more + v[go] THEN 'K' ELSE 'R' END AS e FROM (
+        SELECT walk.*, k.w AS now, x.w AS v, r.n, r.gone, r.more, r.role, r.text, {ahead} AS ahead, {go} AS go
+        FROM walk JOIN costs k ON k.c = walk.c AND k.p = walk.p LEFT JOIN r ON r.c = walk.c AND r.p = walk.p
+        LEFT JOIN costs x ON x.c = walk.c AND x.p = walk.p + 1)
+      WHERE n IS NOT NULL OR now[s] > 0)),
+ended AS (SELECT c, arg_max(audit, length(audit)) AS audit, arg_max(body, length(audit)) AS body FROM walk GROUP BY c),
+pairs AS (SELECT c, cls || lead(cls) OVER (PARTITION BY c ORDER BY p) AS two FROM r),
+bad AS (SELECT c, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY c),
+told AS (SELECT conv_id, c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated FROM lines GROUP BY ALL)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(w[1], 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ended ON ended.c = told.c LEFT JOIN bad ON bad.c = told.c LEFT JOIN costs ON costs.c = told.c AND costs.p = 1"""
+
+
+@query("op13_turn_repair", _repair_sql())
+def turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations after damage: their faults, the cheapest repair, and a digest of what it gives."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    audit, _ = turns.repair(damaged(rows))
+    nothing = [F.lit(0).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = rows.select("conv_id", *nothing, F.lit("").alias("audit"), F.lit(None).cast("string").alias("repaired_sha256"))
+    return audit.unionByName(empty).groupBy("conv_id").agg(*[F.max(c).alias(c) for c in audit.columns[1:-1]], F.coalesce(
+        F.max("repaired_sha256"), F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
