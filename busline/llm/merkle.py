@@ -135,7 +135,7 @@ def manifest(rows: DataFrame, group: str = "lang", order: str = "doc_id", fields
 
     tree = levels(leaves.join(names, F.col("name").eqNullSafe(F.col("name_"))).drop("name_", "held"), low, fanout)
     tops = levels(tree[-1].select(F.lit(0).alias("g"), F.col("g").alias("i"), F.lit(groups).cast("long").alias("n"), "hash"), high, fanout)
-    root = tops[-1].select(F.lit(0).alias("g"), F.lit("").alias("path"), F.col("hash").alias("root"))
+    root = tops[-1].select("g", F.lit("").alias("path"), F.col("hash").alias("root"))
     top_paths = paths(tops, root, ["root"], fanout).select(F.col("i").alias("g"), "path", F.col("hash").alias("subroot"), "root")
     placed = paths(tree, stored(top_paths, "tops"), ["subroot", "root"], fanout)
     start = F.col("changed") if "changed" in carry else F.col("hash")

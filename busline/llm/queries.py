@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busline.llm import banding, bayes, jumphash, merkle, pieces, pii, postings, quotes, trigrams, turns, votes, winnow
+from busline.llm import banding, bayes, jumphash, merkle, pieces, pii, postings, quotes, setsketch, trigrams, turns, votes, winnow
 from busline.llm.common import documents, stored
 from busline.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -265,7 +265,8 @@ hurt AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS ro
     CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
     unnest(CASE WHEN hit = 3 THEN [0, 1] ELSE [0] END) AS copy FROM src WHERE hit <> 0),
 keyed AS (SELECT *, md5(octet_length(encode(role)) || ':' || role || text) AS same, rtrim(text, E' 	
-') AS bare FROM hurt),
+
+') AS bare FROM hurt),
 ordered AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, *,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, same, copy) AS p,
     count(*) OVER (PARTITION BY conv_id) AS n FROM keyed),
@@ -306,3 +307,23 @@ def turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = rows.select("conv_id", *nothing, F.lit("").alias("audit"), F.lit(None).cast("string").alias("repaired_sha256"))
     return audit.unionByName(empty).groupBy("conv_id").agg(*[F.max(c).alias(c) for c in audit.columns[1:-1]], F.coalesce(
         F.max("repaired_sha256"), F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@query("op11_setsketch", r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, r, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: hash(array_to_string(w[i:i + 4], ' '))))) AS s
+    FROM d WHERE len(w) > 0),
+variants AS (SELECT s, min(doc_id) AS least, row_number() OVER () AS v FROM sets GROUP BY s),
+flat AS (SELECT v, unnest(s) AS x, len(s) AS n FROM variants),
+links AS (SELECT a.v AS a, b.v AS b FROM flat a JOIN flat b ON a.x = b.x AND a.v < b.v AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+    GROUP BY a.v, b.v, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT v, v AS u FROM variants UNION SELECT reach.v, edges.b FROM reach JOIN edges ON edges.a = reach.u),
+classes AS (SELECT reach.v, min(least) AS component_id FROM reach JOIN variants ON variants.v = reach.u GROUP BY reach.v)
+SELECT d.doc_id, coalesce(len(sets.s), 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
+  coalesce(component_id, d.doc_id) IS NOT DISTINCT FROM d.doc_id AS kept
+FROM d LEFT JOIN sets USING (r) LEFT JOIN variants USING (s) LEFT JOIN classes USING (v)""")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component of its near duplicates (five words, similarity 0.85)."""
+    return setsketch.link(documents(spark, sf_dir).select("doc_id", "text")).drop("text_key")
