@@ -18,19 +18,37 @@ from busline.operators.chunked import CHUNK, Carry
 from busline.operators.validate import once
 from busline.session import cut_lineage
 
-ALERT_COLUMNS = ["bus_id", "anomaly_type", "severity", "message", "trip_id", "route_id", "lat", "lon", "t",
-                 "detail"]
+ALERT_COLUMNS = ["bus_id", "anomaly_type", "severity", "message", "trip_id", "route_id", "location", "t", "model_version",
+                 "source", "detail"]
+#: Version that alerts name when no trained model takes part (fixed value).
+RULES_VERSION = "rules-v1"
+#: Source that alerts raised by refused messages name (fixed value).
+REFUSED_SOURCE = "transport-telemetry-dlq"
 
 
-def alert(df: DataFrame, kind: str | Column, message: Column, detail: Column | None = None) -> DataFrame:
+def alert(df: DataFrame, kind: str | Column, message: Column, detail: Column | None = None, source: str | None = None,
+          version: str = RULES_VERSION) -> DataFrame:
     """Project rows to the alert shape; ``detail`` is a JSON text of the type-specific fields."""
     kind_col = F.lit(kind) if isinstance(kind, str) else kind
     return df.select(
         "bus_id", kind_col.alias("anomaly_type"), scalars.severity(kind_col).alias("severity"),
-        message.alias("message"), "trip_id", "route_id", "lat", "lon", "t",
+        message.alias("message"), "trip_id", "route_id", F.struct("lat", "lon").alias("location"), "t",
+        F.lit(version).alias("model_version"), F.lit(source).cast("string").alias("source"),
         (detail if detail is not None else F.lit(None).cast("string")).alias("detail"))
 
 
+def alert_message(alerts: DataFrame) -> Column:
+    """The alert as other services read it: one JSON object, its type-specific fields beside the common ones."""
+    common = F.struct(F.col("bus_id").alias("busId"), F.col("anomaly_type").alias("anomalyType"), "severity", "message",
+                      F.col("trip_id").alias("tripId"), F.col("route_id").alias("routeId"), "location",
+                      scalars.iso_utc(F.timestamp_millis("t")).alias("timestamp"), F.col("model_version").alias("modelVersion"))
+    fields = F.to_variant_object(common).cast("map<string,variant>")
+    origin = F.when(F.col("source").isNotNull(), F.create_map(F.lit("source"), F.col("source").cast("variant")))
+    extra = F.try_parse_json("detail").try_cast("map<string,variant>")
+    none = F.create_map().cast("map<string,variant>")
+    return F.to_json(F.map_concat(fields, F.coalesce(origin, none), F.coalesce(extra, none)))
+
+
 def _active(readings: DataFrame) -> DataFrame:
     """Only rows on a route feed the stateful detectors."""
     return readings.filter(F.coalesce(F.col("route_id"), F.lit("")) != "")
@@ -268,7 +286,7 @@ def trip_not_started(dlq: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: i
         F.col("_nth") == F.col("dlq_count") - (F.col("_seen") - F.col("_here")))
     return alert(reading, "TRIP_NOT_STARTED_DEVICE_ACTIVE", F.lit("Device is sending GPS but no active trip exists"),
                  F.to_json(F.struct(F.lit("INACTIVE_TRIP").alias("sourceReason"), F.col("dlq_count").alias("dlqCount"),
-                                    F.lit(limits.dlq_window_ms // 1000).alias("windowSeconds"))))
+                                    F.lit(limits.dlq_window_ms // 1000).alias("windowSeconds"))), REFUSED_SOURCE)
 
 
 def row_alerts(readings: DataFrame, limits: C.Thresholds = C.DEFAULTS) -> DataFrame:
@@ -287,15 +305,15 @@ def row_alerts(readings: DataFrame, limits: C.Thresholds = C.DEFAULTS) -> DataFr
 
 
 def detect_all(readings: DataFrame, as_of_ms: int, limits: C.Thresholds = C.DEFAULTS,
-               forest_anomaly: Column | None = None, width: int | None = chunked.HOUR_MS) -> DataFrame:
-    """All detectors that read the cleaned stream, as one alert table."""
+               forest_anomaly: Column | None = None, width: int | None = chunked.HOUR_MS, version: str = RULES_VERSION) -> DataFrame:
+    """All detectors that read the cleaned stream, as one alert table; ``version`` names the models behind it."""
     parts = [row_alerts(readings, limits), off_route_streaks(readings, limits, width), stationary(readings, limits, width),
              communication_loss(readings, as_of_ms, limits, width),
              erratic_driving(behaviour_windows(readings, limits, width), forest_anomaly, limits)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return out.withColumn("model_version", F.lit(version))
 
 
 def route_to_audiences(alerts: DataFrame) -> DataFrame:

@@ -69,20 +69,18 @@ def grow_forest(df: DataFrame, features: list[str], row_key: list[str], trees: i
         grow, "tree int, rows int, feature array<int>, cut array<double>, left array<int>, right array<int>, depth array<double>")
 
 
-def score(df: DataFrame, forest: DataFrame, features: list[str], out: str = "forest_score") -> DataFrame:
-    """Anomaly score in (0, 1). The forest is bounded by trees x 2 x sample nodes and is broadcast."""
-    trees = [r.asDict() for r in forest.orderBy("tree").collect()]
-    packed = [(np.array(t["feature"]), np.array(t["cut"]), np.array(t["left"]), np.array(t["right"]),
-               np.array(t["depth"])) for t in trees]
-    scale = _expected_depth(float(max((t["rows"] for t in trees), default=2)))
-    shared = df.sparkSession.sparkContext.broadcast((packed, scale))
+class Packed:
+    """A grown forest as flat arrays, small enough (trees x 2 x sample nodes) to be sent to every task."""
 
-    @F.pandas_udf("double")
-    def rate(*columns: pd.Series) -> pd.Series:
-        ready, norm = shared.value
-        data = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+    def __init__(self, forest: DataFrame):
+        trees = [r.asDict() for r in forest.orderBy("tree").collect()]
+        self.trees = [tuple(np.array(t[c]) for c in ("feature", "cut", "left", "right", "depth")) for t in trees]
+        self.scale = _expected_depth(float(max((t["rows"] for t in trees), default=2)))
+
+    def rate(self, data: np.ndarray) -> np.ndarray:
+        """Anomaly scores in (0, 1) of rows of features."""
         depth = np.zeros(len(data))
-        for feature, cut, left, right, leaf in ready:
+        for feature, cut, left, right, leaf in self.trees:
             at = np.zeros(len(data), dtype=int)
             while True:
                 inner = feature[at] >= 0
@@ -92,7 +90,16 @@ def score(df: DataFrame, forest: DataFrame, features: list[str], out: str = "for
                 goes_left = data[np.arange(len(data)), f] < cut[at]
                 at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
             depth += leaf[at]
-        return pd.Series(2.0 ** (-(depth / len(ready)) / norm))
+        return 2.0 ** (-(depth / len(self.trees)) / self.scale)
+
+
+def score(df: DataFrame, forest: DataFrame, features: list[str], out: str = "forest_score") -> DataFrame:
+    """Anomaly score in (0, 1). The forest is bounded by trees x 2 x sample nodes and is broadcast."""
+    shared = df.sparkSession.sparkContext.broadcast(Packed(forest))
+
+    @F.pandas_udf("double")
+    def rate(*columns: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.rate(np.column_stack([c.to_numpy(dtype=float) for c in columns])))
 
     return df.withColumn(out, rate(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busline import contracts as C
@@ -19,22 +20,39 @@ def _sql(select: str, **extra: str) -> str:
 _ACTIVE = "SELECT * FROM enriched WHERE route_id IS NOT NULL"
 
 
-@query("alert_unrealistic_speed", _sql(
-    "SELECT bus_id, t, 'UNREALISTIC_SPEED' AS anomaly_type, 'HIGH' AS severity, route_id FROM enriched WHERE speed > 120"))
+def _alert_sql(kind: str, message: str, source: str | None = None) -> str:
+    """Columns of an alert, from a row that has the reading's."""
+    severity = "HIGH" if kind in C.HIGH_SEVERITY else "MEDIUM"
+    origin = f"'{source}'" if source else "CAST(NULL AS VARCHAR)"
+    return (f"bus_id, t, '{kind}' AS anomaly_type, '{severity}' AS severity, {message} AS message, trip_id, route_id, lat, lon, "
+            f"'{detect.RULES_VERSION}' AS model_version, {origin} AS source")
+
+
+def _alerts(alerts: DataFrame, *more: Column) -> DataFrame:
+    return alerts.select("bus_id", "t", "anomaly_type", "severity", "message", "trip_id", "route_id", F.col("location.lat").alias("lat"),
+                         F.col("location.lon").alias("lon"), "model_version", "source", *more)
+
+
+def _detail(name: str, kind: str) -> Column:
+    return F.get_json_object("detail", f"$.{name}").cast(kind)
+
+
+@query("alert_unrealistic_speed", _sql(f"SELECT {_alert_sql('UNREALISTIC_SPEED', repr('Speed exceeded 120 km/h'))} FROM enriched WHERE speed > 120"))
 def alert_unrealistic_speed(spark, sf):
-    return detect.unrealistic_speed(S.enriched(spark, sf)).select("bus_id", "t", "anomaly_type", "severity", "route_id")
+    return _alerts(detect.unrealistic_speed(S.enriched(spark, sf)))
 
 
-@query("alert_inactive_gps", _sql(
-    "SELECT bus_id, t, 'INACTIVE_GPS' AS anomaly_type, 'MEDIUM' AS severity, trip_id FROM enriched WHERE route_id IS NULL"))
+@query("alert_inactive_gps", _sql(f"SELECT {_alert_sql('INACTIVE_GPS', repr('GPS received for inactive trip'))} FROM enriched WHERE route_id IS NULL"))
 def alert_inactive_gps(spark, sf):
-    return detect.inactive_gps(S.enriched(spark, sf)).select("bus_id", "t", "anomaly_type", "severity", "trip_id")
+    return _alerts(detect.inactive_gps(S.enriched(spark, sf)))
+
+
+_OFF_ROUTE = "'Bus deviated by ' || CAST(round_even(off_route_m, 0) AS BIGINT) || 'm from route'"
 
 
-@query("alert_off_route", _sql("""SELECT bus_id, t, 'Bus deviated by ' || CAST(round_even(off_route_m, 0) AS BIGINT) || 'm from route' AS message,
-  lat, lon FROM enriched WHERE off_route AND route_id IS NOT NULL"""))
+@query("alert_off_route", _sql(f"SELECT {_alert_sql('OFF_ROUTE', _OFF_ROUTE)} FROM enriched WHERE off_route AND route_id IS NOT NULL"))
 def alert_off_route(spark, sf):
-    return detect.off_route(S.enriched(spark, sf)).select("bus_id", "t", "message", "lat", "lon")
+    return _alerts(detect.off_route(S.enriched(spark, sf)))
 
 
 _STREAK = {
@@ -46,16 +64,17 @@ _STREAK = {
         UNION ALL
         SELECT a.bus_id, a.run, min(o.t) FROM anchors a JOIN offs o ON o.bus_id = a.bus_id AND o.run = a.run AND o.t > a.t + 5000
         GROUP BY a.bus_id, a.run, a.t""",
-    "placed": """SELECT o.bus_id, o.t, o.off_route_m, row_number() OVER (PARTITION BY o.bus_id, o.run, a.t ORDER BY o.t) AS n
-        FROM offs o ASOF JOIN anchors a ON o.bus_id = a.bus_id AND o.run = a.run AND o.t >= a.t""",
+    "placed": """SELECT o.bus_id, o.t, o.off_route_m, row_number() OVER (PARTITION BY o.bus_id, o.run, a.t ORDER BY o.t) AS n,
+        o.trip_id, o.route_id, o.lat, o.lon FROM offs o ASOF JOIN anchors a ON o.bus_id = a.bus_id AND o.run = a.run AND o.t >= a.t""",
 }
 
 
-@query("alert_persistent_off_route", _sql("SELECT bus_id, t, off_route_m FROM placed WHERE n = 3", **_STREAK).replace(
+@query("alert_persistent_off_route", _sql(f"""SELECT {_alert_sql('PERSISTENT_OFF_ROUTE', repr('Bus remained off-route for 3 readings within 5s'))},
+  off_route_m FROM placed WHERE n = 3""", **_STREAK).replace(
     "WITH ", "WITH RECURSIVE ", 1))
 def alert_persistent_off_route(spark, sf):
     out = detect.off_route_streaks(S.enriched(spark, sf), width=chunked.HOUR_MS)
-    return out.select("bus_id", "t", F.get_json_object("detail", "$.offRouteDistanceM").cast("double").alias("off_route_m"))
+    return _alerts(out, _detail("offRouteDistanceM", "double").alias("off_route_m"))
 
 
 _BEHAVIOUR = {
@@ -64,7 +83,8 @@ _BEHAVIOUR = {
         count(*) OVER (PARTITION BY bus_id ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS n
         FROM act WINDOW w AS (PARTITION BY bus_id ORDER BY t)""",
     "vec": """SELECT bus_id, t, n, coalesce(max(a) OVER p, 0) AS max_acceleration, coalesce(min(a) OVER p, 0) AS min_acceleration,
-        var_pop(speed) OVER f AS speed_variance, var_pop(heading) OVER f AS heading_variance, avg(speed) OVER f AS average_speed
+        var_pop(speed) OVER f AS speed_variance, var_pop(heading) OVER f AS heading_variance, avg(speed) OVER f AS average_speed,
+        trip_id, route_id, lat, lon
         FROM acc WINDOW p AS (PARTITION BY bus_id ORDER BY t ROWS BETWEEN 18 PRECEDING AND CURRENT ROW),
         f AS (PARTITION BY bus_id ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
 }
@@ -81,12 +101,12 @@ def behaviour_windows(spark, sf):
                       *[S.steady(c, 4).alias(c) for c in _VECTOR])
 
 
-@query("alert_erratic_driving", _sql("""SELECT bus_id, t, 'rules_fallback' AS method FROM vec
+@query("alert_erratic_driving", _sql(f"""SELECT {_alert_sql('ERRATIC_DRIVING', repr('Behavioral anomaly detected (rule fallback)'))},
+  'rules_fallback' AS method FROM vec
   WHERE n >= 10 AND ((speed_variance >= 8 AND heading_variance >= 5) OR max_acceleration >= 3)""", **_BEHAVIOUR))
 def alert_erratic_driving(spark, sf):
     windows = detect.behaviour_windows(S.enriched(spark, sf), width=chunked.HOUR_MS)
-    return detect.erratic_driving(windows).select(
-        "bus_id", "t", F.get_json_object("detail", "$.detectionMethod").alias("method"))
+    return _alerts(detect.erratic_driving(windows), _detail("detectionMethod", "string").alias("method"))
 
 
 @query("summary_vectors", oracle(f"""
@@ -110,7 +130,7 @@ def summary_vectors(spark, sf):
 # its busiest core point and needs no recursion.
 _STATIONARY = {
     "act": _ACTIVE,
-    "sized": """SELECT bus_id, t, lat, lon, count(*) OVER w AS n, min(t) OVER w AS since FROM act
+    "sized": """SELECT bus_id, t, lat, lon, trip_id, route_id, count(*) OVER w AS n, min(t) OVER w AS since FROM act
         WINDOW w AS (PARTITION BY bus_id ORDER BY t RANGE BETWEEN 300000 PRECEDING AND CURRENT ROW)""",
     "long_": "SELECT * FROM sized WHERE n >= 10 AND t - since >= 280000",
     "hoods": """SELECT w.bus_id, w.t, p.t AS pt, count(*) AS hood FROM long_ w
@@ -118,8 +138,8 @@ _STATIONARY = {
         JOIN act q ON q.bus_id = w.bus_id AND q.t BETWEEN w.t - 300000 AND w.t
           AND pow(p.lat - q.lat, 2) + pow(p.lon - q.lon, 2) <= 0.0005d * 0.0005d GROUP BY ALL""",
     "shares": "SELECT bus_id, t, max(CASE WHEN hood >= 10 THEN hood ELSE 0 END) AS top FROM hoods GROUP BY ALL",
-    "flags": """SELECT s.bus_id, s.t, s.n, coalesce(h.top, 0) / CAST(s.n AS DOUBLE) AS share, coalesce(h.top, 0) >= s.n * 0.8d AS dense
-        FROM sized s LEFT JOIN shares h USING (bus_id, t)""",
+    "flags": """SELECT s.bus_id, s.t, s.n, coalesce(h.top, 0) / CAST(s.n AS DOUBLE) AS share, coalesce(h.top, 0) >= s.n * 0.8d AS dense,
+        s.trip_id, s.route_id, s.lat, s.lon FROM sized s LEFT JOIN shares h USING (bus_id, t)""",
 }
 
 
@@ -130,24 +150,24 @@ def stationary_windows(spark, sf):
     return out.select("bus_id", "t", "window_points", F.round("share", 6).alias("share"), "dense")
 
 
-@query("alert_stationary", _sql("""SELECT bus_id, t FROM (SELECT *, lag(dense) OVER (PARTITION BY bus_id ORDER BY t) AS before
+@query("alert_stationary", _sql(f"""SELECT {_alert_sql('STATIONARY', repr('Bus stationary (DBSCAN cluster detected) for over 5 minutes'))} FROM (SELECT *, lag(dense) OVER (PARTITION BY bus_id ORDER BY t) AS before
   FROM flags) WHERE dense AND NOT coalesce(before, false)""", **_STATIONARY))
 def alert_stationary(spark, sf):
-    return detect.stationary(S.enriched(spark, sf), width=chunked.HOUR_MS).select("bus_id", "t")
+    return _alerts(detect.stationary(S.enriched(spark, sf), width=chunked.HOUR_MS))
 
 
-@query("alert_stationary_by_speed", _sql("""SELECT bus_id, t FROM (
-  SELECT bus_id, t, speed, min(t) OVER (PARTITION BY bus_id, spell ORDER BY t) AS since FROM (
+@query("alert_stationary_by_speed", _sql(f"""SELECT {_alert_sql('STATIONARY', repr('Bus stationary for over 5 minutes'))} FROM (
+  SELECT *, min(t) OVER (PARTITION BY bus_id, spell ORDER BY t) AS since FROM (
     SELECT *, sum(CASE WHEN speed < 2 THEN 0 ELSE 1 END) OVER (PARTITION BY bus_id ORDER BY t) AS spell FROM act)
   WHERE speed < 2) WHERE t - since > 300000""", act=_ACTIVE))
 def alert_stationary_by_speed(spark, sf):
-    return detect.stationary_by_speed(S.enriched(spark, sf), width=chunked.HOUR_MS).select("bus_id", "t")
+    return _alerts(detect.stationary_by_speed(S.enriched(spark, sf), width=chunked.HOUR_MS))
 
 
-@query("alert_communication_loss", _sql(f"""SELECT bus_id, t FROM (SELECT bus_id, t, coalesce(lead(t) OVER
+@query("alert_communication_loss", _sql(f"""SELECT {_alert_sql('COMMUNICATION_LOSS', repr('No telemetry for over 3 minutes'))} FROM (SELECT *, coalesce(lead(t) OVER
   (PARTITION BY bus_id ORDER BY t), {AS_OF_MS}) - t AS gap FROM act) WHERE gap > 180000""", act=_ACTIVE))
 def alert_communication_loss(spark, sf):
-    return detect.communication_loss(S.enriched(spark, sf), AS_OF_MS, width=chunked.HOUR_MS).select("bus_id", "t")
+    return _alerts(detect.communication_loss(S.enriched(spark, sf), AS_OF_MS, width=chunked.HOUR_MS))
 
 
 _DLQ = {
@@ -162,8 +182,10 @@ _DLQ = {
 }
 
 
-@query("alert_trip_not_started", oracle("""SELECT f.bus_id, f.t, CAST(greatest(3, n - here + 1) AS BIGINT) AS dlq_count
-  FROM fired f JOIN seen USING (bus_id, t)""", "telemetry", "lifecycle", extra=_DLQ).replace("WITH ", "WITH RECURSIVE ", 1))
+@query("alert_trip_not_started", oracle(f"""SELECT {_alert_sql('TRIP_NOT_STARTED_DEVICE_ACTIVE', repr('Device is sending GPS but no active trip exists'), detect.REFUSED_SOURCE)},
+  CAST(greatest(3, n - here + 1) AS BIGINT) AS dlq_count FROM (SELECT f.bus_id, f.t, n, here, CAST(NULL AS VARCHAR) AS trip_id, CAST(NULL AS VARCHAR) AS route_id, d.lat, d.lon
+    FROM fired f JOIN seen USING (bus_id, t) JOIN (SELECT *, row_number() OVER (PARTITION BY bus_id, t ORDER BY arrival) AS nth FROM dlq) d
+      ON d.bus_id = f.bus_id AND d.t = f.t AND d.nth = greatest(3, n - here + 1) - (n - here))""", "telemetry", "lifecycle", extra=_DLQ).replace("WITH ", "WITH RECURSIVE ", 1))
 def alert_trip_not_started(spark, sf):
     """DLQ envelopes of buses that never start a trip."""
     rows = view(spark, sf, "telemetry").filter("NOT malformed").join(
@@ -173,7 +195,7 @@ def alert_trip_not_started(spark, sf):
         F.lit("No active trip found").alias("error_reason"),
         F.to_json(F.struct(F.col("bus_id").alias("busId"), "lat", "lon")).alias("original_payload"))
     out = detect.trip_not_started(detect.dlq_fields(envelopes), width=chunked.HOUR_MS)
-    return out.select("bus_id", "t", F.get_json_object("detail", "$.dlqCount").cast("long").alias("dlq_count"))
+    return _alerts(out, _detail("dlqCount", "long").alias("dlq_count"))
 
 
 def _totals_sql() -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from busline.functions import scalars
+from busline.operators import detect
 
 CHECKPOINT_EVERY = "10 seconds"
 
@@ -134,8 +135,10 @@ def write_eta_records(records: DataFrame, path: str, batch_id: int | None = None
 
 
 def alert_rows(alerts: DataFrame) -> DataFrame:
-    """Alert history rows: columns plus the whole alert as JSON."""
-    return alerts.select("bus_id", "anomaly_type", "severity", "trip_id", "route_id", "t", sorted_json(alerts).alias("payload"))
+    """Alert history rows: the searchable columns, the day, and the whole alert as its message."""
+    return alerts.select("bus_id", "anomaly_type", "severity", "message", "trip_id", "route_id", F.col("location.lat").alias("lat"),
+                         F.col("location.lon").alias("lon"), "t", "model_version", "source", detect.alert_message(alerts).alias("payload"),
+                         F.to_date(F.timestamp_millis("t")).alias("date"))
 
 
 def write_audiences(alerts: DataFrame, path: str, batch_id: int | None = None) -> None:

@@ -39,13 +39,17 @@ def parse_cleaned(messages: DataFrame, value: str = "value") -> DataFrame:
 
 
 def parse_dlq(messages: DataFrame, value: str = "value") -> DataFrame:
-    """Rejection envelopes, with the fields that the burst detector reads; ``t`` is the event's or else the receive time."""
+    """Rejection envelopes, with the fields that the burst detector reads.
+
+    ``t`` is the event's or else the receive time; ``refused_t`` is the receive time first, the clock of burst windows.
+    """
     df, get = _reader(messages, value)
     return once(
         df, get("string", "original_payload").alias("original_payload"), get("string", "busId").alias("busId"),
         get("string", "tripId").alias("tripId"), get("string", "error_type", "errorType").alias("error_type"),
         get("string", "error_reason", "reason").alias("error_reason"), get("string", "source_topic").alias("source_topic"),
-        F.coalesce(_millis(get("string", "event_timestamp")), _millis(get("string", "received_at"))).alias("t")).drop("_v")
+        F.coalesce(_millis(get("string", "event_timestamp")), _millis(get("string", "received_at"))).alias("t"),
+        F.coalesce(*[_millis(get("string", c)) for c in ("received_at", "event_timestamp", "timestamp")]).alias("refused_t")).drop("_v")
 
 
 def parse_crowd_reports(messages: DataFrame, value: str = "value") -> DataFrame:

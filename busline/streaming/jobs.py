@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from busline import contracts as C
-from busline.operators import context, crowd, enrich, validate
+from busline.operators import context, crowd, detect, enrich, validate
+from busline.operators.forest import Packed
 from busline.sinks import writers
 from busline.sources import messages
 from busline.streaming import processors as P
@@ -117,6 +118,48 @@ def cleaned_job(context_rows: DataFrame, shapes: Refreshed, route_stops: Refresh
             .trigger(processingTime=writers.CHECKPOINT_EVERY))
 
 
+def detections(cleaned: DataFrame, dlq: DataFrame, limits: C.Thresholds = C.DEFAULTS, version: str = detect.RULES_VERSION,
+               forest: tuple[Packed, float] | None = None) -> DataFrame:
+    """Alert stream of the cleaned topic and the refusals: both keyed by bus, shuffled once, judged by one processor.
+
+    The watermark is set on their union, so that silences are seen while nothing is refused. Messages without a bus
+    or a time are judged by no rule.
+    """
+    none = {c: F.lit(None).cast(t) for c, t in (("speed", "double"), ("heading", "double"), ("off_route_m", "double"), ("off_route", "boolean"))}
+    columns = ["bus_id", "arrival", "t", "lat", "lon", "trip_id", "route_id", *none]
+    readings = messages.parse_cleaned(cleaned).withColumns({
+        "speed": F.coalesce("speed", F.lit(0.0)), "heading": F.coalesce("heading", F.lit(0.0)),
+        "off_route": F.coalesce("off_route", F.lit(False)), "off_route_m": F.coalesce("off_route_m", F.lit(0.0))})
+    refused = detect.dlq_fields(messages.parse_dlq(dlq)).withColumn("t", F.col("refused_t")).filter(detect.is_inactive_trip(F.col("error_type"), F.col("error_reason")))
+    both = readings.select(*columns, F.lit(False).alias("refused")).unionByName(
+        refused.withColumns(none).select(*columns, F.lit(True).alias("refused")))
+    timed = both.filter("bus_id IS NOT NULL AND t IS NOT NULL").withColumn("event_time", F.timestamp_millis("t")).withWatermark("event_time", WATERMARK)
+    alerts = keyed(timed, ["bus_id"], P.Detectors(limits, version, forest), "EventTime")
+    return alerts.withColumn("location", F.struct("lat", "lon")).select(*detect.ALERT_COLUMNS)
+
+
+def alert_sinks(out: str) -> Callable[[DataFrame, int], None]:
+    """Write a batch of alerts to the history, the message topic and the audiences' folders; a repeated batch replaces itself."""
+    history, topic, audiences = writers.append_sink(f"{out}/history", "date"), writers.append_sink(f"{out}/anomalies"), f"{out}/audiences"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        alerts = batch.persist()
+        try:
+            history(writers.alert_rows(alerts), batch_id)
+            topic(alerts.select(F.col("bus_id").alias("key"), detect.alert_message(alerts).alias("value")), batch_id)
+            writers.write_audiences(alerts, audiences, batch_id)
+        finally:
+            alerts.unpersist()
+    return write
+
+
+def detector_job(cleaned: DataFrame, dlq: DataFrame, out: str, checkpoint: str, limits: C.Thresholds = C.DEFAULTS,
+                 version: str = detect.RULES_VERSION, forest: tuple[Packed, float] | None = None):
+    """Messages of the cleaned and the refusal topic to alert history, alert topic and audiences."""
+    return (detections(cleaned, dlq, limits, version, forest).writeStream.foreachBatch(alert_sinks(out))
+            .option("checkpointLocation", checkpoint).trigger(processingTime=writers.CHECKPOINT_EVERY))
+
+
 def crowd_jobs(messages_in: DataFrame, routes: DataFrame, links: DataFrame, out: str, checkpoint: str,
                limits: C.Thresholds = C.DEFAULTS) -> list:
     """Passenger reports to two sinks: accepted reports (appended) and passenger profiles (newest per passenger).

@@ -7,6 +7,7 @@ those of the batch operators over the same rows.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
@@ -16,7 +17,8 @@ import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from busline import contracts as C
-from busline.operators.detect import largest_cluster
+from busline.operators.detect import REFUSED_SOURCE, RULES_VERSION, largest_cluster
+from busline.operators.forest import Packed
 
 
 def _ordered(rows: Iterator[pd.DataFrame], *by: str) -> list[dict]:
@@ -257,24 +259,125 @@ class InactiveTripBurst(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.times = handle.getListState("times", "t long")
-        self.last = handle.getValueState("last", "t long")
+        self.raised = handle.getValueState("raised", "t long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def hits(self, rows: list[dict]) -> list[tuple[dict, int]]:
+        """(row, refusals in its window) of the rows that raise an alert; ``rows`` are in order."""
         kept = [r[0] for r in self.times.get()] if self.times.exists() else []
-        last = self.last.get()[0] if self.last.exists() else None
+        last = self.raised.get()[0] if self.raised.exists() else None
         out = []
-        for row in _ordered(rows, "t", "arrival"):
+        for row in rows:
             t = int(row["t"])
             kept = [x for x in kept if x >= t - self.limits.dlq_window_ms] + [t]
             cooling = last is not None and t - last < self.limits.dlq_cooldown_ms
             if len(kept) >= self.limits.dlq_count and not cooling:
                 last = t
-                out.append((key[0], t, len(kept)))
-        self.times.put([(x,) for x in kept])
+                out.append((row, len(kept)))
+        if kept:
+            self.times.put([(x,) for x in kept])
         if last is not None:
-            self.last.update((last,))
+            self.raised.update((last,))
+        return out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        yield _frame([(key[0], int(row["t"]), n) for row, n in self.hits(_ordered(rows, "t", "arrival"))], self.COLUMNS)
+
+
+class Detectors(StatefulProcessor):
+    """All detectors of one bus in one pass over its readings and refusals; alerts in the shape of ``detect.alert``.
+
+    Each stateful rule is one of the processors above with state variables of its own. ``forest`` (a packed forest, with
+    the score above which a window is an anomaly) is asked first about behaviour; the rules are the fallback. Silence is
+    seen by the next reading or by an event-time timer, whichever comes first.
+    """
+
+    COLUMNS = ["bus_id", "anomaly_type", "severity", "message", "trip_id", "route_id", "lat", "lon", "t", "model_version", "source", "detail"]
+    SCHEMA = ("bus_id string, anomaly_type string, severity string, message string, trip_id string, route_id string, lat double, "
+              "lon double, t long, model_version string, source string, detail string")
+
+    def __init__(self, limits: C.Thresholds = C.DEFAULTS, version: str = RULES_VERSION, forest: tuple[Packed, float] | None = None):
+        self.limits, self.version, self.forest = limits, version, forest
+        self.streak, self.behaviour = OffRouteStreak(limits), BehaviourWindow(limits)
+        self.stationary, self.burst = StationaryWindow(limits), InactiveTripBurst(limits)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        for part in (self.streak, self.behaviour, self.stationary, self.burst):
+            part.init(handle)
+        self.newest = handle.getValueState("newest", "t long, trip string, route string, lat double, lon double")
+
+    def _alert(self, bus: str, row: dict, kind: str, message: str, detail: dict | None = None, source: str | None = None) -> tuple:
+        return (bus, kind, "HIGH" if kind in C.HIGH_SEVERITY else "MEDIUM", message, _text(row["trip_id"]), _text(row["route_id"]),
+                row["lat"], row["lon"], int(row["t"]), self.version, source, None if detail is None else json.dumps(detail))
+
+    def _silence(self, bus: str, last: tuple) -> tuple:
+        row = dict(zip(("t", "trip_id", "route_id", "lat", "lon"), last, strict=True))
+        return self._alert(bus, row, "COMMUNICATION_LOSS", "No telemetry for over 3 minutes")
+
+    def _silences(self, bus: str, rows: list[dict]) -> list[tuple]:
+        last = tuple(self.newest.get()) if self.newest.exists() else None
+        # the timer of a silence that was already reported is gone
+        reported = last is not None and not list(self.handle.listTimers())
+        out = []
+        for row in rows:
+            t = int(row["t"])
+            if last is not None and t - last[0] > self.limits.silence_ms and not reported:
+                out.append(self._silence(bus, last))
+            last, reported = (t, _text(row["trip_id"]), _text(row["route_id"]), row["lat"], row["lon"]), False
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.newest.update(last)
+        self.handle.registerTimer(last[0] + self.limits.silence_ms + 1)
+        return out
+
+    def _erratic(self, bus: str, by_time: dict[int, dict], vectors: pd.DataFrame) -> Iterator[tuple]:
+        if not len(vectors):
+            return
+        names, limits = C.BEHAVIOURAL_FEATURES, self.limits
+        odd = np.zeros(len(vectors), dtype=bool)
+        if self.forest is not None:
+            odd = self.forest[0].rate(vectors[names].to_numpy(dtype=float)) > self.forest[1]
+        rules = (((vectors["speed_variance"] >= limits.behaviour_speed_var) & (vectors["heading_variance"] >= limits.behaviour_heading_var))
+                 | (vectors["max_acceleration"] >= limits.behaviour_acceleration)).to_numpy()
+        for n in np.flatnonzero(odd | rules):
+            vector = vectors.iloc[n]
+            detail = {"features": {f: float(vector[f]) for f in names}, "detectionMethod": "isolation_forest" if odd[n] else "rules_fallback"}
+            told = "Isolation Forest" if odd[n] else "rule fallback"
+            yield self._alert(bus, by_time[int(vector["t"])], "ERRATIC_DRIVING", f"Behavioral anomaly detected ({told})", detail)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        limits, bus, out = self.limits, key[0], []
+        ordered = _ordered(rows, "t", "arrival")
+        readings, refused = [r for r in ordered if not r["refused"]], [r for r in ordered if r["refused"]]
+        for row in readings:
+            if row["speed"] > limits.alert_speed_kmh:
+                out.append(self._alert(bus, row, "UNREALISTIC_SPEED", "Speed exceeded 120 km/h"))
+            if not _text(row["route_id"]):
+                out.append(self._alert(bus, row, "INACTIVE_GPS", "GPS received for inactive trip"))
+            elif row["off_route"]:
+                out.append(self._alert(bus, row, "OFF_ROUTE", f"Bus deviated by {round(row['off_route_m'])}m from route"))
+        active = [r for r in readings if _text(r["route_id"])]
+        if active:
+            by_time = {int(r["t"]): r for r in active}
+            frame = pd.DataFrame(active)
+            seconds = limits.streak_window_ms // 1000
+            for _, t, metres in next(self.streak.handleInputRows(key, iter([frame]), timerValues)).itertuples(index=False):
+                detail = {"streakCount": limits.streak_count, "windowSeconds": seconds, "offRouteDistanceM": metres}
+                message = f"Bus remained off-route for {limits.streak_count} readings within {seconds}s"
+                out.append(self._alert(bus, by_time[t], "PERSISTENT_OFF_ROUTE", message, detail))
+            for _, t in next(self.stationary.handleInputRows(key, iter([frame]), timerValues)).itertuples(index=False):
+                out.append(self._alert(bus, by_time[t], "STATIONARY", "Bus stationary (DBSCAN cluster detected) for over 5 minutes"))
+            out += self._erratic(bus, by_time, next(self.behaviour.handleInputRows(key, iter([frame]), timerValues)))
+            out += self._silences(bus, active)
+        if refused:
+            for row, count in self.burst.hits(refused):
+                detail = {"sourceReason": "INACTIVE_TRIP", "dlqCount": count, "windowSeconds": limits.dlq_window_ms // 1000}
+                out.append(self._alert(bus, row, "TRIP_NOT_STARTED_DEVICE_ACTIVE", "Device is sending GPS but no active trip exists", detail, REFUSED_SOURCE))
         yield _frame(out, self.COLUMNS)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield _frame([self._silence(key[0], tuple(self.newest.get()))], self.COLUMNS)
+
 
 class SpeedSmoothing(StatefulProcessor):
     """Recent speeds of one trip; a trip end clears them."""

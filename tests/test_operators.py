@@ -5,6 +5,8 @@ import os
 import random
 import tempfile
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -305,14 +307,21 @@ def test_snapshot_versions_survive_a_retry(spark, folder):
 
 
 def test_audiences_and_alert_rows(spark, folder):
-    alerts = spark.createDataFrame([("b", k, "HIGH", "m", "T", "R", 6.9, 80.0, 1, None) for k in ("STATIONARY", "OFF_ROUTE", "NEW_KIND")],
-                                   "bus_id string, anomaly_type string, severity string, message string, trip_id string, route_id string, "
-                                   "lat double, lon double, t long, detail string")
+    readings = spark.createDataFrame([("b", k, "T", "R", 6.9, 80.0, 1_777_716_000_000) for k in ("STATIONARY", "OFF_ROUTE", "NEW_KIND")],
+                                     "bus_id string, kind string, trip_id string, route_id string, lat double, lon double, t long")
+    alerts = detect.alert(readings, F.col("kind"), F.lit("m"), F.lit('{"dlqCount":3,"features":{"average_speed":1.5}}'), "origin")
+    assert alerts.columns == detect.ALERT_COLUMNS
     writers.write_audiences(alerts, f"{folder}/out")
     got = rows_of(spark.read.parquet(f"{folder}/out").groupBy("anomaly_type").agg(F.count("*")))
     assert got == [("NEW_KIND", 1), ("OFF_ROUTE", 2), ("STATIONARY", 3)]
-    payload = writers.alert_rows(alerts).first().payload
-    assert payload.index('"anomaly_type"') < payload.index('"bus_id"') < payload.index('"trip_id"')
+    row = writers.alert_rows(alerts).filter("anomaly_type = 'OFF_ROUTE'").first()
+    assert (row.lat, row.lon, row.model_version, row.source, str(row.date)) == (6.9, 80.0, "rules-v1", "origin", "2026-05-02")
+    assert json.loads(row.payload) == {
+        "busId": "b", "anomalyType": "OFF_ROUTE", "severity": "HIGH", "message": "m", "tripId": "T", "routeId": "R",
+        "location": {"lat": 6.9, "lon": 80.0}, "timestamp": "2026-05-02T10:00:00.000Z", "modelVersion": "rules-v1", "source": "origin",
+        "dlqCount": 3, "features": {"average_speed": 1.5}}
+    plain = detect.alert(readings, F.col("kind"), F.lit("m"))
+    assert "source" not in json.loads(plain.select(detect.alert_message(plain).alias("p")).first().p)
 
 
 # --- models ------------------------------------------------------------------------------------

@@ -1,7 +1,8 @@
 """Each stream processor must give the rows of its batch operator on the same input."""
 
-import json
 import datetime
+import json
+import math
 import random
 import tempfile
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from busline import contracts as C
 from busline.functions import geo
-from busline.operators import context, crowd, detect, dwell, enrich, eta, validate
+from busline.operators import context, crowd, detect, dwell, enrich, eta, forest, validate
 from busline.sinks import writers
 from busline.sources import readers
 from busline.streaming import jobs
@@ -188,6 +189,81 @@ def test_silence(spark, folder, readings):
     assert closed <= got <= want | closed
 
 
+def steady(number):
+    """Rounded so that the last bit does not decide: halves go up by a clear margin."""
+    return math.floor(float(number) * 1e4 + 0.500001) / 1e4
+
+
+def alert_set(alerts):
+    """Alerts as comparable rows: floats of the details rounded, keys in order."""
+    def told(text):
+        return None if text is None else json.dumps(json.loads(text, parse_float=steady, parse_int=float), sort_keys=True)
+
+    return sorted(((*[r[c] for c in detect.ALERT_COLUMNS[:-1]], told(r.detail)) for r in alerts.collect()), key=str)
+
+
+def test_detector_job_equals_all_detectors(spark, folder, readings):
+    """Messages of both topics through the job: the history, topic and audiences hold the alerts of the batch detectors."""
+    rng = random.Random(12)
+    rows = distinct_times(readings).select("bus_id", "t", "lat", "lon", "speed", "heading", "off_route", "off_route_m", "trip_id", "route_id").collect()
+    rows = [tuple(r) if n % 9 else (*tuple(r)[:8], None, None) for n, r in enumerate(rows)]
+    for i in range(90):  # a bus that stands, moves on and stands again
+        moving = 45 <= i < 50
+        rows.append(("s", T0 + i * 10_000, 6.9 + (0.01 * i if moving else 0.00001 * rng.randint(0, 5)), 80.0, 130.0 if i == 47 else 3.0 + 0.25 * (i % 7), float(rng.randint(80, 100)), False, 0.0, "Ts", "R1"))
+    schema = "bus_id string, t long, lat double, lon double, speed double, heading double, off_route boolean, off_route_m double, trip_id string, route_id string"
+    table = spark.createDataFrame(rows, schema).persist()
+    refused = spark.createDataFrame([("d", T0 + at * 1000, i, "INACTIVE_TRIP", None, "x", None, 6.5, 80.5) for i, at in enumerate([0, 20, 40, 40, 50, 350, 360, 361])],
+                                    "bus_id string, t long, arrival long, error_type string, error_reason string, trip_id string, route_id string, lat double, lon double")
+    at = F.date_format(F.timestamp_millis("t"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    body = F.struct(F.col("bus_id").alias("busId"), F.col("trip_id").alias("tripId"), F.col("route_id").alias("routeId"), "lat", "lon", "speed", "heading",
+                    at.alias("timestamp"), F.col("off_route").alias("offRoute"), F.col("off_route_m").alias("offRouteDistanceM"))
+    sent = table.select(F.col("bus_id").alias("key"), F.to_json(body).alias("value"), F.col("t").alias("arrival"), F.timestamp_millis("t").alias("received_at"))
+    sent = sent.unionByName(spark.createDataFrame([("s", "no json", T0, None), ("s", "{}", T0, None)], sent.schema))
+    payload = F.to_json(F.struct(F.col("bus_id").alias("busId"), F.col("trip_id").alias("tripId"), "lat", "lon"))
+    envelope = F.to_json(F.struct("error_type", at.alias("received_at"), payload.alias("original_payload")))
+    dlq = refused.select(F.col("bus_id").alias("key"), envelope.alias("value"), "arrival", F.timestamp_millis("t").alias("received_at"))
+    as_stream(spark, sent, folder, readers.TOPICS["cleaned"][0], "arrival")
+    as_stream(spark, dlq, folder, readers.TOPICS["dlq"][0], "arrival", files=2)
+    trees = forest.grow_forest(detect.behaviour_windows(table.filter("route_id IS NOT NULL")), C.BEHAVIOURAL_FEATURES, ["bus_id", "t"], trees=20)
+    packed = (forest.Packed(trees), 0.6)
+    job = jobs.detector_job(readers.message_stream(spark, "cleaned", path=folder, max_files=1), readers.message_stream(spark, "dlq", path=folder, max_files=1),
+                            f"{folder}/out", f"{folder}/cp", version="forest-v3", forest=packed)
+    job.trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/out/history")
+
+    windows = detect.behaviour_windows(table)
+    judged = forest.score(windows, trees, C.BEHAVIOURAL_FEATURES).withColumn("odd", F.col("forest_score") > 0.6)
+    batch = detect.detect_all(table, 0, version="forest-v3")
+    batch = batch.filter("anomaly_type <> 'ERRATIC_DRIVING'").unionByName(
+        detect.erratic_driving(judged, F.col("odd")).unionByName(detect.trip_not_started(refused)).withColumn("model_version", F.lit("forest-v3")))
+    # a silence that is open when the input ends is raised by its timer once the watermark has passed it
+    last = table.filter("route_id IS NOT NULL").agg(F.max("t")).first()[0]
+    open_ = detect.communication_loss(table, last, width=None).withColumn("model_version", F.lit("forest-v3"))
+    want, open_ = alert_set(batch), alert_set(open_)
+    told = got.select("bus_id", "anomaly_type", "severity", "message", "trip_id", "route_id", F.struct("lat", "lon").alias("location"), "t", "model_version", "source", "payload")
+    shape = {"busId", "anomalyType", "severity", "message", "tripId", "routeId", "location", "timestamp", "modelVersion", "source"}
+
+    def detail(text):
+        rest = {k: v for k, v in json.loads(text, parse_float=steady, parse_int=float).items() if k not in shape}
+        return json.dumps(rest, sort_keys=True) if rest else None
+
+    seen = sorted(((*tuple(r)[:-1], detail(r.payload)) for r in told.collect()), key=str)
+    assert [r for r in seen if r not in want] == [r for r in seen if r in open_ and r not in want]
+    assert [r for r in want if r not in seen] == []
+    assert len(seen) == len(set(map(str, seen))) and {r[1] for r in seen} == set(C.ADMIN_ALERTS)
+    assert {json.loads(r[-1])["detectionMethod"] for r in seen if r[1] == "ERRATIC_DRIVING"} == {"isolation_forest", "rules_fallback"}
+
+    topic = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/out/anomalies")
+    assert rows_of(topic.select("value")) == rows_of(got.select("payload"))
+    channels = spark.read.option("basePath", f"{folder}/out/audiences").parquet(f"{folder}/out/audiences")
+    assert channels.filter(F.col("channel") == C.PASSENGER_CHANNEL).count() == sum(r[1] == "STATIONARY" for r in seen)
+    # a batch that is tried again changes nothing
+    alerts = detect.row_alerts(table)
+    for _ in range(2):
+        jobs.alert_sinks(f"{folder}/again")(alerts, 7)
+    assert spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/again/history").count() == alerts.count()
+
+
 def test_crowd_trust(spark, folder):
     rng = random.Random(4)
     rows = [(i, 1, rng.randint(1, 2), float(rng.randint(0, 100)), rng.choice(["p1", "p2", "p3", None]), T0 + 40_000 * i)
