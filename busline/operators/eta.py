@@ -11,6 +11,7 @@ from busline import contracts as C
 from busline.functions import scalars
 from busline.operators import chunked
 from busline.operators.chunked import CHUNK, Carry
+from busline.operators.trees import Flat
 
 MODELS = ("physics", "sarima", "xgboost", "default")
 
@@ -30,7 +31,7 @@ def skip_reason(event: Column, off_route: Column, next_stop: Column, trip: Colum
 
 
 def speed_ms(speed: Column, unit: str = "as-is") -> Column:
-    """The reference field is taken as it is; ``kmh`` converts."""
+    """The stored field is taken as it is; ``kmh`` converts."""
     return speed / 3.6 if unit == "kmh" else speed
 
 
@@ -129,6 +130,25 @@ def feature_columns(distance: Column, speed: Column, stops_remaining: Column, at
             "stops_remaining": F.greatest(F.lit(1), stops_remaining).cast("double"), "physics_eta": d / v}
 
 
+def estimated(rows: DataFrame, trees: Flat | None = None, seasonal: DataFrame | None = None, model: str = "xgboost") -> DataFrame:
+    """Arrival estimates of readings (distance_m, speed_ms, stops_remaining, route_id, next_stop_id, t, segment_mode).
+
+    ``trees`` scores every reading, ``seasonal`` has the forecasts (route_id, stop_id, seasonal_eta); where one is missing
+    the cascade goes on to the next model.
+    """
+    none = F.lit(None).cast("double")
+    if trees is None:
+        scored = rows.withColumn("tree_eta", none)
+    else:
+        inputs = feature_columns(F.col("distance_m"), F.col("speed_ms"), F.col("stops_remaining"), F.timestamp_millis("t"))
+        scored = rows.withColumn("tree_eta", trees.column(*[inputs[c] for c in C.ETA_FEATURES]))
+    if seasonal is None:
+        return cascade(scored.withColumn("seasonal_eta", none), model)
+    told = seasonal.select(F.col("route_id").cast("string").alias("_route"), F.col("stop_id").cast("long").alias("_stop"), "seasonal_eta")
+    met = scored.join(told, (F.col("route_id") == F.col("_route")) & (F.col("next_stop_id") == F.col("_stop")), "left")
+    return cascade(met.drop("_route", "_stop"), model)
+
+
 def stop_name(stops: Column, stop_id: Column) -> Column:
     return F.get(F.filter(stops, lambda s: s["stopId"] == stop_id), F.lit(0))["stopName"]
 

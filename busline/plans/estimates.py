@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from busline import contracts as C
 from busline.functions import scalars
-from busline.operators import chunked, eta
+from busline.operators import chunked, eta, trees
 from busline.plans import shared as S
 from busline.plans.registry import query
 from busline.plans.views import AS_OF_MS, BASE_MS, oracle, view
+from busline.sources import messages
 
 
-def _sql(select: str, recursive: bool = False, **extra: str) -> str:
-    return oracle(select, *S.ENRICHED_VIEWS, extra=S.parts(S.ENRICHED_PARTS, **extra))
+def _sql(select: str, _views: tuple[str, ...] = (), **extra: str) -> str:
+    return oracle(select, *S.ENRICHED_VIEWS, *_views, extra=S.parts(S.ENRICHED_PARTS, **extra))
 
 
 # one reading per trip and instant: a bus has one clock, but a payload may name any trip
@@ -131,6 +134,78 @@ def eta_stream_records(spark, sf):
                       S.steady("eta_seconds", 3).alias("eta_seconds"), "clamped", "model_used")
 
 
+# an ensemble of one tree per route: distance at its mean, then speed at its mean; a leaf holds the mean of its records
+_CELL = "2 * CAST(distance_m > d AS INT) + CAST(speed_ms > v AS INT)"
+_TREES = {
+    "means": "SELECT route_id, avg(distance_m) AS d, avg(speed_ms) AS v, avg(eta_seconds) AS e FROM eta_records WHERE NOT off_route GROUP BY route_id",
+    "leaves": f"""SELECT route_id, {_CELL} AS cell, avg(eta_seconds) AS e FROM eta_records JOIN means m USING (route_id)
+        WHERE NOT off_route GROUP BY ALL""",
+    "nodes": """SELECT CAST(route_id AS INT) AS tree, 0.2d AS weight, 0 AS node, 0 AS feature, d AS cut, 1 AS "left", 2 AS "right", e AS value FROM means
+        UNION ALL SELECT route_id, 0.2d, 1 + side, 1, v, 3 + 2 * side, 4 + 2 * side, e FROM means, (SELECT unnest([0, 1]) AS side)
+        UNION ALL SELECT route_id, 0.2d, 3 + cell, NULL, NULL, NULL, NULL, e FROM leaves""",
+    "forecasts": """SELECT CAST(route_id AS STRING) AS route_id, stop_id, avg(eta_seconds) AS seasonal_eta FROM eta_records
+        WHERE NOT off_route AND stop_id % 2 = 0 GROUP BY ALL""",
+    "numbered": "SELECT *, row_number() OVER (ORDER BY trip_id, t) AS k, greatest(next_stop_m, 0) AS dd, greatest(v, 1.4d) AS vv FROM feats",
+    "walk": """SELECT k, tree, node, feature, cut, "left", "right", weight * value AS value, dd, vv FROM numbered, (SELECT * FROM nodes WHERE node = 0)
+        UNION ALL SELECT w.k, w.tree, n.node, n.feature, n.cut, n."left", n."right", n.weight * n.value, dd, vv FROM walk w
+          JOIN nodes n ON n.tree = w.tree AND n.node = CASE WHEN CASE w.feature WHEN 0 THEN dd ELSE vv END <= w.cut THEN w."left" ELSE w."right" END
+          WHERE w.feature IS NOT NULL""",
+    "scores": "SELECT k, sum(value) AS tree_eta FROM walk WHERE feature IS NULL GROUP BY k",
+    "judged": """SELECT f.*, s.tree_eta, c.seasonal_eta, dd / vv AS phys, v < 1.4d AS slow, dd > 0 AND abs(s.tree_eta - dd / vv) / (dd / vv) > 0.8d AS wild
+        FROM numbered f JOIN scores s USING (k) LEFT JOIN forecasts c ON c.route_id = f.route_id AND c.stop_id = f.next_stop_id""",
+    "chosen": "SELECT *, CASE WHEN NOT slow AND NOT wild THEN 'xgboost' WHEN seasonal_eta IS NOT NULL THEN 'sarima' ELSE 'physics' END AS model_used FROM judged",
+}
+
+
+def stored_trees(records: DataFrame) -> DataFrame:
+    """Node table of the ensemble above."""
+    kept = records.filter("NOT off_route")
+    means = kept.groupBy("route_id").agg(F.avg("distance_m").alias("d"), F.avg("speed_ms").alias("v"), F.avg("eta_seconds").alias("e"))
+    leaves = kept.join(means.drop("e"), "route_id").groupBy("route_id", F.expr(_CELL).alias("cell")).agg(F.avg("eta_seconds").alias("e"))
+
+    def node(rows: DataFrame, *columns: str) -> DataFrame:
+        names = [f.split()[0] for f in trees.NODES.split(", ")]
+        kinds = [f.split()[1] for f in trees.NODES.split(", ")]
+        return rows.select(*[F.expr(c).cast(k).alias(n) for c, n, k in zip(columns, names, kinds, strict=True)])
+
+    sides = means.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+    return (node(means, "route_id", "0.2D", "0", "0", "d", "1", "2", "e")
+            .unionByName(node(sides, "route_id", "0.2D", "1 + side", "1", "v", "3 + 2 * side", "4 + 2 * side", "e"))
+            .unionByName(node(leaves, "route_id", "0.2D", "3 + cell", "NULL", "NULL", "NULL", "NULL", "e")))
+
+
+@query("eta_scored_records", _sql("""SELECT trip_id, bus_id, route_id, t, CAST(next_stop_id AS BIGINT) AS stop_id,
+  floor(CASE model_used WHEN 'xgboost' THEN CASE WHEN dd = 0 THEN 0 ELSE greatest(0, tree_eta) END WHEN 'sarima' THEN greatest(0, seasonal_eta) ELSE phys END * 1000 + 0.500001d) / 1000 AS eta_seconds,
+  floor(tree_eta * 1000 + 0.500001d) / 1000 AS tree_eta, floor(next_stop_m * 100 + 0.500001d) / 100 AS distance_m, model_used,
+  CASE model_used WHEN 'physics' THEN slow ELSE false END AS clamped, model_used = 'physics' AS fallback, segment_mode FROM chosen""",
+    **_FEATURES, **_TREES, _views=("eta_records",)).replace("WITH ", "WITH RECURSIVE ", 1))
+def eta_scored_records(spark, sf):
+    """Estimates with a stored tree ensemble and stored forecasts: every reading walks all trees."""
+    records = view(spark, sf, "eta_records")
+    forecasts = records.filter("NOT off_route AND stop_id % 2 = 0").groupBy("route_id", "stop_id").agg(F.avg("eta_seconds").alias("seasonal_eta"))
+    rows = features(spark, sf).withColumns({"distance_m": F.col("next_stop_m"), "speed_ms": F.col("smoothed_ms")})
+    out = eta.estimated(rows, trees.Flat(stored_trees(records)), S.materialised(forecasts))
+    return out.select("trip_id", "bus_id", "route_id", "t", F.col("next_stop_id").cast("long").alias("stop_id"), S.steady("eta_seconds", 3).alias("eta_seconds"),
+                      S.steady("tree_eta", 3).alias("tree_eta"), S.steady("distance_m", 2).alias("distance_m"), "model_used", "clamped", "fallback", "segment_mode")
+
+
+@query("feature_messages", """SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 5 = 0 THEN 'Missing ETA feature fields: tripId, speed'
+  WHEN event_id % 3 = 0 THEN 'Missing ETA feature fields: tripId' WHEN event_id % 5 = 0 THEN 'Missing ETA feature fields: speed'
+  WHEN event_id % 7 = 0 THEN 'stopsAhead must be a list' END AS reason, event_id % 13 = 0 AS ended FROM events""")
+def feature_messages(spark, sf):
+    """Messages of the feature topic that lack fields, hold nulls, or hold no list of stops."""
+    rows = view(spark, sf, "ev")
+    told = {n: F.lit('"x"') for n in C.ETA_REQUIRED_FIELDS}
+    told["tripId"] = F.when(F.col("event_id") % 3 != 0, '"T"')
+    told["speed"] = F.when(F.col("event_id") % 5 != 0, F.when(F.col("event_id") % 11 == 0, "null").otherwise("1.5"))
+    told["stopsAhead"] = F.when(F.col("event_id") % 7 == 0, F.when(F.col("event_id") % 2 == 0, '"none"').otherwise('{"a":[1]}')).otherwise("[]")
+    told["event"] = F.when(F.col("event_id") % 13 == 0, '"TRIP_ENDED"')
+    pairs = F.array_compact(F.array(*[F.concat(F.lit(f'"{n}":'), v) for n, v in told.items()]))
+    sent = rows.select("event_id", F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("value"))
+    read = messages.parse_features(sent)
+    return read.select("event_id", F.col("feature_error").alias("reason"), F.coalesce(F.col("event") == "TRIP_ENDED", F.lit(False)).alias("ended"))
+
+
 @query("eta_snapshots", _sql("""SELECT trip_id, t, t + 300000 AS expires_ms, next_stop_m, CAST(stops_remaining AS BIGINT) AS stops_remaining,
   floor(eta_seconds * 1000 + 0.500001d) / 1000 AS eta_seconds FROM snaps""", **_ESTIMATES))
 def eta_snapshots(spark, sf):

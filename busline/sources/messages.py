@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from busline import contracts as C
 from busline.functions import scalars
 from busline.operators.validate import once
 
@@ -38,6 +39,22 @@ def parse_cleaned(messages: DataFrame, value: str = "value") -> DataFrame:
         get("string", "segmentMode").alias("segment_mode"), get("string", "tripStatus", "trip_status").alias("trip_status")).drop("_v")
 
 
+def feature_error(value: Column) -> Column:
+    """Why a parsed message (a variant) is no feature message: fields that it lacks, or stops that are no list; else NULL."""
+    fields = F.map_keys(value.try_cast("map<string,variant>"))
+    absent = F.filter(F.array(*[F.lit(n) for n in C.ETA_REQUIRED_FIELDS]), lambda n: ~F.coalesce(F.array_contains(fields, n), F.lit(False)))
+    is_list = F.schema_of_variant(F.variant_get(value, "$.stopsAhead", "variant")).startswith("ARRAY")
+    return (F.when(F.size(absent) > 0, F.concat(F.lit("Missing ETA feature fields: "), F.array_join(absent, ", ")))
+            .when(~F.coalesce(is_list, F.lit(False)), "stopsAhead must be a list"))
+
+
+def parse_features(messages: DataFrame, value: str = "value") -> DataFrame:
+    """Messages of the feature topic: cleaned readings, and the trip ends among them (``event``)."""
+    df, get = _reader(parse_cleaned(messages, value), value)
+    return once(df, F.coalesce(get("string", "event"), get("string", "eventType")).alias("event"),
+                feature_error(F.col("_v")).alias("feature_error")).drop("_v")
+
+
 def parse_dlq(messages: DataFrame, value: str = "value") -> DataFrame:
     """Rejection envelopes, with the fields that the burst detector reads.
 

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from busline import contracts as C
-from busline.operators import context, crowd, detect, enrich, validate
+from busline.operators import context, crowd, detect, enrich, eta, validate
 from busline.operators.forest import Packed
+from busline.operators.trees import Flat
 from busline.sinks import writers
 from busline.sources import messages
 from busline.streaming import processors as P
@@ -68,11 +69,58 @@ def ingest_verdicts(readings: DataFrame, limits: C.Thresholds = C.DEFAULTS) -> D
 
 
 def smoothed(features: DataFrame, trip_ends: DataFrame, limits: C.Thresholds = C.DEFAULTS) -> DataFrame:
-    rows = features.select("trip_id", "t", "speed_ms", F.lit(True).alias("is_reading"))
-    ends = trip_ends.select("trip_id", "t", F.lit(None).cast("double").alias("speed_ms"), F.lit(False).alias("is_reading"))
+    none = F.lit(None).cast("string").alias("body")
+    rows = features.select("trip_id", "t", "speed_ms", F.lit(True).alias("is_reading"), none)
+    ends = trip_ends.select("trip_id", "t", F.lit(None).cast("double").alias("speed_ms"), F.lit(False).alias("is_reading"), none)
     return keyed(rows.unionByName(ends), ["trip_id"], P.SpeedSmoothing(limits))
 
 
+#: What an estimate needs of a reading besides its speed, as it travels through the state of its trip.
+_READING = ("bus_id string, route_id string, next_stop_id int, next_stop_m double, stops_remaining int, progress_pct double, segment_mode string, "
+            "stops_ahead array<struct<stopId:int,stopName:string,stopOrder:int,distanceAlongRouteMeters:double>>")
+
+
+def estimates(features: DataFrame, trees: Flat | None = None, seasonal: DataFrame | None = None, model: str = "xgboost",
+              limits: C.Thresholds = C.DEFAULTS) -> DataFrame:
+    """Estimate stream of the feature topic: its readings with a stop ahead, smoothed by trip, scored where they pass.
+
+    Trip ends of the same topic clear a trip's speeds; one without a time counts from its receipt. Messages that lack a
+    field, and readings that get no estimate, are left out.
+    """
+    parsed = messages.parse_features(features).withColumn("ended", F.coalesce(F.col("event") == "TRIP_ENDED", F.lit(False)))
+    skipped = eta.skip_reason(F.col("event"), F.col("off_route"), F.col("next_stop_id"), F.col("trip_id"))
+    used = F.col("ended") | (F.col("feature_error").isNull() & skipped.isNull() & F.col("speed").isNotNull())
+    at = F.coalesce("t", F.when(F.col("ended"), F.unix_millis("received_at")))
+    body = F.to_json(F.struct(*[f.split()[0] for f in _READING.split(", ")]))
+    rows = parsed.filter(used).select("trip_id", at.alias("t"), F.when(~F.col("ended"), eta.speed_ms(F.col("speed"))).alias("speed_ms"),
+                                      (~F.col("ended")).alias("is_reading"), body.alias("body")).filter("trip_id IS NOT NULL AND t IS NOT NULL")
+    smooth = keyed(rows, ["trip_id"], P.SpeedSmoothing(limits)).withColumn("_b", F.from_json("body", _READING))
+    ready = smooth.select("trip_id", "t", F.col("smoothed_ms").alias("speed_ms"), "smoothing_rows", "_b.*").withColumn("distance_m", F.col("next_stop_m"))
+    return eta.estimated(ready, trees, seasonal, model)
+
+
+def eta_sinks(out: str, version: str | None = None, clock: Callable[[], float] = time.time) -> Callable[[DataFrame, int], None]:
+    """Write a batch of estimates to the record table, the snapshots per trip and the live channel; a repeated batch replaces itself."""
+    snapshots, live = writers.snapshot_sink(f"{out}/snapshots", "tripId", "timestampMs"), writers.append_sink(f"{out}/live")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.persist()
+        try:
+            writers.write_eta_records(eta.eta_records(rows, F.lit(int(clock() * 1000)), version), f"{out}/records", batch_id)
+            snapshots(eta.latest_snapshots(eta.snapshot(rows, version)), batch_id)
+            live(eta.live_event(rows, version), batch_id)
+        finally:
+            rows.unpersist()
+    return write
+
+
+def eta_job(features: DataFrame, out: str, checkpoint: str, trees: Flat | None = None, seasonal: DataFrame | None = None,
+            model: str = "xgboost", version: str | None = None, limits: C.Thresholds = C.DEFAULTS):
+    """Messages of the feature topic to arrival records, snapshots and live events."""
+    return (estimates(features, trees, seasonal, model, limits).writeStream.foreachBatch(eta_sinks(out, version))
+            .option("checkpointLocation", checkpoint).trigger(processingTime=writers.CHECKPOINT_EVERY))
+
+
 def silence(readings: DataFrame, limits: C.Thresholds = C.DEFAULTS, time_mode: str = "EventTime") -> DataFrame:
     """Silence alerts by event-time timers; ``readings`` must carry a watermarked ``event_time``."""
     return keyed(readings.select("bus_id", "t", "event_time"), ["bus_id"], P.SilenceTimer(limits), time_mode)

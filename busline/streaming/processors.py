@@ -380,10 +380,10 @@ class Detectors(StatefulProcessor):
 
 
 class SpeedSmoothing(StatefulProcessor):
-    """Recent speeds of one trip; a trip end clears them."""
+    """Recent speeds of one trip; a trip end clears them. ``body`` is handed through with its reading."""
 
-    COLUMNS = ["trip_id", "t", "smoothed_ms", "smoothing_rows"]
-    SCHEMA = "trip_id string, t long, smoothed_ms double, smoothing_rows int"
+    COLUMNS = ["trip_id", "t", "smoothed_ms", "smoothing_rows", "body"]
+    SCHEMA = "trip_id string, t long, smoothed_ms double, smoothing_rows int, body string"
 
     def __init__(self, limits: C.Thresholds = C.DEFAULTS):
         self.limits = limits
@@ -401,7 +401,7 @@ class SpeedSmoothing(StatefulProcessor):
                 continue
             kept = [*kept, (t, float(row["speed_ms"]))][-self.limits.smoothing_rows:]
             kept = [p for p in kept if p[0] >= t - self.limits.smoothing_ms]
-            out.append((key[0], t, sum(v for _, v in kept) / len(kept), len(kept)))
+            out.append((key[0], t, sum(v for _, v in kept) / len(kept), len(kept), row["body"]))
         if kept:
             self.recent.put(kept)
         else:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from busline import contracts as C
 from busline.functions import geo
-from busline.operators import context, crowd, detect, dwell, enrich, eta, forest, validate
+from busline.operators import context, crowd, detect, dwell, enrich, eta, forest, train, trees, validate
 from busline.sinks import writers
 from busline.sources import readers
 from busline.streaming import jobs
@@ -264,6 +264,61 @@ def test_detector_job_equals_all_detectors(spark, folder, readings):
     assert spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/again/history").count() == alerts.count()
 
 
+def test_eta_job_equals_batch_estimates(spark, folder, readings):
+    """Feature messages through the job with a trained ensemble: records, snapshots and live events of the batch operators."""
+    rng = random.Random(8)
+    records = spark.createDataFrame([(rng.uniform(0, 4000), rng.uniform(1, 20), rng.randint(0, 6), T0 + 977_000 * i, rng.uniform(10, 900)) for i in range(400)],
+                                    "distance_m double, speed_ms double, stops_remaining int, t long, eta_seconds double")
+    model = train.train_eta_model(train.eta_features(records), trees=6, depth=4)
+    model.write().overwrite().save(f"{folder}/model")
+    flat = trees.Flat(trees.stored_nodes(spark, f"{folder}/model"))
+    scored = train.score_eta(model, train.eta_features(records))
+    again = scored.withColumn("flat", flat.column(*[F.col(c) for c in C.ETA_FEATURES]))
+    assert again.filter(F.abs(F.col("flat") - F.col("tree_eta")) > 1e-9).count() == 0 and again.count() == 400
+
+    stops = F.array(F.struct(F.lit(7).alias("stopId"), F.lit("S7").alias("stopName"), F.lit(1).alias("stopOrder"), F.lit(9.5).alias("distanceAlongRouteMeters")))
+    rows = distinct_times(readings).withColumns({
+        "next_stop_id": F.when(F.col("arrival") % 9 != 0, F.lit(7)), "next_stop_m": F.col("speed") * (F.col("arrival") % 37) * 20, "stops_remaining": F.lit(1), "progress_pct": F.lit(12.5),
+        "segment_mode": F.when(F.col("arrival") % 4 == 0, "expressway").otherwise("urban"), "stops_ahead": stops, "route_id": F.when(F.col("bus_id") == "a", "1").otherwise("2")}).persist()
+    ends = rows.filter("arrival % 70 = 1").select("trip_id", "t")
+    body = F.struct(F.col("bus_id").alias("busId"), F.col("trip_id").alias("tripId"), F.col("route_id").alias("routeId"), F.col("t").alias("timestampMs"),
+                    F.lit("2026-05-02T10:00:00Z").alias("timestamp"), "speed", F.col("next_stop_id").alias("nextStopId"), F.col("next_stop_m").alias("distanceToNextStop"),
+                    F.col("stops_remaining").alias("stopsRemaining"), F.col("stops_ahead").alias("stopsAhead"), F.col("progress_pct").alias("routeProgressPct"),
+                    F.col("segment_mode").alias("segmentMode"), F.col("off_route").alias("offRoute"))
+    sent = rows.select(F.col("bus_id").alias("key"), F.to_json(body, {"ignoreNullFields": "false"}).alias("value"), (F.col("t") * 2 + 1).alias("arrival"), F.timestamp_millis("t").alias("received_at"))
+    # a trip end without a time counts from its receipt; a message that lacks fields is left out
+    ended = ends.select(F.lit(None).cast("string").alias("key"), F.to_json(F.struct(F.lit("TRIP_ENDED").alias("event"), F.col("trip_id").alias("tripId"))).alias("value"),
+                        (F.col("t") * 2).alias("arrival"), F.timestamp_millis("t").alias("received_at"))
+    bad = rows.limit(1).select(F.lit("x").alias("key"), F.lit('{"tripId":"Ta","speed":1,"timestampMs":5}').alias("value"), (F.col("t") * 2).alias("arrival"), F.timestamp_millis("t").alias("received_at"))
+    as_stream(spark, sent.unionByName(ended).unionByName(bad), folder, readers.TOPICS["eta_features"][0], "arrival")
+    seasonal = spark.createDataFrame([(1, 7, 321.0)], "route_id int, stop_id int, seasonal_eta double")
+    stream = readers.message_stream(spark, "eta_features", path=folder, max_files=1)
+    jobs.eta_job(stream, f"{folder}/out", f"{folder}/cp", flat, seasonal, version="v9").trigger(availableNow=True).start().awaitTermination()
+
+    used = rows.filter("NOT off_route AND next_stop_id IS NOT NULL").withColumn("speed_ms", F.col("speed"))
+    smooth = eta.smooth_speed(used.drop("speed"), ends).withColumns({"distance_m": F.col("next_stop_m"), "speed_ms": F.col("smoothed_ms")})
+    batch = eta.estimated(smooth, flat, seasonal)
+
+    def told(df, drop=()):
+        columns = [F.round(c, 6).alias(c) if t == "double" else F.to_json(c).alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes if c not in drop]
+        return rows_of(df.select(*columns))
+
+    names = eta.eta_records(batch, F.lit(0), "v9").columns
+    got = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/out/records").select(*names)
+    assert told(got, ("recorded_at",)) == told(eta.eta_records(batch, F.lit(0), "v9"), ("recorded_at",))
+    assert {r.model_used for r in got.select("model_used").distinct().collect()} == {"xgboost", "sarima", "physics"}
+    snapshots = spark.read.parquet(writers.latest_version(spark, f"{folder}/out/snapshots"))
+    want = eta.latest_snapshots(eta.snapshot(batch, "v9"))
+    assert told(snapshots.select(*want.columns)) == told(want)
+    live = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/out/live")
+    fields = lambda df: rows_of(df.select("trip_id", "t", F.get_json_object("value", "$.stopName"), F.get_json_object("value", "$.model_used"), F.round(F.get_json_object("value", "$.eta_seconds").cast("double"), 6)))
+    assert fields(live) == fields(eta.live_event(batch, "v9"))
+    # a batch that is tried again changes nothing
+    for _ in range(2):
+        jobs.eta_sinks(f"{folder}/again", clock=lambda: 1_777_716_000.0)(batch, 3)
+    assert spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/again/records").count() == batch.count()
+
+
 def test_crowd_trust(spark, folder):
     rng = random.Random(4)
     rows = [(i, 1, rng.randint(1, 2), float(rng.randint(0, 100)), rng.choice(["p1", "p2", "p3", None]), T0 + 40_000 * i)
