@@ -25,7 +25,7 @@ def bootstrap_trips(trips: DataFrame, schedules: DataFrame) -> DataFrame:
 
 
 def attach_trips(telemetry: DataFrame, lifecycle: DataFrame, bootstrap: DataFrame | None = None,
-                 newer_only: bool = True, width: int | None = chunked.BROKER_CHUNK) -> DataFrame:
+                 newer_only: bool = True, width: int = chunked.BROKER_CHUNK) -> DataFrame:
     """As-of join of readings with trip events by bus in arrival order.
 
     Telemetry: (bus_id, arrival, t, payload_trip, payload_route, ...). Lifecycle: (bus_id, arrival,
@@ -77,7 +77,7 @@ def attach_trips(telemetry: DataFrame, lifecycle: DataFrame, bootstrap: DataFram
             .drop("_state", "_known_route", "boot_trip", "boot_route"))
 
 
-def strictly_newer(df: DataFrame, width: int | None = chunked.BROKER_CHUNK) -> DataFrame:
+def strictly_newer(df: DataFrame, width: int = chunked.BROKER_CHUNK) -> DataFrame:
     """Readings newer than every reading of the bus that arrived before (late and repeated ones go)."""
     seen = chunked.carry(df, ["bus_id"], "arrival", {"_newest": Carry("max", F.col("t"))}, width)
     return seen.filter(F.col("_newest").isNull() | (F.col("t") > F.col("_newest"))).drop("_newest")

@@ -37,7 +37,7 @@ def _trailing(reports: DataFrame, key: list[str], window_ms: int, width: int, pr
             .filter(~F.col("_halo")).select(*key, "t", f"{prefix}_sum", f"{prefix}_n"))
 
 
-def consensus(reports: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: int | None = 3 * chunked.HOUR_MS) -> DataFrame:
+def consensus(reports: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: int = 3 * chunked.HOUR_MS) -> DataFrame:
     """Named reports with count and mean of the *other* passengers' recent reports at the stop.
 
     The interval self join becomes a difference of two trailing windows: everyone named at the
@@ -59,7 +59,7 @@ def trust_change(limits: C.Thresholds = C.DEFAULTS) -> Column:
 
 
 def trust_profiles(judged: DataFrame, limits: C.Thresholds = C.DEFAULTS,
-                   width: int | None = chunked.BROKER_CHUNK, span: int = 100_000) -> DataFrame:
+                   width: int = chunked.BROKER_CHUNK, span: int = 100_000) -> DataFrame:
     """Trust, total and verified reports per passenger after all of them.
 
     One change is "add d, then clamp to [0, 100]". A run of changes is again "add s, then clamp to
@@ -103,7 +103,7 @@ def with_trust(reports: DataFrame, profiles: DataFrame, limits: C.Thresholds = C
 
 
 def live_occupancy(requests: DataFrame, reports: DataFrame, profiles: DataFrame, limits: C.Thresholds = C.DEFAULTS,
-                   width: int | None = 3 * chunked.HOUR_MS) -> DataFrame:
+                   width: int = 3 * chunked.HOUR_MS) -> DataFrame:
     """Requests (request_id, route_id, stop_id, t) with sums over the reports of the last 20 minutes.
 
     No request meets a report. Reports are summed per (place, instant), the instants that requests

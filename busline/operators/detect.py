@@ -16,7 +16,6 @@ from busline.functions import geo, scalars
 from busline.operators import chunked
 from busline.operators.chunked import CHUNK, Carry
 from busline.operators.validate import once
-from busline.session import cut_lineage
 
 ALERT_COLUMNS = ["bus_id", "anomaly_type", "severity", "message", "trip_id", "route_id", "location", "t", "model_version",
                  "source", "detail"]
@@ -80,33 +79,24 @@ def off_route(readings: DataFrame) -> DataFrame:
                                                     F.bround("off_route_m", 0).cast("long")))
 
 
-def off_route_streaks(readings: DataFrame, limits: C.Thresholds = C.DEFAULTS,
-                      width: int | None = chunked.HOUR_MS) -> DataFrame:
+def off_route_streaks(readings: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: int = chunked.HOUR_MS) -> DataFrame:
     """Third off-route reading inside a window anchored at the first one.
 
-    The anchor restarts when the window is exceeded or an on-route reading intervenes. Anchors are
-    the greedy spacing of off-route times within a run between on-route readings; an anchored
-    window spans a few seconds, so ranking inside it is bounded.
+    The anchor restarts when the window is exceeded or an on-route reading intervenes: anchors are a greedy selection of
+    off-route times that on-route readings reset.
     """
-    rows = _active(readings).select("bus_id", "t", "off_route", "trip_id", "route_id", "lat", "lon", "off_route_m")
-    runs = chunked.carry(rows, ["bus_id"], "t", {"_run": Carry("last", F.when(~F.col("off_route"), F.col("t")))},
-                         width).filter("off_route").withColumn("_run", F.coalesce("_run", F.lit(-1)))
-    runs = cut_lineage(runs)  # off-route rows only; read by the anchors and by their assignment
-    anchors = chunked.spaced(runs, ["bus_id", "_run"], "t", limits.streak_window_ms, True, width)
-    flagged = runs.join(anchors.withColumn("_anchor_t", F.col("t")), ["bus_id", "_run", "t"], "left")
-    anchored = chunked.carry(flagged, ["bus_id", "_run"], "t", {"_anchor": Carry("last", F.col("_anchor_t"))}, width,
-                             inclusive=True)
-    place = F.row_number().over(Window.partitionBy("bus_id", "_run", "_anchor").orderBy("t"))
-    third = anchored.withColumn("_n", place).filter(F.col("_n") == limits.streak_count)
+    rows = _active(readings).select("bus_id", "t", (~F.col("off_route")).alias("on"), "trip_id", "route_id", "lat", "lon", "off_route_m")
+    third = chunked.paced(rows, ["bus_id"], "t", limits.streak_window_ms, True, width, reset="on").filter(
+        ~F.col("on") & (F.col("nth") == limits.streak_count))
     seconds = limits.streak_window_ms // 1000
     return alert(third, "PERSISTENT_OFF_ROUTE",
                  F.lit(f"Bus remained off-route for {limits.streak_count} readings within {seconds}s"),
-                 F.to_json(F.struct(F.col("_n").alias("streakCount"), F.lit(seconds).alias("windowSeconds"),
+                 F.to_json(F.struct(F.lit(limits.streak_count).alias("streakCount"), F.lit(seconds).alias("windowSeconds"),
                                     F.col("off_route_m").alias("offRouteDistanceM"))))
 
 
 def behaviour_windows(readings: DataFrame, limits: C.Thresholds = C.DEFAULTS,
-                      width: int | None = chunked.HOUR_MS) -> DataFrame:
+                      width: int = chunked.HOUR_MS) -> DataFrame:
     """Summary vector over the last rows of each bus, from the minimum row count on.
 
     Variances and mean use the whole row window; accelerations use the pairs inside it, one fewer.
@@ -199,47 +189,57 @@ def cluster_share(eps: float, min_points: int):
 
 
 def stationary_windows(readings: DataFrame, limits: C.Thresholds = C.DEFAULTS,
-                       width: int | None = chunked.HOUR_MS) -> DataFrame:
+                       width: int = chunked.HOUR_MS) -> DataFrame:
     """Readings with the flag whether their trailing window forms one dense cluster.
 
     Only windows that are long enough are handed to the clustering; the flag of every other row is
     false. A window's rows are bounded by its length, as times are unique per bus.
     """
+    return _dense_windows(readings, limits, width, limits.stationary_ms).filter(~F.col("_halo")).drop("_halo", CHUNK)
+
+
+def _dense_windows(readings: DataFrame, limits: C.Thresholds, width: int, lookback: int) -> DataFrame:
+    """The windows by chunk, with copies (``_halo``) of the readings of ``lookback`` before a chunk."""
     rows = _active(readings).select("bus_id", "t", "lat", "lon", "trip_id", "route_id")
-    halo = chunked.range_halo(rows, "t", limits.stationary_ms, width)
+    halo = chunked.range_halo(rows, "t", lookback, width)
     back = Window.partitionBy("bus_id", CHUNK).orderBy("t").rangeBetween(-limits.stationary_ms, 0)
     sized = halo.withColumns({"_n": F.count("*").over(back), "_from": F.min("t").over(back)})
     long_enough = ((F.col("_n") >= limits.stationary_min_points)
                    & (F.col("t") - F.col("_from") >= limits.stationary_span_ms))
-    points = sized.withColumn("_points", F.collect_list(F.struct("lat", "lon")).over(back)).filter(~F.col("_halo"))
+    points = sized.withColumn("_points", F.collect_list(F.struct("lat", "lon")).over(back))
     share = cluster_share(limits.stationary_eps_deg, limits.stationary_min_points)
     return (points.withColumn("share", share(F.when(long_enough, F.col("_points")))).withColumn("dense", F.col("share") >= limits.stationary_share)
-            .withColumnRenamed("_n", "window_points").drop("_points", "_from", "_halo", CHUNK))
+            .withColumnRenamed("_n", "window_points").drop("_points", "_from"))
 
 
-def stationary(readings: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: int | None = chunked.HOUR_MS) -> DataFrame:
-    """Alert on the rising edge of the dense-window flag."""
-    flagged = stationary_windows(readings, limits, width)
-    edges = chunked.carry(flagged, ["bus_id"], "t", {"_before": Carry("last", F.col("dense"))}, width)
+def stationary(readings: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: int = chunked.HOUR_MS) -> DataFrame:
+    """Alert on the rising edge of the dense-window flag.
+
+    The reading before a dense one lies in its window, so two windows of readings before a chunk decide its edges.
+    """
+    flagged = _dense_windows(readings, limits, width, 2 * limits.stationary_ms)
+    before = F.lag("dense").over(Window.partitionBy("bus_id", CHUNK).orderBy("t"))
+    edges = flagged.withColumn("_before", before).filter(~F.col("_halo"))
     return alert(edges.filter(F.col("dense") & ~F.coalesce(F.col("_before"), F.lit(False))), "STATIONARY",
                  F.lit("Bus stationary (DBSCAN cluster detected) for over 5 minutes"))
 
 
-def stationary_by_speed(readings: DataFrame, limits: C.Thresholds = C.DEFAULTS,
-                        width: int | None = chunked.HOUR_MS) -> DataFrame:
-    """Fallback rule: slow for longer than the window since the slow spell began; alerts on every row."""
-    rows = _active(readings)
-    slow = F.col("speed") < limits.slow_speed_kmh
-    marked = chunked.carry(rows.withColumn("_slow", slow), ["bus_id"], "t",
-                           {"_was_slow": Carry("last", F.col("_slow"))}, width)
-    begun = marked.withColumn("_begin", F.when(F.col("_slow") & ~F.coalesce("_was_slow", F.lit(False)), F.col("t")))
-    since = chunked.carry(begun, ["bus_id"], "t", {"_since": Carry("last", F.col("_begin"))}, width, inclusive=True)
-    return alert(since.filter(F.col("_slow") & (F.col("t") - F.col("_since") > limits.stationary_ms)), "STATIONARY",
-                 F.lit("Bus stationary for over 5 minutes"))
+def stationary_by_speed(readings: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: int = chunked.HOUR_MS) -> DataFrame:
+    """Fallback rule: slow for longer than the window since the slow spell began; alerts on every row.
+
+    A slow reading that follows a slow one holds the spell; the spell is long enough when it held on all readings of the window.
+    """
+    rows = _active(readings).select("bus_id", "t", "speed", "trip_id", "route_id", "lat", "lon")
+    slow = F.coalesce(F.col("speed") < limits.slow_speed_kmh, F.lit(False))
+    marked = chunked.carry(rows.withColumn("_slow", slow), ["bus_id"], "t", {"_was_slow": Carry("last", F.col("_slow"))}, width)
+    holds = marked.withColumn("_holds", F.col("_slow") & F.coalesce("_was_slow", F.lit(False)))
+    back = Window.partitionBy("bus_id", CHUNK).orderBy("t").rangeBetween(-limits.stationary_ms, 0)
+    held = chunked.range_halo(holds, "t", limits.stationary_ms, width).withColumn("_long", F.min("_holds").over(back))
+    return alert(held.filter(F.col("_long") & ~F.col("_halo")), "STATIONARY", F.lit("Bus stationary for over 5 minutes"))
 
 
 def communication_loss(readings: DataFrame, as_of_ms: int, limits: C.Thresholds = C.DEFAULTS,
-                       width: int | None = chunked.HOUR_MS) -> DataFrame:
+                       width: int = chunked.HOUR_MS) -> DataFrame:
     """One alert per silence: the next reading, or the as-of time, is too far away."""
     rows = _active(readings).select("bus_id", "t", "trip_id", "route_id", "lat", "lon")
     followed = chunked.next_value(rows, ["bus_id"], "t", "t", "_next", width)
@@ -261,7 +261,7 @@ def dlq_fields(df: DataFrame) -> DataFrame:
                 pick("lat", "double").alias("lat"), pick("lon", "double").alias("lon")).drop("_v")
 
 
-def trip_not_started(dlq: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: int | None = chunked.HOUR_MS) -> DataFrame:
+def trip_not_started(dlq: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: int = chunked.HOUR_MS) -> DataFrame:
     """Bursts of inactive-trip rejections per bus, with a cooldown after each alert.
 
     Needs (bus_id, t, arrival, error_type, error_reason, trip_id, route_id, lat, lon). A device may
@@ -275,15 +275,12 @@ def trip_not_started(dlq: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: i
     back = Window.partitionBy("bus_id", CHUNK).orderBy("t").rangeBetween(-limits.dlq_window_ms, 0)
     counted = (halo.withColumn("_seen", F.sum("_here").over(back)).filter(~F.col("_halo"))
                .filter(F.col("_seen") >= limits.dlq_count).drop("_halo", CHUNK))
-    counted = cut_lineage(counted)  # alerting instants only
-    fired = chunked.spaced(counted, ["bus_id"], "t", limits.dlq_cooldown_ms, False, width)
-    hits = counted.join(fired, ["bus_id", "t"], "left_semi").withColumn(
-        "dlq_count", F.greatest(F.lit(limits.dlq_count), F.col("_seen") - F.col("_here") + 1))
+    # alerting instants only
+    hits = chunked.paced(counted, ["bus_id"], "t", limits.dlq_cooldown_ms, False, width).filter("chosen").withColumn(
+        "dlq_count", F.greatest(F.lit(limits.dlq_count), F.col("_seen") - F.col("_here") + 1)).drop("chosen", "last", "nth")
     nth = F.row_number().over(Window.partitionBy("bus_id", "t").orderBy("arrival"))
-    early = (rows.join(hits.select("bus_id", "t"), ["bus_id", "t"], "left_semi")
-             .withColumn("_nth", nth).filter(F.col("_nth") <= limits.dlq_count))
-    reading = early.join(hits, ["bus_id", "t"]).filter(
-        F.col("_nth") == F.col("dlq_count") - (F.col("_seen") - F.col("_here")))
+    reading = (rows.join(hits, ["bus_id", "t"]).withColumn("_nth", nth).filter(F.col("_nth") <= limits.dlq_count)
+               .filter(F.col("_nth") == F.col("dlq_count") - (F.col("_seen") - F.col("_here"))))
     return alert(reading, "TRIP_NOT_STARTED_DEVICE_ACTIVE", F.lit("Device is sending GPS but no active trip exists"),
                  F.to_json(F.struct(F.lit("INACTIVE_TRIP").alias("sourceReason"), F.col("dlq_count").alias("dlqCount"),
                                     F.lit(limits.dlq_window_ms // 1000).alias("windowSeconds"))), REFUSED_SOURCE)
@@ -305,7 +302,7 @@ def row_alerts(readings: DataFrame, limits: C.Thresholds = C.DEFAULTS) -> DataFr
 
 
 def detect_all(readings: DataFrame, as_of_ms: int, limits: C.Thresholds = C.DEFAULTS,
-               forest_anomaly: Column | None = None, width: int | None = chunked.HOUR_MS, version: str = RULES_VERSION) -> DataFrame:
+               forest_anomaly: Column | None = None, width: int = chunked.HOUR_MS, version: str = RULES_VERSION) -> DataFrame:
     """All detectors that read the cleaned stream, as one alert table; ``version`` names the models behind it."""
     parts = [row_alerts(readings, limits), off_route_streaks(readings, limits, width), stationary(readings, limits, width),
              communication_loss(readings, as_of_ms, limits, width),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from busline import contracts as C
 from busline.functions import geo
 from busline.operators import chunked, spatial
-from busline.operators.chunked import Carry
 
 # the planar zone metric: metres per degree of latitude, and the shrinking of longitude
 METRES_PER_DEGREE, LON_SHARE = 111_000, 0.7
@@ -38,32 +40,65 @@ def resolve_stop(points: DataFrame, zones: DataFrame, point_key: list[str]) -> D
     return points.join(first, point_key, "left")
 
 
-def dwell(visits: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: int | None = chunked.HOUR_MS) -> DataFrame:
+def dwell(visits: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: int = chunked.HOUR_MS) -> DataFrame:
     """Seconds at the current stop and at the previous one, per (bus_id, trip_id) in time order.
 
     A new stay begins when the stop changes. State older than the TTL is forgotten: after such a
-    gap the stay begins anew and nothing is known of the previous stop.
+    gap the stay begins anew and nothing is known of the previous stop. A chunk without a new stay passes its state
+    on; any other leaves its last stay, whatever came before.
     """
-    key = ["bus_id", "trip_id"]
-    last = chunked.carry(visits, key, "t", {
-        "_prev": Carry("last", F.struct("t", "stop_id"))}, width)
-    forgotten = F.col("_prev").isNull() | (F.col("t") - F.col("_prev.t") > limits.dwell_ttl_ms)
-    moved = ~forgotten & (F.col("stop_id") != F.col("_prev.stop_id"))
-    begun = last.withColumns({"_moved": moved, "_fresh": forgotten,
-                              "_begin": F.when(forgotten | moved, F.col("t"))})
-    stays = chunked.carry(begun, key, "t", {
-        "entry_t": Carry("last", F.col("_begin")),
-        "_entry_before": Carry("last", F.col("_begin"))}, width, inclusive=True)
-    # at a change, the stay that ends is the one the previous row belonged to
-    earlier = chunked.carry(stays.drop("_entry_before"), key, "t", {"_ended_entry": Carry("last", F.col("entry_t"))}, width)
-    ended = earlier.withColumn(
-        "_closed", F.when(F.col("_moved"), F.struct(F.floor((F.col("_prev.t") - F.col("_ended_entry")) / 1000)
-                                                    .cast("long").alias("s")))
-        .when(F.col("_fresh"), F.struct(F.lit(None).cast("long").alias("s"))))
-    out = chunked.carry(ended, key, "t", {"_before": Carry("last", F.col("_closed"))}, width, inclusive=True)
-    return out.withColumns({
-        "dwell_current_s": F.floor((F.col("t") - F.col("entry_t")) / 1000).cast("long"),
-        "dwell_prev_s": F.col("_before.s")}).select(*visits.columns, "dwell_current_s", "dwell_prev_s")
+    ttl = limits.dwell_ttl_ms
+
+    def read(table: pa.Table) -> tuple[np.ndarray, pd.Series, np.ndarray, np.ndarray]:
+        """(times, stops, where a stay begins, where the state is forgotten) of the rows after the first one."""
+        t, stop = table.column("t").to_numpy().astype(np.int64), table.column("stop_id").to_pandas()
+        fresh = np.append(False, np.diff(t) > ttl)
+        known = stop.notna().to_numpy()
+        moved = np.append(False, (stop.to_numpy()[1:] != stop.to_numpy()[:-1]) & known[1:] & known[:-1]) & ~fresh
+        return t, stop, fresh | moved, fresh
+
+    def opened(state: tuple | None, stop, t: int) -> tuple[int, int | None]:
+        """(entry time, seconds at the previous stop) at a chunk's first row."""
+        if state is None or t - state[2] > ttl:
+            return t, None
+        stop_before, entry, last, previous = state
+        if stop is not None and stop_before is not None and stop != stop_before:
+            return t, (last - entry) // 1000
+        return entry, previous
+
+    def text(value):
+        return None if value is None or value != value else value
+
+    def summarise(table: pa.Table) -> tuple:
+        t, stop, begins, fresh = read(table)
+        at = np.flatnonzero(begins)
+        ends = text(stop.iloc[0]), int(t[0]), text(stop.iloc[-1]), int(t[-1])
+        if not len(at):
+            return (*ends, None, None, None, None)
+        before = int(t[at[-2]]) if len(at) > 1 else None
+        return (*ends, int(t[at[-1]]), bool(fresh[at[-1]]), int(t[at[-1] - 1]), before)
+
+    def step(state: tuple | None, chunk: tuple) -> tuple:
+        stop, t, last_stop, last, begun, fresh, closed, before = chunk
+        entry, previous = opened(state, stop, t)
+        if begun is None:
+            return last_stop, entry, last, previous
+        return last_stop, begun, last, None if fresh else (closed - (entry if before is None else before)) // 1000
+
+    def apply(table: pa.Table, state: tuple | None, _: int) -> list:
+        t, stop, begins, fresh = read(table)
+        entry, previous = opened(state, text(stop.iloc[0]), int(t[0]))
+        at = np.flatnonzero(begins)
+        entries = np.append(entry, t[at])
+        closed = [previous, *[None if fresh[n] else int(t[n - 1] - e) // 1000 for n, e in zip(at.tolist(), entries[:-1].tolist(), strict=True)]]
+        stay = np.cumsum(begins)
+        return [(t - entries[stay]) // 1000, pa.array(closed, pa.int64()).take(pa.array(stay))]
+
+    kind = visits.schema["stop_id"].dataType.simpleString()
+    return chunked.scan(
+        visits, ["bus_id", "trip_id"], "t", width, summarise=summarise, step=step, apply=apply,
+        summary=f"stop {kind}, t0 long, last_stop {kind}, t1 long, begun long, fresh boolean, closed long, before long",
+        state=f"stop {kind}, entry long, last long, previous long", added="dwell_current_s long, dwell_prev_s long")
 
 
 def dwell_quality(stays: DataFrame) -> DataFrame:

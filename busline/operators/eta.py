@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from busline import contracts as C
 from busline.functions import scalars
 from busline.operators import chunked
-from busline.operators.chunked import CHUNK, Carry
+from busline.operators.chunked import CHUNK
 from busline.operators.trees import Flat
 
 MODELS = ("physics", "sarima", "xgboost", "default")
@@ -36,33 +36,24 @@ def speed_ms(speed: Column, unit: str = "as-is") -> Column:
 
 
 def smooth_speed(features: DataFrame, trip_ends: DataFrame | None = None, limits: C.Thresholds = C.DEFAULTS,
-                 width: int | None = chunked.HOUR_MS) -> DataFrame:
+                 width: int = chunked.HOUR_MS) -> DataFrame:
     """Mean speed per trip over the last rows that are also recent; a trip end starts afresh.
 
-    Needs (trip_id, t, speed_ms) with ``t`` unique per trip. The last ten rows come from a row
-    halo; those too old or from before the last trip end are filtered out of that short list.
+    Needs (trip_id, t, speed_ms) with ``t`` unique per trip. Only rows and ends inside the recency window count, so each chunk
+    sees copies of those before it, and one window over short lists gives the mean. An end counts before a reading of the same instant.
     """
-    rows = features
-    if trip_ends is None:
-        rows = rows.withColumn("_end", F.lit(None).cast("long"))
-    else:
-        # ends share the time line with readings; an end sorts before a reading of the same instant
-        line = (features.select(*features.columns, (F.col("t") * 2 + 1).alias("_pos"))
-                .unionByName(trip_ends.select("trip_id", F.col("t").alias("_end_t"), (F.col("t") * 2).alias("_pos"))
-                             .distinct(), allowMissingColumns=True))
-        line = chunked.carry(line, ["trip_id"], "_pos", {"_end": Carry("last", F.col("_end_t"))},
-                             None if width is None else width * 2)
-        rows = line.filter(F.col("_end_t").isNull()).drop("_pos", "_end_t")
-    back = limits.smoothing_rows - 1
-    halo = chunked.row_halo(rows.select("trip_id", "t", "speed_ms", "_end"), ["trip_id"], "t", back, width)
-    part = Window.partitionBy("trip_id", CHUNK).orderBy("t").rowsBetween(-back, 0)
-    recent = F.filter(F.collect_list(F.struct("t", "speed_ms")).over(part), lambda p: (
-        (p["t"] >= F.col("t") - limits.smoothing_ms) & (F.col("_end").isNull() | (p["t"] >= F.col("_end")))))
+    line = features.withColumn("_end", F.lit(None).cast("long"))
+    if trip_ends is not None:
+        line = line.unionByName(trip_ends.select("trip_id", "t", F.col("t").alias("_end")).distinct(), allowMissingColumns=True)
+    halo = chunked.range_halo(line, "t", limits.smoothing_ms, width)
+    by_time = Window.partitionBy("trip_id", CHUNK).orderBy("t", F.col("_end").isNull())
+    ended = halo.withColumn("_since", F.max("_end").over(by_time.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_end").isNull())
+    last = by_time.rowsBetween(-(limits.smoothing_rows - 1), 0)
+    recent = F.filter(F.collect_list(F.struct("t", "speed_ms")).over(last), lambda p: (
+        (p["t"] >= F.col("t") - limits.smoothing_ms) & (F.col("_since").isNull() | (p["t"] >= F.col("_since")))))
     total = F.aggregate("_recent", F.lit(0.0), lambda acc, p: acc + p["speed_ms"])
-    smoothed = (halo.withColumn("_recent", recent).filter(~F.col("_halo"))
-                .select("trip_id", "t", (total / F.size("_recent")).alias("smoothed_ms"),
-                        F.size("_recent").alias("smoothing_rows")))
-    return features.join(smoothed, ["trip_id", "t"])
+    return (ended.withColumn("_recent", recent).filter(~F.col("_halo"))
+            .select(*features.columns, (total / F.size("_recent")).alias("smoothed_ms"), F.size("_recent").alias("smoothing_rows")))
 
 
 def tree_outcome(distance: Column, speed: Column, predicted: Column, limits: C.Thresholds = C.DEFAULTS) -> Column:

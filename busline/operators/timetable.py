@@ -62,7 +62,7 @@ def assign_routes(buses: DataFrame, assignments: DataFrame, routes: DataFrame) -
         "route_id", F.when(F.col("_set"), F.col("_route")).otherwise(F.col("route_id"))).drop("_route", "_set")
 
 
-def replay_requests(trips: DataFrame, requests: DataFrame, width: int | None = chunked.BROKER_CHUNK) -> DataFrame:
+def replay_requests(trips: DataFrame, requests: DataFrame, width: int = chunked.BROKER_CHUNK) -> DataFrame:
     """Every request with its verdict: ``reason`` is NULL when it took effect.
 
     Trips: (trip_id, status, bus_id, driver_id). Requests: (trip_id, arrival, kind, t, ...), kind

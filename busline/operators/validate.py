@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from busline import contracts as C
 from busline.functions import geo, scalars
 from busline.operators import chunked
-from busline.operators.chunked import Carry
-from busline.session import cut_lineage
 
 
 def _text(name: str) -> Column:
@@ -192,36 +190,24 @@ def drop_blank(df: DataFrame, value: str = "value") -> DataFrame:
     return df.filter(F.trim(F.col(value)) != "")
 
 
-def stateful_ingest(df: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: int | None = chunked.BROKER_CHUNK,
-                    time_width: int | None = chunked.HOUR_MS) -> DataFrame:
+def stateful_ingest(df: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: int = chunked.BROKER_CHUNK) -> DataFrame:
     """Verdict of the per-bus ingest rules in arrival order: ``verdict`` is NULL when accepted.
 
     Needs (bus_id, arrival, t, trip_id, lat, lon). Only accepted rows move the bus forward, and an
     accepted time is at least the minimum gap after the previous accepted one. So acceptance is a
-    greedy spacing over the running maxima of ``t``; everything else follows from the last
-    accepted time and from an equi join against the accepted row with the same identity.
+    greedy selection in arrival order; everything else follows from the last accepted time and from an
+    equi join against the accepted row with the same identity. Rows are shuffled by bus and chunk, and once for that join.
     """
-    df = cut_lineage(df)  # read by the selection, the running state and the identity join
-    with_max = chunked.carry(df, ["bus_id"], "arrival", {"_max": Carry("max", F.col("t"))}, width)
-    records = with_max.filter(F.col("_max").isNull() | (F.col("t") > F.col("_max")))
-    chosen = chunked.spaced(records, ["bus_id"], "t", limits.min_event_gap_ms, False, time_width)
-    accepted_at = (records.join(chosen, ["bus_id", "t"], "left_semi")
-                   .select("bus_id", "arrival", F.lit(1).alias("_accepted")))
-    marked = df.join(accepted_at, ["bus_id", "arrival"], "left")
-    state = chunked.carry(marked, ["bus_id"], "arrival", {
-        "last_t": Carry("last", F.when(F.col("_accepted") == 1, F.col("t"))),
-        "_ordinal": Carry("sum", F.when(F.col("_accepted") == 1, F.lit(1)).otherwise(0))}, width)
+    placed = chunked.paced(df, ["bus_id"], "arrival", limits.min_event_gap_ms, width=width, value="t", ordinal=True)
     identity = ["bus_id", "t", "trip_id", "lat", "lon"]
-    originals = (state.filter("_accepted = 1")
-                 .select(*identity, F.col("_ordinal").alias("_first_ordinal"), F.col("arrival").alias("_first_arrival")))
-    seen = state.join(originals, identity, "left")
+    originals = placed.filter("chosen").select(
+        *identity, F.col("ordinal").alias("_first_ordinal"), F.col("arrival").alias("_first_arrival"))
+    seen = placed.join(originals, identity, "left")
     recent = ((F.col("_first_arrival") < F.col("arrival"))
-              & (F.col("_ordinal") - F.col("_first_ordinal") <= limits.duplicate_cache))
-    return seen.withColumn(
-        "verdict", F.when(F.col("_accepted") == 1, F.lit(None).cast("string"))
-        .when(recent, "DUPLICATE")
-        .when(F.col("t") < F.col("last_t"), "SEQUENCE_ERROR")
-        .otherwise("RATE_LIMIT_EVENT_TIME")).drop("_accepted", "_ordinal", "_first_ordinal", "_first_arrival")
+              & (F.col("ordinal") - F.col("_first_ordinal") <= limits.duplicate_cache))
+    verdict = (F.when(F.col("chosen"), F.lit(None).cast("string")).when(recent, "DUPLICATE")
+               .when(F.col("t") < F.col("last"), "SEQUENCE_ERROR").otherwise("RATE_LIMIT_EVENT_TIME"))
+    return seen.select(*df.columns, F.col("last").alias("last_t"), verdict.alias("verdict"))
 
 
 def dlq_metadata(df: DataFrame, value: str = "payload", topic: str = "source_topic") -> DataFrame:

@@ -40,7 +40,6 @@ def features(spark, sf):
     rows = rows.select("bus_id", "trip_id", "route_id", "t",
                        eta.speed_ms(F.col("speed")).alias("speed_ms"), "next_stop_id", "next_stop_m", "stops_remaining",
                        "progress_pct", "segment_mode", "stops_ahead")
-    rows = S.materialised(rows)  # read by the smoothing and by the join with its result
     ends = view(spark, sf, "lifecycle").filter("event = 'TRIP_ENDED'").select("trip_id", "t")
     return eta.smooth_speed(rows, ends, width=chunked.HOUR_MS)
 

@@ -214,7 +214,7 @@ LEFT JOIN (SELECT a.*, x.trip_id, x.lat, x.lon FROM accepted a JOIN rows_ x ON x
 @query("stateful_ingest", _ingest_sql)
 def stateful_ingest(spark, sf):
     rows = S.cleaned(spark, sf).withColumn("trip_id", F.coalesce("payload_trip", F.lit("none")))
-    return validate.stateful_ingest(rows, width=chunked.ARRIVAL_CHUNK, time_width=chunked.HOUR_MS).select("arrival", "verdict")
+    return validate.stateful_ingest(rows, width=chunked.ARRIVAL_CHUNK).select("arrival", "verdict")
 
 
 @query("strictly_newer", oracle("SELECT bus_id, arrival, t FROM newer", "telemetry", "lifecycle", extra=S.parts(

@@ -6,10 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from busline.operators import chunked, context, validate
-from busline.operators.chunked import Carry, carry, next_value, range_halo, row_halo, spaced
+from busline.operators.chunked import Carry, carry, next_value, paced, range_halo, row_halo, spaced
 from busline.sources import readers
 
 
+#: A width that puts all rows of a key in one chunk.
+WHOLE = 1 << 60
+
+
 def table(spark, seed=1, n=400, keys=3, spread=2000):
     rng = random.Random(seed)
     rows = []
@@ -71,24 +75,57 @@ def greedy(times, gap, strict):
 
 
 def test_spaced_equals_greedy_scan(spark):
-    for seed, gap, strict, width, span in [(5, 7, False, 40, 4), (6, 7, True, 25, 3), (7, 30, False, 35, 2)]:
+    for seed, gap, strict, width in [(5, 7, False, 40), (6, 7, True, 25), (7, 30, False, 35), (7, 30, False, WHOLE)]:
         df = table(spark, seed)
         data = {}
         for r in df.collect():
             data.setdefault(r.k, []).append(r.t)
         want = sorted((k, t) for k, ts in data.items() for t in greedy(ts, gap, strict))
-        assert rows_of(spaced(df, ["k"], "t", gap, strict, width, span)) == want
-
-
-def test_plain_and_chunked_forms_agree(spark):
-    df = table(spark, 8)
-    spec = {"l": Carry("last", F.col("v")), "s": Carry("sum", F.col("v"))}
-    cols = ["k", "t", "l", "s"]
-    assert rows_of(carry(df, ["k"], "t", spec, None, True).select(*cols)) == rows_of(
-        carry(df, ["k"], "t", spec, 41, True).select(*cols))
-    assert rows_of(next_value(df, ["k"], "t", "t", "nx", None).select("k", "t", "nx")) == rows_of(
-        next_value(df, ["k"], "t", "t", "nx", 41).select("k", "t", "nx"))
-    assert rows_of(spaced(df, ["k"], "t", 9, False, None)) == rows_of(spaced(df, ["k"], "t", 9, False, 30, 3))
+        assert rows_of(spaced(df, ["k"], "t", gap, strict, width)) == want
+
+
+def paced_rows(rows, gap, strict):
+    """(key, order, chosen, last, nth, ordinal) of ``paced`` by a plain loop."""
+    out, state = [], {}
+    for k, at, v, reset in sorted(rows, key=lambda r: (r[0], r[1])):
+        last, nth, ordinal = state.get(k, (None, None, 0))
+        if reset:
+            out.append((k, at, False, None, None, ordinal))
+            state[k] = (None, None, ordinal)
+            continue
+        chosen = last is None or (v - last > gap if strict else v - last >= gap)
+        out.append((k, at, chosen, last, 1 if chosen else nth + 1, ordinal))
+        state[k] = (v, 1, ordinal + 1) if chosen else (last, nth + 1, ordinal)
+    return sorted(out, key=str)
+
+
+def test_paced_equals_a_plain_loop(spark):
+    """Values that run ahead of and behind their order, resets, and chunks that select nothing."""
+    for seed, gap, strict, width in [(1, 7, False, 9), (2, 7, True, 30), (3, 1, False, 4), (4, 60, True, 25), (5, 40, False, 10), (6, 7, False, WHOLE)]:
+        rng = random.Random(seed)
+        rows = []
+        for k, n in (("hot", 300), ("b", 12), ("c", 1), (None, 30)):
+            for at in rng.sample(range(600), n):
+                rows.append((k, at, at + rng.choice([0, 0, 0, -20, 35, 3]), rng.random() < 0.1))
+        df = spark.createDataFrame(rows, "k string, at long, v long, off boolean")
+        got = paced(df, ["k"], "at", gap, strict, width, value="v", reset="off", ordinal=True).select("k", "at", "chosen", "last", "nth", "ordinal")
+        named = [(k or "", *r) for k, *r in rows]
+        want = [(k or None, *r) for k, *r in paced_rows(named, gap, strict)]
+        assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+        plain = paced(df, ["k"], "at", gap, strict, width).select("k", "at", "chosen", "last", "nth")
+        want = [(k or None, *r[:-1]) for k, *r in paced_rows([(k, at, at, False) for k, at, *_ in named], gap, strict)]
+        assert sorted((tuple(r) for r in plain.collect()), key=str) == sorted(want, key=str)
+    assert paced(df.limit(0), ["k"], "at", 5).count() == 0
+
+
+def test_scan_shuffles_its_rows_once(spark):
+    df = table(spark, 9).withColumn("wide", F.lit("x"))
+    out = paced(df, ["k"], "t", 7, width=40, ordinal=True)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # the pass over the summaries is the one exchange by key alone
+    full = [line for line in plan.splitlines() if " Exchange hashpartitioning(k#" in line and "_chunk#" in line and "ENSURE" in line]
+    assert plan.count("ReusedExchange") + plan.count("Reused") >= 1 and full
 
 
 def test_broker_arrivals_of_a_hot_key_share_chunks(spark, monkeypatch):
@@ -107,7 +144,7 @@ def test_broker_arrivals_of_a_hot_key_share_chunks(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(chunked, "with_chunk", counted)
-    assert rows_of(context.strictly_newer(rows)) == rows_of(context.strictly_newer(rows, None))
+    assert rows_of(context.strictly_newer(rows)) == rows_of(context.strictly_newer(rows, WHOLE))
     verdicts = validate.stateful_ingest(rows).select("arrival", "verdict")
-    assert rows_of(verdicts) == rows_of(validate.stateful_ingest(rows, width=None).select("arrival", "verdict"))
+    assert rows_of(verdicts) == rows_of(validate.stateful_ingest(rows, width=WHOLE).select("arrival", "verdict"))
     assert seen and max(seen) <= 4

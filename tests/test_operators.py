@@ -132,7 +132,7 @@ def test_stop_zones(spark):
 def test_dwell_literal(spark):
     visits = spark.createDataFrame([("b", "t", s * 1000, p) for s, p in [(0, "A"), (60, "A"), (90, "B"), (100, "B")]],
                                    "bus_id string, trip_id string, t long, stop_id string")
-    got = [(r.dwell_current_s, r.dwell_prev_s) for r in dwell.dwell(visits, width=None).orderBy("t").collect()]
+    got = [(r.dwell_current_s, r.dwell_prev_s) for r in dwell.dwell(visits, width=1 << 60).orderBy("t").collect()]
     assert got == [(0, None), (60, None), (0, 60), (10, 60)]
 
 
@@ -144,9 +144,9 @@ def cleaned(spark, rows):
 
 def test_streaks(spark):
     rows = cleaned(spark, [(t, True) for t in (0, 1, 2, 3, 9, 10, 11)])
-    assert [r.t for r in detect.off_route_streaks(rows, width=None).orderBy("t").collect()] == [2000, 11000]
+    assert [r.t for r in detect.off_route_streaks(rows, width=1 << 60).orderBy("t").collect()] == [2000, 11000]
     reset = cleaned(spark, [(0, True), (1, True), (2, False), (3, True), (4, True)])
-    assert detect.off_route_streaks(reset, width=None).count() == 0
+    assert detect.off_route_streaks(reset, width=1 << 60).count() == 0
 
 
 def test_summary_vector(spark):
@@ -162,14 +162,14 @@ def test_dlq_window(spark):
     df = spark.createDataFrame([("b", t * 1000, t, "INACTIVE_TRIP", None, "T", "R", 6.9, 80.0) for t in (0, 20, 40, 50, 350)],
                                "bus_id string, t long, arrival long, error_type string, error_reason string, trip_id string, "
                                "route_id string, lat double, lon double")
-    assert [r.t for r in detect.trip_not_started(df, width=None).collect()] == [40000]
+    assert [r.t for r in detect.trip_not_started(df, width=1 << 60).collect()] == [40000]
 
 
 def test_ingest_fold(spark):
     rows = [(0, 0), (1, 500), (2, 1000), (3, 1000), (4, 200)]
     df = spark.createDataFrame([("b", a, t, "T", 6.9, 80.0) for a, t in rows],
                                "bus_id string, arrival long, t long, trip_id string, lat double, lon double")
-    got = [r.verdict for r in validate.stateful_ingest(df, width=None, time_width=None).orderBy("arrival").collect()]
+    got = [r.verdict for r in validate.stateful_ingest(df, width=1 << 60).orderBy("arrival").collect()]
     assert got == [None, "RATE_LIMIT_EVENT_TIME", None, "DUPLICATE", "SEQUENCE_ERROR"]
 
 
@@ -186,7 +186,7 @@ def test_trust_literal(spark):
         rows += [(100 * i + j, i, 1, float(s), f"o{j}", 1000) for j, s in enumerate(others)]
         rows.append((100 * i + 50, i, 1, 50.0, who, 2000))
     df = spark.createDataFrame(rows, "arrival long, route_id int, stop_id int, score double, passenger_id string, t long")
-    got = {r.passenger_id: r for r in crowd.trust_profiles(crowd.consensus(df, width=None)).collect()}
+    got = {r.passenger_id: r for r in crowd.trust_profiles(crowd.consensus(df, width=1 << 60)).collect()}
     assert got["agree"].trust_score == 0.82 and got["differ"].trust_score == 0.75
     assert got["few"].trust_score == 0.8 and got["few"].verified_reports == 1 and got["differ"].verified_reports == 0
 

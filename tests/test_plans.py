@@ -44,7 +44,7 @@ def test_work_runs_where_the_package_is_not_installed(tmp_path):
               "from busline.operators.chunked import spaced\n"
               "s = build_session('ship', 'local[2]', spark__ui__enabled='false')\n"
               "df = s.range(0, 2000).selectExpr('\"k\" AS k', 'id * 3 AS t')\n"
-              "print('rows', spaced(df, ['k'], 't', 10, False, 500, 2).count(), spaced(df, ['k'], 't', 10, False, None).count())\n")
+              "print('rows', spaced(df, ['k'], 't', 10, False, 500).count(), spaced(df, ['k'], 't', 10, False, 1 << 60).count())\n")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     assert "rows 500 500" in done.stdout, done.stderr[-2000:]

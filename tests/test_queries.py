@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
 
 # order-dependent queries: with these widths their keys are cut into many chunks
-SMALL = {"ARRIVAL_CHUNK": 500, "HOUR_MS": 310_000}
+SMALL = {"ARRIVAL_CHUNK": 500, "HOUR_MS": 610_000}
 HISTORY = ["stateful_ingest", "trip_context", "alert_persistent_off_route", "behaviour_windows", "alert_stationary",
            "alert_stationary_by_speed", "alert_communication_loss", "alert_trip_not_started", "dwell", "smoothed_speed",
            "trip_requests", "report_consensus"]

@@ -18,6 +18,8 @@ from busline.streaming import jobs
 from busline.streaming import processors as P
 
 T0 = 1_777_716_000_000
+#: A width that puts all rows of a key in one chunk.
+WHOLE = 1 << 60
 
 
 @pytest.fixture()
@@ -77,7 +79,7 @@ def lifecycle(spark):
 
 def test_trip_context(spark, folder, readings, lifecycle):
     boot = spark.createDataFrame([("b", "T-boot", "R9")], "bus_id string, boot_trip string, boot_route string")
-    batch = context.attach_trips(readings, lifecycle, boot, width=None)
+    batch = context.attach_trips(readings, lifecycle, boot, width=WHOLE)
     chunked = context.attach_trips(readings, lifecycle, boot, width=70)
     both = readings.withColumns({"event": F.lit(None).cast("string"), "trip_id": F.lit(None).cast("string"),
                                  "route_id": F.lit(None).cast("string")}).unionByName(lifecycle, allowMissingColumns=True)
@@ -96,8 +98,8 @@ def test_trip_context(spark, folder, readings, lifecycle):
 def test_ingest_rules(spark, folder, readings):
     again = readings.filter("arrival % 3 = 0").withColumn("arrival", F.col("arrival") + 5)
     rows = readings.unionByName(again).withColumn("trip_id", F.coalesce("payload_trip", F.lit("none")))
-    batch = validate.stateful_ingest(rows, width=None, time_width=None).select("bus_id", "arrival", "verdict")
-    chunked = validate.stateful_ingest(rows, width=70, time_width=20_000).select("bus_id", "arrival", "verdict")
+    batch = validate.stateful_ingest(rows, width=WHOLE).select("bus_id", "arrival", "verdict")
+    chunked = validate.stateful_ingest(rows, width=70).select("bus_id", "arrival", "verdict")
     live = jobs.ingest_verdicts(as_stream(spark, rows, folder, "ingest", "arrival"))
     got = rows_of(run(spark, live, folder, "ingest"))
     assert got == rows_of(batch) == rows_of(chunked)
@@ -105,7 +107,7 @@ def test_ingest_rules(spark, folder, readings):
 
 
 def distinct_times(readings):
-    kept = context.strictly_newer(readings, None)
+    kept = context.strictly_newer(readings, WHOLE)
     return kept.withColumns({"route_id": F.lit("R1"), "trip_id": F.concat(F.lit("T"), "bus_id"), "off_route_m": F.lit(60.0)})
 
 
@@ -113,7 +115,7 @@ def test_off_route_streak(spark, folder, readings):
     rows = distinct_times(readings)
     live = jobs.keyed(as_stream(spark, rows, folder, "streak", "t"), ["bus_id"], P.OffRouteStreak())
     got = rows_of(run(spark, live, folder, "streak").select("bus_id", "t"))
-    assert got == rows_of(detect.off_route_streaks(rows, width=None).select("bus_id", "t"))
+    assert got == rows_of(detect.off_route_streaks(rows, width=WHOLE).select("bus_id", "t"))
     assert got == rows_of(detect.off_route_streaks(rows, width=7_000).select("bus_id", "t"))
     assert got
 
@@ -123,7 +125,7 @@ def test_behaviour_window(spark, folder, readings):
     live = jobs.keyed(as_stream(spark, rows, folder, "beh", "t"), ["bus_id"], P.BehaviourWindow())
     rounded = [F.round(c, 6).alias(c) for c in C.BEHAVIOURAL_FEATURES]
     got = rows_of(run(spark, live, folder, "beh").select("bus_id", "t", *rounded))
-    assert got == rows_of(detect.behaviour_windows(rows, width=None).select("bus_id", "t", *rounded))
+    assert got == rows_of(detect.behaviour_windows(rows, width=WHOLE).select("bus_id", "t", *rounded))
     assert got == rows_of(detect.behaviour_windows(rows, width=30_000).select("bus_id", "t", *rounded))
     assert got
 
@@ -137,8 +139,8 @@ def test_smoothing(spark, folder, readings, lifecycle):
     live = jobs.smoothed(stream.filter("not end"), stream.filter("end"))
     cols = ["trip_id", "t", F.round("smoothed_ms", 6), "smoothing_rows"]
     got = rows_of(run(spark, live, folder, "smooth").select(*cols))
-    assert got == rows_of(eta.smooth_speed(rows, ends, width=None).select(*cols))
-    assert got == rows_of(eta.smooth_speed(rows, ends, width=40_000).select(*cols))
+    assert got == rows_of(eta.smooth_speed(rows, ends, width=WHOLE).select(*cols))
+    assert got == rows_of(eta.smooth_speed(rows, ends, width=130_000).select(*cols))
 
 
 def test_dwell(spark, folder, readings):
@@ -147,7 +149,7 @@ def test_dwell(spark, folder, readings):
     live = jobs.keyed(as_stream(spark, visits, folder, "dwell", "t"), ["bus_id", "trip_id"], P.DwellState(limits))
     cols = ["bus_id", "trip_id", "t", "stop_id", "dwell_current_s", "dwell_prev_s"]
     got = rows_of(run(spark, live, folder, "dwell").select(*cols))
-    assert got == rows_of(dwell.dwell(visits, limits, width=None).select(*cols))
+    assert got == rows_of(dwell.dwell(visits, limits, width=WHOLE).select(*cols))
     assert got == rows_of(dwell.dwell(visits, limits, width=50_000).select(*cols))
 
 
@@ -156,7 +158,7 @@ def test_inactive_trip_burst(spark, folder, readings):
         "error_type": F.lit("INACTIVE_TRIP"), "error_reason": F.lit(None).cast("string"), "trip_id": F.lit("x"), "route_id": F.lit("r")})
     live = jobs.keyed(as_stream(spark, rows, folder, "burst", "arrival"), ["bus_id"], P.InactiveTripBurst())
     got = rows_of(run(spark, live, folder, "burst"))
-    for width in (None, 70_000):
+    for width in (WHOLE, 70_000):
         out = detect.trip_not_started(rows, width=width).select(
             "bus_id", "t", F.get_json_object("detail", "$.dlqCount").cast("long").alias("n"))
         assert rows_of(out) == got
@@ -172,8 +174,8 @@ def test_stationary(spark, folder):
     df = spark.createDataFrame(rows, "bus_id string, t long, lat double, lon double, trip_id string, route_id string")
     live = jobs.keyed(as_stream(spark, df, folder, "stat", "t"), ["bus_id"], P.StationaryWindow())
     got = rows_of(run(spark, live, folder, "stat"))
-    assert got == rows_of(detect.stationary(df, width=None).select("bus_id", "t"))
-    assert got == rows_of(detect.stationary(df, width=310_000).select("bus_id", "t"))
+    assert got == rows_of(detect.stationary(df, width=WHOLE).select("bus_id", "t"))
+    assert got == rows_of(detect.stationary(df, width=610_000).select("bus_id", "t"))
     assert got
 
 
@@ -183,7 +185,7 @@ def test_silence(spark, folder, readings):
     got = {r[:2] for r in rows_of(run(spark, jobs.silence(stream), folder, "sil"))}
     full = distinct_times(readings)
     end = full.agg(F.max("t")).first()[0]
-    want = {r for r in rows_of(detect.communication_loss(full, end, width=None).select("bus_id", "t"))}
+    want = {r for r in rows_of(detect.communication_loss(full, end, width=WHOLE).select("bus_id", "t"))}
     # the as-of rule also sees the silence that is still open when the input ends
     closed = {r for r in rows_of(detect.communication_loss(full, 0, width=50_000).select("bus_id", "t"))}
     assert closed <= got <= want | closed
@@ -238,7 +240,7 @@ def test_detector_job_equals_all_detectors(spark, folder, readings):
         detect.erratic_driving(judged, F.col("odd")).unionByName(detect.trip_not_started(refused)).withColumn("model_version", F.lit("forest-v3")))
     # a silence that is open when the input ends is raised by its timer once the watermark has passed it
     last = table.filter("route_id IS NOT NULL").agg(F.max("t")).first()[0]
-    open_ = detect.communication_loss(table, last, width=None).withColumn("model_version", F.lit("forest-v3"))
+    open_ = detect.communication_loss(table, last, width=WHOLE).withColumn("model_version", F.lit("forest-v3"))
     want, open_ = alert_set(batch), alert_set(open_)
     told = got.select("bus_id", "anomaly_type", "severity", "message", "trip_id", "route_id", F.struct("lat", "lon").alias("location"), "t", "model_version", "source", "payload")
     shape = {"busId", "anomalyType", "severity", "message", "tripId", "routeId", "location", "timestamp", "modelVersion", "source"}
@@ -326,7 +328,7 @@ def test_crowd_trust(spark, folder):
     df = spark.createDataFrame(rows, "arrival long, route_id int, stop_id int, score double, passenger_id string, t long")
     judged = jobs.keyed(as_stream(spark, df, folder, "con", "t"), ["route_id", "stop_id"], P.StopConsensus())
     table = run(spark, judged, folder, "con")
-    for width in (None, 1_500_000):
+    for width in (WHOLE, 1_500_000):
         batch = crowd.consensus(df, width=width).select("passenger_id", "arrival", "score", "others", F.round("consensus", 9))
         assert rows_of(table.withColumn("consensus", F.round("consensus", 9))) == rows_of(batch)
     trust = jobs.keyed(as_stream(spark, table, folder, "trust", "arrival"), ["passenger_id"], P.TrustState())
