@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from busline.llm.common import slices, stored, text_key
+from busline.llm.common import beside, slices, stored, text_key
 from busline.llm.postings import _word_bytes
 
 WIDTH, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
@@ -258,6 +258,10 @@ def link(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, re
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The documents without near-duplicates: of each class the row with the smallest (doc_id, text) stays, once."""
+    return beside(lambda rows: _firsts(rows, **options), docs, "doc_id", "text")
+
+
+def _firsts(docs: DataFrame, **options) -> DataFrame:
     heads = link(docs, **options).select("first").distinct().select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
     marked = docs.withColumn("_own", text_key())
     return (marked.join(heads, marked.doc_id.cast("long").eqNullSafe(heads["_id"]) & (marked["_own"] == heads["_key"]))

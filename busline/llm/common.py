@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +29,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def beside(op: Callable[[DataFrame], DataFrame], rows: DataFrame, *used: str) -> DataFrame:
+    """``op`` over the columns ``used`` of ``rows``; the others travel past it as one value, so no name of theirs can clash.
+
+    Gives the columns of ``rows`` in order, without those that a new column of the same name replaces, then the new columns.
+    """
+    named = [c for c in rows.columns if c in used]
+    place = {c: f"_rest{n}" for n, c in enumerate(c for c in rows.columns if c not in used)}
+    slim = rows.select(*[F.col(f"`{c}`") for c in named], F.struct(*[F.col(f"`{c}`").alias(p) for c, p in place.items()], F.lit(0).alias("_rest")).alias("_rest"))
+    out = op(slim)
+    new = [c for c in out.columns if c not in slim.columns]
+    # a generator takes the value apart: the optimizer does not reach through it
+    wide = out.select(*[c for c in out.columns if c != "_rest"], F.inline(F.array("_rest")))
+    return wide.select(*[F.col(f"`{c}`") if c in named else F.col(place[c]).alias(c) for c in rows.columns if c not in new], *new)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

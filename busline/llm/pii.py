@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from busline.llm.common import stored, without
+from busline.llm.common import beside, stored
 from busline.operators.validate import once
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -36,7 +36,7 @@ GENERATORS: list[tuple[str, bool, str]] = [
     ("ip", True, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     ("card", True, r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++"),
     ("phone", True, r"\+[0-9][\x20().0-9-]+[0-9]"),
-    ("email", False, rf"(?<!{_LOCAL}){_LOCAL}++\x20?[\[(]at[\])]\x20?{_HOST}++(?:\x20?(?:\.|[\[(]dot[\])])\x20?{_HOST}++){{1,8}}"),
+    ("email", False, rf"(?<!{_LOCAL}){_LOCAL}++\x20?[\[(]at[\])]\x20?{_HOST}++(?:\x20?(?:\.|[\[(]dot[\])])\x20?{_HOST}++)++"),
     ("card", False, r"(?<![0-9])[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}(?![0-9])"),
     ("phone", False, r"\+[0-9]{1,3}[\x20(.-]{0,2}[0-9]{3}[\x20).-]{0,2}[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])"),
     ("phone", False, r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"),
@@ -89,6 +89,10 @@ def _described(n: int, match: Column, before: Column, after: Column, end: Column
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``_found``: all candidates of each text, with their features. One row at a time."""
+    return beside(lambda rows: _candidates(rows, text), docs, text)
+
+
+def _candidates(docs: DataFrame, text: str) -> DataFrame:
     found = once(docs, F.coalesce(F.col(text), F.lit("")).alias("_body"))
     found = once(found, *[F.regexp_extract_all("_body", F.lit(p), F.lit(0)).alias(f"_m{n}") for n, (_, _, p) in enumerate(GENERATORS)])
     # what lies between matches, and where the matches end
@@ -186,7 +190,11 @@ def fit(found: DataFrame, precision: float = PRECISION) -> Model:
 
 def select(found: DataFrame, model: Model) -> DataFrame:
     """Replace ``_found`` by ``spans``: array of (kind, start, end, base), by start, then the order of KINDS, then end."""
-    slim = once(without(found, "spans"), F.filter("_found", lambda c: c["base"] & c["right"]).alias("_base"))
+    return beside(lambda rows: _selected(rows, model), found, "_found").drop("_found")
+
+
+def _selected(found: DataFrame, model: Model) -> DataFrame:
+    slim = once(found, F.filter("_found", lambda c: c["base"] & c["right"]).alias("_base"))
     limit = F.lit(model.thresholds)
     more = F.filter("_found", lambda c: (~(c["base"] & c["right"])) & (model.score(c) >= F.get(limit, c["kind"])) & ~F.exists(
         "_base", lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"])))
@@ -195,7 +203,7 @@ def select(found: DataFrame, model: Model) -> DataFrame:
     names = F.lit(KINDS)
     spans = F.transform(joined, lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"),
                                                    s["end"].alias("end"), s["base"].alias("base")))
-    return once(slim, spans.alias("spans")).drop("_found", "_base")
+    return once(slim, spans.alias("spans")).drop("_base")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -203,7 +211,10 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Overlapping spans become one, named after the first. Other columns stay. Candidates are found twice: to fit, and to apply.
     """
-    docs = without(docs, "spans")
+    return beside(lambda rows: _redacted(rows, text), docs, text)
+
+
+def _redacted(docs: DataFrame, text: str) -> DataFrame:
     model = fit(candidates(docs.select(text), text))
     marked = select(candidates(docs, text), model)
     step = F.aggregate(

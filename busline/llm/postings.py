@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from busline.llm.common import slices, stored, text_key
+from busline.llm.common import beside, slices, stored, text_key
 
 SEGMENT_CHARS = 6_000_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -295,6 +295,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, share: int
 
 def keep_clean(docs: DataFrame, items: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
     """The documents that are not contaminated, with their columns."""
+    return beside(lambda rows: _clean(rows, items, width, share), docs, "doc_id", "text")
+
+
+def _clean(docs: DataFrame, items: DataFrame, width: int, share: int) -> DataFrame:
     found = decontaminate(docs, items, width, share).filter("contaminated").select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     marked = docs.withColumn("_own", text_key())

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from busline.llm.common import stored, without
+from busline.llm.common import beside, stored, without
 from busline.operators.validate import once
 
 MARKS = r"^\s*(?:>\s?)+"
@@ -117,7 +117,10 @@ def link(messages: DataFrame) -> DataFrame:
 
     Sorting by (conv_id, root, depth, turn) gives reply order. An unlinked message is its own root at depth 0.
     """
-    messages = without(messages, "parent", "root", "depth", "n_quotes", "n_linked")
+    return beside(_linked, messages, "conv_id", "turn", "text")
+
+
+def _linked(messages: DataFrame) -> DataFrame:
     found = stored(parents(messages), "parents")
     placed = found.join(threads(found), ["conv_id", "turn"])
     read = parsed(messages).select(*[F.col("own").alias(c) if c == "text" else F.col(f"`{c}`") for c in messages.columns],

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from busline.llm.common import stored, text_key, without
+from busline.llm.common import beside, stored, text_key, without
 from busline.operators.validate import once
 
 SYMBOLS = "#*$%&|<>"
@@ -86,7 +86,10 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     n_dup_lines: lines with a word that equal an earlier line. n_repeat_words: words in windows of three words that occur
     twice or more in the text. One row at a time; input columns of the same names are replaced.
     """
-    docs = without(docs, *COUNTS, "n_lines", "n_closed", "n_stops", "n_distinct", "n_capitals", "n_shouts")
+    return beside(lambda rows: _counted(rows, text), docs, text)
+
+
+def _counted(docs: DataFrame, text: str) -> DataFrame:
     body = once(docs, F.coalesce(F.col(text), F.lit("")).alias("_body"))
     split = once(
         body, F.filter(F.split("_body", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "").alias("_words"),
@@ -198,6 +201,10 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     Votes are taken once and written without the texts, which the kept keys then pick out.
     """
+    return beside(_good, docs, "doc_id", "text")
+
+
+def _good(docs: DataFrame) -> DataFrame:
     named = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text")
     votes = stored(voted(counted(named)).select("doc_id", "text_key", "votes", "n_words", "n_repeat_words"), "votes")
     good = judged(votes, fit(votes)).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from busline.llm.common import stored, text_key, without
+from busline.llm.common import beside, stored, text_key
 from busline.operators.validate import once
 
 LEAST_WORDS = 50
@@ -86,7 +86,10 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
     All rows and columns stay; an input column ``n_removed`` is replaced.
     """
-    docs = without(docs, "n_removed")
+    return beside(lambda rows: _dedup(rows, least), docs, "doc_id", "text")
+
+
+def _dedup(docs: DataFrame, least: int) -> DataFrame:
     gone = repeats(docs, least).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
     marked = docs.withColumn("_own", text_key())
     joined = marked.join(gone, marked.doc_id.cast("long").eqNullSafe(gone["_id"]) & (marked["_own"] == gone["_key"]), "left")
