@@ -238,6 +238,20 @@ def stationary_by_speed(readings: DataFrame, limits: C.Thresholds = C.DEFAULTS,
     return alert(held.filter(F.col("_long") & ~F.col("_halo")), "STATIONARY", F.lit("Bus stationary for over 5 minutes"))
 
 
+def spatial_features(readings: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: int = chunked.HOUR_MS) -> DataFrame:
+    """Inputs of the spatial forest for every reading on a route.
+
+    The stationary duration runs from the first reading of a slow spell: the one that a selection without end takes after each reset.
+    """
+    moving = ~F.coalesce(F.col("speed") < limits.slow_speed_kmh, F.lit(False))
+    rows = _active(readings).select("bus_id", "t", "speed", "off_route_m", "next_stop_m", "progress_pct", moving.alias("moving"))
+    spells = chunked.paced(rows, ["bus_id"], "t", 1 << 60, width=width, reset="moving")
+    still = F.when(F.col("moving"), 0.0).otherwise((F.col("t") - F.coalesce("last", "t")) / 1000.0)
+    values = {"route_deviation_meters": F.col("off_route_m"), "speed_kmh": F.col("speed"), "stationary_duration_sec": still,
+              "distance_to_next_stop_m": F.col("next_stop_m"), "route_progress_pct": F.col("progress_pct")}
+    return spells.select("bus_id", "t", *[F.coalesce(values[f], F.lit(0.0)).alias(f) for f in C.SPATIAL_FEATURES])
+
+
 def communication_loss(readings: DataFrame, as_of_ms: int, limits: C.Thresholds = C.DEFAULTS,
                        width: int = chunked.HOUR_MS) -> DataFrame:
     """One alert per silence: the next reading, or the as-of time, is too far away."""

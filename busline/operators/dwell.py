@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from busline import contracts as C
@@ -101,18 +101,26 @@ def dwell(visits: DataFrame, limits: C.Thresholds = C.DEFAULTS, width: int = chu
         state=f"stop {kind}, entry long, last long, previous long", added="dwell_current_s long, dwell_prev_s long")
 
 
+def grouped_median(rows: DataFrame, key: list[str], value: str, out: str) -> DataFrame:
+    """(key, out): the exact median of each group, by rank among the counts of its distinct values; the mean of the middle two."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*key)
+    ranked = counts.withColumns({"_upto": F.sum("_n").over(group.orderBy(value)), "_all": F.sum("_n").over(group)})
+    low, high = (F.min(F.when(F.col("_upto") * 2 >= F.col("_all") + more, F.col(value))) for more in (0, 1))
+    return ranked.groupBy(*key).agg(((low + high) / 2).alias(out))
+
+
 def dwell_quality(stays: DataFrame) -> DataFrame:
     """Documented quality rules: slow and long enough to be a stop, terminal layover, median fill.
 
-    The median is approximate with 1e-4 relative rank error, so it merges partial sketches.
+    A missing previous dwell is filled with the exact median of the stop and hour.
     """
-    median = stays.groupBy("stop_id", "hour").agg(
-        F.percentile_approx("dwell_prev_s", 0.5, 10000).alias("_median"))
+    median = grouped_median(stays, ["stop_id", "hour"], "dwell_prev_s", "_median")
     return (stays.join(median, ["stop_id", "hour"], "left")
             .withColumns({
                 "is_dwell": (F.col("speed_ms") < 1) & (F.col("dwell_current_s") > 10),
                 "is_layover": F.col("dwell_current_s") > 300,
-                "dwell_prev_filled_s": F.coalesce("dwell_prev_s", "_median")}).drop("_median"))
+                "dwell_prev_filled_s": F.coalesce(F.col("dwell_prev_s").cast("double"), "_median")}).drop("_median"))
 
 
 def dwell_statistics(reports: DataFrame) -> DataFrame:

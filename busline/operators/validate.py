@@ -235,8 +235,11 @@ def dlq_envelope(df: DataFrame, value: str = "payload", topic: str = "source_top
         F.col(topic).alias("source_topic"), scalars.iso_utc(F.col("received_at")).alias("received_at"))
 
 
-def crowd_contract(df: DataFrame) -> DataFrame:
-    """Crowd report field rules; ``error_reason`` is NULL when the report is valid."""
+def crowd_contract(df: DataFrame, header: str | None = None) -> DataFrame:
+    """Crowd report field rules; ``error_reason`` is NULL when the report is valid.
+
+    ``header`` names the column of the passenger that the gateway verified: where there is one, it replaces the report's own.
+    """
     checks = [
         F.when(~F.coalesce(_length_ok(F.col("trip_id"), 64), F.lit(False)), "trip_id: length must be 1..64"),
         F.when(F.col("route_id").isNull(), "route_id: required"),
@@ -246,7 +249,10 @@ def crowd_contract(df: DataFrame) -> DataFrame:
         F.when(F.length("passenger_id") > 128, "passenger_id: length must be at most 128"),
     ]
     reason = F.array_compact(F.array(*checks))
-    return df.withColumn("error_reason", F.when(F.size(reason) > 0, F.array_join(reason, "; ")))
+    checked = df.withColumn("error_reason", F.when(F.size(reason) > 0, F.array_join(reason, "; ")))
+    if header is None:
+        return checked
+    return checked.withColumn("passenger_id", F.coalesce(F.nullif(F.col(header), F.lit("")), F.col("passenger_id")))
 
 
 def ingest_counters(df: DataFrame, reason: str = "error_type") -> DataFrame:

@@ -287,13 +287,14 @@ def dwell_times(spark, sf):
 
 @query("dwell_quality", oracle("""
 SELECT d.bus_id, d.t, d.speed / 3.6d < 1 AND d.dwell_current_s > 10 AS is_dwell, d.dwell_current_s > 300 AS is_layover,
-  d.dwell_prev_s IS NULL AS was_missing FROM dwells d""", "telemetry", "lifecycle",
+  d.dwell_prev_s IS NULL AS was_missing, coalesce(CAST(d.dwell_prev_s AS DOUBLE), median(d.dwell_prev_s) OVER (
+    PARTITION BY d.stop_id, floor(d.t / 3600000) % 24)) AS filled_s FROM dwells d""", "telemetry", "lifecycle",
     extra=S.parts(["cleaned", "marks", "line", "behind", "newer"], **_VISITS)))
 def dwell_quality(spark, sf):
     stays = dwell.dwell(_visits(spark, sf), width=3 * chunked.HOUR_MS).withColumns({
         "hour": F.hour(F.timestamp_millis("t")), "speed_ms": F.col("speed") / 3.6})
     return dwell.dwell_quality(stays).select("bus_id", "t", "is_dwell", "is_layover",
-                                             F.col("dwell_prev_s").isNull().alias("was_missing"))
+                                             F.col("dwell_prev_s").isNull().alias("was_missing"), F.col("dwell_prev_filled_s").alias("filled_s"))
 
 
 @query("crowd_by_stop_hour", oracle("""SELECT stop_id, CAST(floor(t / 3600000) % 24 AS BIGINT) AS hour, round(avg(score), 8) AS avg_score,

@@ -32,6 +32,18 @@ def crowd_contract(spark, sf):
     return validate.crowd_contract(rows).select("event_id", "error_reason")
 
 
+@query("crowd_passengers", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'verified' WHEN event_id % 5 <> 0 THEN 'p' || user_id END AS passenger_id,
+  CASE WHEN value > 100 THEN 'occupancy_score: must be between 0 and 100' END AS error_reason FROM events""")
+def crowd_passengers(spark, sf):
+    """Reports whose passenger the gateway has verified: its header, where it has one, replaces the report's own."""
+    from busline.operators import validate
+    rows = view(spark, sf, "ev").withColumns({
+        "trip_id": F.lit("T1"), "route_id": F.lit(1), "stop_id": F.lit(1), "occupancy_score": F.col("value"),
+        "passenger_id": F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("p"), F.col("user_id").cast("string"))),
+        "verified": F.when(F.col("event_id") % 3 == 0, "verified").when(F.col("event_id") % 2 == 0, "")})
+    return validate.crowd_contract(rows, "verified").select("event_id", "passenger_id", "error_reason")
+
+
 _CONSENSUS = {
     "named": "SELECT * FROM crowd_reports WHERE passenger_id IS NOT NULL",
     "judged": """SELECT a.arrival, a.passenger_id, a.score, count(b.arrival) AS others, avg(b.score) AS consensus FROM named a

@@ -80,26 +80,30 @@ def validate_schema_only(spark, sf):
         "event_id", "error_type", "error_reason")
 
 
-@query("validate_location", """
+def _contract_sql(trip: str) -> str:
+    """Verdicts of the GPS contract; ``trip`` is what a message without a trip adds to its failing fields."""
+    fields = {2: None, 3: "speed: must be between 0 and 200", 5: "heading: must be between 0 and 360", 6: "timestamp: must be ISO 8601", 7: None,
+              8: "speed: must be between 0 and 200", 9: "speed: must be between 0 and 200; heading: must be between 0 and 360",
+              10: "lat: must be between -90 and 90", 13: "lat: must be between -90 and 90"}
+    texts = {k: "; ".join(x for x in (v, trip) if x) for k, v in fields.items()} | {12: "heading: must be between 0 and 360"}
+    texts = {k: v for k, v in texts.items() if v}
+    reasons = " ".join(f"WHEN {k} THEN '{v}'" for k, v in texts.items())
+    return f"""
 SELECT event_id, CASE WHEN event_id % 53 = 0 THEN 'JSON_PARSE' WHEN event_id % 53 = 1 THEN 'MISSING_TIMESTAMP'
-  WHEN event_id % 53 IN (3, 4, 5, 6, 8, 9, 10, 12, 13) THEN 'SCHEMA_VALIDATION' WHEN event_id % 53 = 11 THEN 'GEO_BOUNDS' END AS error_type,
-  CASE event_id % 53 WHEN 9 THEN 'speed: must be between 0 and 200; heading: must be between 0 and 360'
-    WHEN 10 THEN 'lat: must be between -90 and 90' WHEN 11 THEN 'Coordinates out of bounds' END AS detail
-FROM events""")
+  WHEN event_id % 53 = 4 OR event_id % 53 IN ({", ".join(map(str, texts))}) THEN 'SCHEMA_VALIDATION' WHEN event_id % 53 = 11 THEN 'GEO_BOUNDS' END AS error_type,
+  CASE event_id % 53 WHEN 0 THEN 'json_parse' WHEN 4 THEN 'schema_validation' WHEN 1 THEN 'Missing required event timestamp'
+    WHEN 11 THEN 'Coordinates out of bounds' {reasons} END AS error_reason FROM events"""
+
+
+@query("validate_location", _contract_sql(""))
 def validate_location(spark, sf):
-    checked = validate.location_contract(validate.decode_gps(dirty_messages(spark, sf)))
-    return checked.select("event_id", "error_type", F.when(F.col("event_id") % 53 >= 9, F.when(
-        F.col("event_id") % 53 <= 11, F.col("error_reason"))).alias("detail"))
+    return validate.location_contract(validate.decode_gps(dirty_messages(spark, sf))).select("event_id", "error_type", "error_reason")
 
 
-@query("validate_with_trip", """
-SELECT error_type, CAST(count(*) AS BIGINT) AS n FROM (
-SELECT CASE WHEN event_id % 53 = 0 THEN 'JSON_PARSE' WHEN event_id % 53 = 1 THEN 'MISSING_TIMESTAMP'
-  WHEN event_id % 53 IN (2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13) THEN 'SCHEMA_VALIDATION' WHEN event_id % 53 = 11 THEN 'GEO_BOUNDS'
-  ELSE 'VALID' END AS error_type FROM events) GROUP BY 1""")
+@query("validate_with_trip", _contract_sql("tripId: length must be 1..50"))
 def validate_with_trip(spark, sf):
     checked = validate.location_contract(validate.decode_gps(dirty_messages(spark, sf)), require_trip=True)
-    return checked.groupBy(F.coalesce("error_type", F.lit("VALID")).alias("error_type")).agg(F.count("*").alias("n"))
+    return checked.select("event_id", "error_type", "error_reason")
 
 
 @query("ingest_counters", """

@@ -105,12 +105,30 @@ def eta_model_metrics(spark, sf):
 
 @query("forest_verdicts")
 def forest_verdicts(spark, sf):
-    """Isolation forest over behaviour windows: verdict counts and the method that fired."""
-    windows = S.materialised(detect.behaviour_windows(S.enriched(spark, sf), width=chunked.HOUR_MS))
+    """Isolation forest over behaviour windows: score and verdict of every window, and the method that raised an alert."""
+    windows = S.materialised(detect.behaviour_windows(S.enriched(spark, sf)))
     trees = forest.grow_forest(windows, C.BEHAVIOURAL_FEATURES, ["bus_id", "t"], trees=200)
-    judged = forest.verdict(forest.score(windows, trees, C.BEHAVIOURAL_FEATURES))
-    alerts = detect.erratic_driving(judged, F.col("forest_anomaly"))
-    return alerts.groupBy(F.get_json_object("detail", "$.detectionMethod").alias("method")).agg(F.count("*").alias("n"))
+    judged = S.materialised(forest.verdict(forest.score(windows, trees, C.BEHAVIOURAL_FEATURES)))
+    alerts = detect.erratic_driving(judged, F.col("forest_anomaly")).select("bus_id", "t", F.get_json_object("detail", "$.detectionMethod").alias("method"))
+    return judged.join(alerts, ["bus_id", "t"], "left").select("bus_id", "t", "forest_score", "forest_anomaly", "method")
+
+
+@query("spatial_features", oracle(f"""SELECT bus_id, t, off_route_m AS route_deviation_meters, speed AS speed_kmh,
+  CASE WHEN speed < 2 THEN (t - min(t) OVER (PARTITION BY bus_id, spell, speed < 2)) / 1000.0d ELSE 0 END AS stationary_duration_sec,
+  next_stop_m AS distance_to_next_stop_m, progress_pct AS route_progress_pct FROM (
+    SELECT *, sum(CASE WHEN speed < 2 THEN 0 ELSE 1 END) OVER (PARTITION BY bus_id ORDER BY t) AS spell FROM enriched WHERE route_id IS NOT NULL)""",
+    *S.ENRICHED_VIEWS, extra=S.parts(S.ENRICHED_PARTS)))
+def spatial_features(spark, sf):
+    """Inputs of the spatial forest, with the running stationary duration."""
+    return detect.spatial_features(S.enriched(spark, sf))
+
+
+@query("spatial_verdicts")
+def spatial_verdicts(spark, sf):
+    """Isolation forest over the spatial features: score and verdict of every reading."""
+    rows = S.materialised(detect.spatial_features(S.enriched(spark, sf)))
+    trees = forest.grow_forest(rows, C.SPATIAL_FEATURES, ["bus_id", "t"], trees=200)
+    return forest.verdict(forest.score(rows, trees, C.SPATIAL_FEATURES)).select("bus_id", "t", "forest_score", "forest_anomaly")
 
 
 _CELLS = {

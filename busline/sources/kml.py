@@ -22,9 +22,11 @@ def _pair(text: Column) -> Column:
 def read_kml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(routes, rejects). Routes: (route_name, loaded_at, coordinates, stops array in file order).
 
-    A file needs one line with at least two points and at least two stops; anything else, or a
-    malformed coordinate, rejects the file.
+    A file needs one line with at least two points and at least two stops; anything else, a file without any
+    placemark included, or a malformed coordinate, rejects the file.
     """
+    # names only: contents are not read
+    listed = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
     marks = (spark.read.format("xml").option("rowTag", "Placemark").schema(PLACEMARK).load(path)
              .select("*", F.col("_metadata.file_path").alias("file"),
                      F.col("_metadata.file_modification_time").alias("loaded_at"),
@@ -44,7 +46,9 @@ def read_kml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
                     lambda x: x["line"]).alias("_lines"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("stop").isNotNull(), F.struct("_pos", "stop")))),
                     lambda x: x["stop"]).alias("stops"))
-    whole = files.withColumn("coordinates", F.flatten("_lines")).drop("_lines")
+    none = F.array()
+    whole = listed.join(files, "file", "left").select(
+        "file", "loaded_at", F.coalesce("stops", none).alias("stops"), F.coalesce(F.flatten("_lines"), none).alias("coordinates"))
     bad_number = (F.exists("coordinates", lambda c: c[0].isNull() | c[1].isNull())
                   | F.exists("stops", lambda s: s["lat"].isNull() | s["lon"].isNull()))
     reason = F.when(bad_number, "MALFORMED_COORDINATE").when(

@@ -25,6 +25,9 @@ TOPICS = {
     "device_config": ("device.config", "latest"),
 }
 
+#: Messages and files that one micro batch takes at most, so that the first one is not the whole topic.
+MOST_OFFSETS, MOST_FILES = 5_000_000, 1_000
+
 FILE_SCHEMA = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("value", T.StringType()),
     T.StructField("arrival", T.LongType()), T.StructField("received_at", T.TimestampType())])
@@ -38,8 +41,6 @@ def kafka_options(topic: str, servers: str, starting: str, max_offsets: int | No
     return options
 
 
-
-
 def arrival_order(received_at: Column, name: str, offset: Column) -> Column:
     """One long that orders messages of all topics: time in milliseconds, lifecycle before other topics, offset."""
     rank = 0 if name == "lifecycle" else 1
@@ -53,8 +54,8 @@ def from_broker(df: DataFrame, name: str) -> DataFrame:
 
 
 def message_stream(spark: SparkSession, name: str, *, servers: str | None = None, path: str | None = None,
-                   max_offsets: int | None = None, max_files: int | None = None) -> DataFrame:
-    """Stream of one of the engine's topics, from Kafka (``servers``) or a JSON folder (``path``)."""
+                   max_offsets: int | None = MOST_OFFSETS, max_files: int | None = MOST_FILES) -> DataFrame:
+    """Stream of one of the engine's topics, from Kafka (``servers``) or a JSON folder (``path``), in bounded micro batches."""
     topic, starting = TOPICS[name]
     if servers:
         return from_broker(spark.readStream.format("kafka")

@@ -238,7 +238,7 @@ LINE = "<Placemark><name>x</name><LineString><coordinates>{}</coordinates></Line
 
 def test_kml_files(spark, folder):
     good = LINE.format("80.0,6.0,0 80.0,7.0,0") + POINT.format("First", "80.0,6.0,0") + POINT.format(" ", "80.0,7.0")
-    bad = {"line-only": LINE.format("80.0,6.0 80.0,7.0"), "broken": LINE.format("80.0,x 80.0,7.0") + POINT.format("a", "80,6") * 2}
+    bad = {"line-only": LINE.format("80.0,6.0 80.0,7.0"), "broken": LINE.format("80.0,x 80.0,7.0") + POINT.format("a", "80,6") * 2, "bare": "<name>x</name>"}
     for name, body in {"good": good, **bad}.items():
         with open(f"{folder}/{name}.kml", "w") as f:
             f.write(KML.format(body))
@@ -247,7 +247,7 @@ def test_kml_files(spark, folder):
     assert routes.count() == 1 and route.route_name == "good" and [list(c) for c in route.coordinates] == [[80.0, 6.0], [80.0, 7.0]]
     assert [s.stop_name for s in route.stops] == ["First", "Unnamed Stop"]
     assert {os.path.basename(r.file): r.reason for r in rejects.collect()} == {
-        "line-only.kml": "NEEDS_LINE_AND_TWO_STOPS", "broken.kml": "MALFORMED_COORDINATE"}
+        "line-only.kml": "NEEDS_LINE_AND_TWO_STOPS", "broken.kml": "MALFORMED_COORDINATE", "bare.kml": "NEEDS_LINE_AND_TWO_STOPS"}
 
 
 def test_polymorphic_payloads(spark):
