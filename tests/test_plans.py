@@ -48,3 +48,19 @@ def test_work_runs_where_the_package_is_not_installed(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     assert "rows 500 500" in done.stdout, done.stderr[-2000:]
+
+
+HISTORY = ["stateful_ingest", "strictly_newer", "trip_context", "dwell", "smoothed_speed", "alert_persistent_off_route", "behaviour_windows",
+           "alert_stationary", "alert_stationary_by_speed", "alert_communication_loss", "alert_trip_not_started"]
+
+
+def test_building_history_queries_starts_no_job(spark):
+    """The small dimension tables and the tables' schemas are read once before; telemetry is not touched until a result is asked for."""
+    context = spark.sparkContext
+    entry.queries()["enriched_telemetry"](spark, SF)
+    entry.queries()["trip_requests"](spark, SF)
+    for name in HISTORY:
+        context.setJobGroup(f"building {name}", name)
+        entry.queries()[name](spark, SF)
+        assert not context.statusTracker().getJobIdsForGroup(f"building {name}"), name
+    context.setJobGroup("tests", "")
