@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busline.operators import spatial
-from busline.session import cut_lineage
+from busline.session import written
 
 CELL_DEG = 0.0005
 
@@ -37,10 +37,11 @@ def clusters(cells: DataFrame) -> DataFrame:
     """Connected groups of neighbouring dense cells with weighted centroids.
 
     Smallest-label propagation with a jump to the label's own label, so rounds grow with the
-    logarithm of a cluster's extent. Each round is checkpointed and ends when no label changes.
+    logarithm of a cluster's extent. Each round is written and ends when no label changes. A checkpoint keeps the
+    planner's size of the joins that made it, which squares from round to round; a written round has the size of its files.
     """
     label = F.struct("cy", "cx")
-    labelled = cut_lineage(cells.withColumn("label", label))
+    labelled = written(cells.withColumn("label", label), "hotspots")
     while True:
         offers = _around(labelled.select("cy", "cx", "label"), "n").groupBy(
             F.col("ncy").alias("cy"), F.col("ncx").alias("cx")).agg(F.min("label").alias("_best"))
@@ -48,7 +49,7 @@ def clusters(cells: DataFrame) -> DataFrame:
         jump = stepped.select(F.col("cy").alias("_jy"), F.col("cx").alias("_jx"), F.col("_new").alias("_jump"))
         moved = (stepped.join(jump, (F.col("_new.cy") == F.col("_jy")) & (F.col("_new.cx") == F.col("_jx")), "left")
                  .withColumn("_new", F.least("_new", "_jump")))
-        after = cut_lineage(moved.select(*[c for c in cells.columns], F.col("label").alias("_old"), F.col("_new").alias("label")))
+        after = written(moved.select(*cells.columns, F.col("label").alias("_old"), F.col("_new").alias("label")), "hotspots")
         changed = after.filter(F.col("_old") != F.col("label")).limit(1).count()
         labelled = after.drop("_old")
         if not changed:

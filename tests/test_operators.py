@@ -359,6 +359,15 @@ def test_hotspots_join_neighbouring_cells(spark):
     assert got == {1: 900_000, 2: 300_000}
 
 
+def test_hotspot_rounds_keep_a_known_size(spark):
+    # one winding cluster: it takes several rounds, and the planner's size of a round must not square with each
+    cells = spark.range(200).select(F.expr("id div 20 * 2").alias("cy"), F.expr("IF(id div 20 % 2 = 0, id % 20, 19 - id % 20)").alias("cx"))
+    turns = spark.range(9).select(F.expr("id * 2 + 1").alias("cy"), F.expr("IF(id % 2 = 0, 19, 0)").cast("long").alias("cx"))
+    found = hotspots.clusters(cells.unionByName(turns).withColumns({"n": F.lit(10), "lat_sum": F.lit(1.0), "lon_sum": F.lit(1.0)}))
+    assert rows_of(found.select("points", "cells")) == [(2090, 209)]
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 40
+
+
 def test_eta_model_beats_nothing_and_respects_gate(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(1500)
     data = rows.select(
