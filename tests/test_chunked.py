@@ -148,3 +148,24 @@ def test_broker_arrivals_of_a_hot_key_share_chunks(spark, monkeypatch):
     verdicts = validate.stateful_ingest(rows).select("arrival", "verdict")
     assert rows_of(verdicts) == rows_of(validate.stateful_ingest(rows, width=WHOLE).select("arrival", "verdict"))
     assert seen and max(seen) <= 4
+
+
+def test_many_small_groups_share_one_call(spark):
+    """A call between Spark and Python for every key and chunk took most of the time of the ingest rules."""
+    rows = [(None if i % 50 == 0 else f"k{i % 50}", i * 7 % 1009) for i in range(1009)] + [("big", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, t long").dropDuplicates()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        out = paced(df, ["k"], "t", 9, width=250, ordinal=True)
+        got = {(r.k, r.t): (r.chosen, r.ordinal) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, last = {}, {}
+    for k, t in sorted(set(rows), key=lambda r: (str(r[0]), r[1])):
+        at, n = last.get(k, (None, 0))
+        chosen = at is None or t - at >= 9
+        want[k, t] = (chosen, n)
+        if chosen:
+            last[k] = (t, n + 1)
+    assert got == want
+    assert "GroupsInArrow" not in out._jdf.queryExecution().executedPlan().toString()
