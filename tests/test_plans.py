@@ -7,6 +7,7 @@ import sys
 import pytest
 
 import __spark_entry__ as entry
+from busline.session import spread
 
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -64,3 +65,11 @@ def test_building_history_queries_starts_no_job(spark):
         entry.queries()[name](spark, SF)
         assert not context.statusTracker().getJobIdsForGroup(f"building {name}"), name
     context.setJobGroup("tests", "")
+
+
+def test_costly_rows_are_dealt_by_the_size_of_their_files(spark, tmp_path):
+    """A table in few large splits is dealt to more parts as it grows, so that no task grows with it."""
+    path = f"{tmp_path}/t.parquet"
+    spark.range(200_000).selectExpr("id", "uuid() AS u").coalesce(8).write.parquet(path)
+    table = spark.read.parquet(path)
+    assert spread(table, 256 << 10).rdd.getNumPartitions() > 2 * spread(table).rdd.getNumPartitions()
