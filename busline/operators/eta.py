@@ -41,6 +41,7 @@ def smooth_speed(features: DataFrame, trip_ends: DataFrame | None = None, limits
 
     Needs (trip_id, t, speed_ms) with ``t`` unique per trip. Only rows and ends inside the recency window count, so each chunk
     sees copies of those before it, and one window over short lists gives the mean. An end counts before a reading of the same instant.
+    Speeds are added newest first: whether a mean near the least speed counts as slow hangs on the last bit of that sum.
     """
     line = features.withColumn("_end", F.lit(None).cast("long"))
     if trip_ends is not None:
@@ -51,7 +52,7 @@ def smooth_speed(features: DataFrame, trip_ends: DataFrame | None = None, limits
     last = by_time.rowsBetween(-(limits.smoothing_rows - 1), 0)
     recent = F.filter(F.collect_list(F.struct("t", "speed_ms")).over(last), lambda p: (
         (p["t"] >= F.col("t") - limits.smoothing_ms) & (F.col("_since").isNull() | (p["t"] >= F.col("_since")))))
-    total = F.aggregate("_recent", F.lit(0.0), lambda acc, p: acc + p["speed_ms"])
+    total = F.aggregate(F.reverse("_recent"), F.lit(0.0), lambda acc, p: acc + p["speed_ms"])
     return (ended.withColumn("_recent", recent).filter(~F.col("_halo"))
             .select(*features.columns, (total / F.size("_recent")).alias("smoothed_ms"), F.size("_recent").alias("smoothing_rows")))
 

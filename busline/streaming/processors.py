@@ -401,7 +401,11 @@ class SpeedSmoothing(StatefulProcessor):
                 continue
             kept = [*kept, (t, float(row["speed_ms"]))][-self.limits.smoothing_rows:]
             kept = [p for p in kept if p[0] >= t - self.limits.smoothing_ms]
-            out.append((key[0], t, sum(v for _, v in kept) / len(kept), len(kept), row["body"]))
+            # plainly, newest first, as the batch form does; Python's sum() would round otherwise
+            total = 0.0
+            for _, v in reversed(kept):
+                total += v
+            out.append((key[0], t, total / len(kept), len(kept), row["body"]))
         if kept:
             self.recent.put(kept)
         else:

@@ -428,3 +428,23 @@ def test_enriched_progress_stays_in_range(spark):
         assert 0 <= r.routeProgressPct <= 100 and r.onRoute == (not r.offRoute) and len(r.stopsAhead) == r.stopsRemaining
         assert r.routeId is not None or (not r.offRoute and r.offRouteDistanceM == 0)
         assert (r.nextStopId is None) == (r.stopsRemaining == 0)
+
+
+#: Speeds whose mean is 1.4 on paper: added oldest first it is not below 1.4, newest first it is, and the other way round.
+TIED_SPEEDS = {"A": [2.2901, 1.4694, 0.4405], "B": [1.7389, 0.7364, 1.7247]}
+
+
+def test_speeds_are_added_newest_first_as_in_the_sql(spark):
+    import duckdb
+
+    from busline.plans import estimates
+    rows = [(trip, 1000 * i, v) for trip, speeds in TIED_SPEEDS.items() for i, v in enumerate(speeds)]
+    con = duckdb.connect(config={"threads": 1})
+    con.execute("CREATE TABLE ranked (trip_id VARCHAR, t BIGINT, speed_ms DOUBLE, rn BIGINT, end_t BIGINT)")
+    con.executemany("INSERT INTO ranked VALUES (?, ?, ?, ?, NULL)", [(*r, r[1] // 1000 + 1) for r in rows])
+    want = sorted(con.execute(f"SELECT trip_id, t, total / n FROM ({estimates._FEATURES['smoothed']})").fetchall())
+    df = spark.createDataFrame(rows, "trip_id string, t long, speed_ms double")
+    for width in (1 << 60, 120_000):
+        assert sorted(tuple(r) for r in eta.smooth_speed(df, width=width).select("trip_id", "t", "smoothed_ms").collect()) == want
+    slow = {trip: v < 1.4 for trip, t, v in want if t == 2000}
+    assert slow == {"A": True, "B": False}

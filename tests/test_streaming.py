@@ -424,3 +424,12 @@ def test_kafka_options():
     options = readers.kafka_options("t", "host:1", "latest", 500)
     assert options["startingOffsets"] == "latest" and options["maxOffsetsPerTrigger"] == "500"
     assert readers.TOPICS["eta_features"][1] == "latest" and readers.TOPICS["telemetry"][1] == "earliest"
+
+
+def test_smoothing_adds_speeds_as_the_batch_form(spark, folder):
+    rows = spark.createDataFrame([(trip, 1000 * i, v) for trip, speeds in (("A", [2.2901, 1.4694, 0.4405]), ("B", [1.7389, 0.7364, 1.7247]))
+                                  for i, v in enumerate(speeds)], "trip_id string, t long, speed_ms double")
+    stream = as_stream(spark, rows.withColumn("end", F.lit(False)), folder, "tied", "t", files=1)
+    live = jobs.smoothed(stream.filter("not end"), stream.filter("end"))
+    assert rows_of(run(spark, live, folder, "tied").select("trip_id", "t", "smoothed_ms")) == rows_of(
+        eta.smooth_speed(rows, width=WHOLE).select("trip_id", "t", "smoothed_ms"))
