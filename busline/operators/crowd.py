@@ -109,6 +109,8 @@ def live_occupancy(requests: DataFrame, reports: DataFrame, profiles: DataFrame,
     No request meets a report. Reports are summed per (place, instant), the instants that requests
     ask about are added with zero weight, and one trailing window over these instants answers them
     all. Requests then pick up their instant's answer, one row per (place, instant).
+    The window runs backwards, so that trust is added newest first: a blend exactly on the edge of two labels hangs on the
+    last bit of these sums.
     """
     sums = ["_n", "_s", "_t", "_st"]
     said = with_trust(reports, profiles, limits).groupBy(*PLACE, "t").agg(
@@ -118,7 +120,7 @@ def live_occupancy(requests: DataFrame, reports: DataFrame, profiles: DataFrame,
         *PLACE, "t", F.lit(0).cast("long").alias("_n"), *[F.lit(0.0).alias(c) for c in sums[1:]])
     instants = said.unionByName(asked).groupBy(*PLACE, "t").agg(*[F.sum(c).alias(c) for c in sums])
     halo = chunked.range_halo(instants, "t", limits.crowd_window_ms, width)
-    back = Window.partitionBy(*PLACE, CHUNK).orderBy("t").rangeBetween(-limits.crowd_window_ms, 0)
+    back = Window.partitionBy(*PLACE, CHUNK).orderBy(F.desc("t")).rangeBetween(0, limits.crowd_window_ms)
     totals = halo.select(*PLACE, "t", "_halo", *[F.sum(c).over(back).alias(n) for c, n in zip(
         sums, ["report_count", "score_sum", "trust_sum", "weighted_sum"])]).filter(~F.col("_halo")).drop("_halo")
     return requests.join(totals, [*PLACE, "t"], "left").withColumn(

@@ -448,3 +448,15 @@ def test_speeds_are_added_newest_first_as_in_the_sql(spark):
         assert sorted(tuple(r) for r in eta.smooth_speed(df, width=width).select("trip_id", "t", "smoothed_ms").collect()) == want
     slow = {trip: v < 1.4 for trip, t, v in want if t == 2000}
     assert slow == {"A": True, "B": False}
+
+
+def test_trust_is_added_newest_first(spark):
+    """Blends of 40 on paper: added oldest first the first one is SEMI_FULL and the second NOT_FULL, newest first the other way round."""
+    said = {1: [(19, 1), (51, 10), (66, 2), (19, 1), (17, 0)], 2: [(48, 0), (62, 1), (70, 2), (33, 2), (36, 2)]}
+    reports = spark.createDataFrame([(place, 7, f"p{trust}", float(score), 1000 * i) for place, rows in said.items()
+                                     for i, (score, trust) in enumerate(rows)], "route_id long, stop_id long, passenger_id string, score double, t long")
+    profiles = spark.createDataFrame([(f"p{trust}", trust / 100) for trust in range(11)], "passenger_id string, trust_score double")
+    asked = spark.createDataFrame([(place, place, 7, 9000) for place in said], "request_id long, route_id long, stop_id long, t long")
+    out = crowd.hybrid_prediction(crowd.live_occupancy(asked, reports, profiles), F.lit(20)).collect()
+    assert {r.request_id: r.prediction for r in out} == {1: "NOT_FULL", 2: "SEMI_FULL"}
+    assert all(abs(r.final_score - 40) < 1e-9 for r in out)
