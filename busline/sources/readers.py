@@ -87,11 +87,12 @@ def history_scan(points: DataFrame, as_of_ms: int, back_ms: int, measurement: st
                  time: str = "t") -> DataFrame:
     """Long points of the trailing range, one row per (time, tags) with the fields as columns.
 
-    The fields are named, so the pivot needs no extra pass, and a group is as large as that list.
+    The fields are named, so one hash aggregation turns the points of a reading into its row, before the shuffle already;
+    a pivot would sort and shuffle all points twice.
     """
     recent = points.filter((F.col("measurement") == measurement) & (F.col(time) >= as_of_ms - back_ms))
     tagged = recent.withColumn("_tags", F.array_sort(F.map_entries("tags")))
-    return (tagged.groupBy(time, "_tags").pivot("field", fields).agg(F.first("value"))
+    return (tagged.groupBy(time, "_tags").agg(*[F.first(F.when(F.col("field") == f, F.col("value")), ignorenulls=True).alias(f) for f in fields])
             .withColumn("tags", F.map_from_entries("_tags")).drop("_tags"))
 
 

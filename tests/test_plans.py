@@ -73,3 +73,8 @@ def test_costly_rows_are_dealt_by_the_size_of_their_files(spark, tmp_path):
     spark.range(200_000).selectExpr("id", "uuid() AS u").coalesce(8).write.parquet(path)
     table = spark.read.parquet(path)
     assert spread(table, 256 << 10).rdd.getNumPartitions() > 2 * spread(table).rdd.getNumPartitions()
+
+
+def test_points_become_readings_in_one_hash_aggregation(spark):
+    text = plan(spark, "history_pivot")
+    assert "SortAggregate" not in text and text.count("hashpartitioning") == 1
