@@ -54,8 +54,9 @@ def grow_forest(df: DataFrame, features: list[str], row_key: list[str], trees: i
     rate = F.least(F.lit(1.0), F.lit(1.5 * sample) / F.greatest(df.agg(F.count("*")).scalar(), F.lit(1)))
     unit = lambda *cols: F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
     keyed = [F.col(c) for c in row_key]
-    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: unit(F.lit(seed), t, *keyed) < F.col("_rate"))
-    dealt = df.withColumn("_rate", rate).withColumn("tree", F.explode(chosen))
+    # a filter above the generator is compiled, a lambda over the tree numbers would be interpreted for each row and tree
+    dealt = df.withColumn("_rate", rate).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).filter(
+        unit(F.lit(seed), F.col("tree"), *keyed) < F.col("_rate"))
     rows = dealt.select("tree", F.xxhash64(F.lit(seed), "tree", *keyed).alias("_order"),
                         *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
 
@@ -74,21 +75,27 @@ class Packed:
 
     def __init__(self, forest: DataFrame):
         trees = [r.asDict() for r in forest.orderBy("tree").collect()]
-        self.trees = [tuple(np.array(t[c]) for c in ("feature", "cut", "left", "right", "depth")) for t in trees]
+        self.trees = [self._pack(*[np.array(t[c]) for c in ("feature", "cut", "left", "right", "depth")]) for t in trees]
         self.scale = _expected_depth(float(max((t["rows"] for t in trees), default=2)))
 
+    @staticmethod
+    def _pack(feature: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray, leaf: np.ndarray) -> tuple:
+        """(feature, cut, children, leaf, levels): a leaf is its own child, so all rows take the same number of steps."""
+        inner, here = feature >= 0, np.arange(len(feature))
+        children = np.column_stack([np.where(inner, left, here), np.where(inner, right, here)]).ravel()
+        level = np.zeros(len(feature), dtype=int)
+        for node in np.flatnonzero(inner):
+            level[[left[node], right[node]]] = level[node] + 1
+        return np.where(inner, feature, 0), cut, children, leaf, int(level.max())
+
     def rate(self, data: np.ndarray) -> np.ndarray:
         """Anomaly scores in (0, 1) of rows of features."""
         depth = np.zeros(len(data))
-        for feature, cut, left, right, leaf in self.trees:
+        values, row = np.ascontiguousarray(data).ravel(), np.arange(len(data)) * data.shape[1]
+        for feature, cut, children, leaf, levels in self.trees:
             at = np.zeros(len(data), dtype=int)
-            while True:
-                inner = feature[at] >= 0
-                if not inner.any():
-                    break
-                f = np.where(inner, feature[at], 0)
-                goes_left = data[np.arange(len(data)), f] < cut[at]
-                at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
+            for _ in range(levels):
+                at = children[2 * at + np.logical_not(values[row + feature[at]] < cut[at])]
             depth += leaf[at]
         return 2.0 ** (-(depth / len(self.trees)) / self.scale)
 

@@ -460,3 +460,21 @@ def test_trust_is_added_newest_first(spark):
     out = crowd.hybrid_prediction(crowd.live_occupancy(asked, reports, profiles), F.lit(20)).collect()
     assert {r.request_id: r.prediction for r in out} == {1: "NOT_FULL", 2: "SEMI_FULL"}
     assert all(abs(r.final_score - 40) < 1e-9 for r in out)
+
+
+def test_forest_draws_are_compiled_and_scores_are_those_of_the_trees(spark):
+    import numpy as np
+    df = spark.range(3000).select(F.col("id").alias("k"), (F.xxhash64("id") % 100 / 7.0).alias("a"), (F.xxhash64("id", F.lit(1)) % 10 / 3.0).alias("b"))
+    grown = forest.grow_forest(df, ["a", "b"], ["k"], trees=20)
+    assert "lambda" not in grown._jdf.queryExecution().executedPlan().toString()
+    packed, data = forest.Packed(grown), np.random.default_rng(2).uniform(-15, 15, (200, 2))
+
+    def depth(tree, point):
+        at = 0
+        while tree.feature[at] >= 0:
+            at = (tree.left if point[tree.feature[at]] < tree.cut[at] else tree.right)[at]
+        return tree.depth[at]
+
+    rows = grown.orderBy("tree").collect()
+    want = [2.0 ** (-(sum(depth(t, p) for t in rows) / len(rows)) / packed.scale) for p in data]
+    assert np.allclose(packed.rate(data), want, rtol=1e-12)
