@@ -73,12 +73,13 @@ def tree_outcome(distance: Column, speed: Column, predicted: Column, limits: C.T
 
 
 def cascade(df: DataFrame, model: Column | str = "xgboost", distance: str = "distance_m", speed: str = "speed_ms",
-            tree: str = "tree_eta", seasonal: str = "seasonal_eta", segment: str = "segment_mode",
+            tree: str | None = "tree_eta", seasonal: str = "seasonal_eta", segment: str = "segment_mode",
             weather: float = 1.0,
             physics: Callable[[Column, Column], Column] = scalars.physics_eta) -> DataFrame:
     """Choose tree score, seasonal forecast or physics; rows that ask for an unknown model are dropped.
 
-    ``tree`` and ``seasonal`` are score columns joined beforehand, NULL where no model exists.
+    ``tree`` and ``seasonal`` are score columns joined beforehand, NULL where no model exists. A bus at its stop needs no
+    score, so it counts as scored by the trees; without any trees (``tree`` is None) it does not.
     ``physics`` can be replaced by any function of two columns with the same struct shape.
     """
     asked = F.lower(F.trim(model if isinstance(model, Column) else F.lit(model)))
@@ -87,7 +88,8 @@ def cascade(df: DataFrame, model: Column | str = "xgboost", distance: str = "dis
     base = physics(d, v)
     fast = scalars.expressway_eta(d, v, weather)
     simple = F.when(mode == "expressway", fast).otherwise(base)
-    t = tree_outcome(d, v, F.col(tree))
+    t = tree_outcome(d, v, F.lit(None).cast("double") if tree is None else F.col(tree))
+    usable = F.lit(False) if tree is None else t["usable"]
     tree_full = F.struct(t["eta_seconds"].alias("eta_seconds"), F.greatest(d, F.lit(0.0)).alias("distance_m"),
                          t["speed_ms"].alias("speed_ms"), t["clamped"].alias("clamped"))
     forecast = F.struct(F.greatest(F.lit(0.0), F.col(seasonal)).alias("eta_seconds"), d.alias("distance_m"),
@@ -98,11 +100,11 @@ def cascade(df: DataFrame, model: Column | str = "xgboost", distance: str = "dis
 
     no = F.lit(False)
     has_forecast = F.col(seasonal).isNotNull()
-    tree_kept = t["usable"] & ~t["clamped"]
+    tree_kept = usable & ~t["clamped"]
     picked = (
         F.when(asked == "physics", outcome(simple, F.lit("physics"), no))
         .when((asked == "sarima") & has_forecast, outcome(forecast, F.lit("sarima"), no))
-        .when((asked == "sarima") & t["usable"],
+        .when((asked == "sarima") & usable,
               outcome(tree_full, F.when(t["clamped"], "physics").otherwise("xgboost"), t["clamped"]))
         .when(asked == "sarima", outcome(base, F.lit("physics"), F.lit(True)))
         .when(tree_kept, outcome(tree_full, F.lit("xgboost"), no))
@@ -129,16 +131,17 @@ def estimated(rows: DataFrame, trees: Flat | None = None, seasonal: DataFrame |
     the cascade goes on to the next model.
     """
     none = F.lit(None).cast("double")
+    tree = None if trees is None else "tree_eta"
     if trees is None:
         scored = rows.withColumn("tree_eta", none)
     else:
         inputs = feature_columns(F.col("distance_m"), F.col("speed_ms"), F.col("stops_remaining"), F.timestamp_millis("t"))
         scored = rows.withColumn("tree_eta", trees.column(*[inputs[c] for c in C.ETA_FEATURES]))
     if seasonal is None:
-        return cascade(scored.withColumn("seasonal_eta", none), model)
+        return cascade(scored.withColumn("seasonal_eta", none), model, tree=tree)
     told = seasonal.select(F.col("route_id").cast("string").alias("_route"), F.col("stop_id").cast("long").alias("_stop"), "seasonal_eta")
     met = scored.join(told, (F.col("route_id") == F.col("_route")) & (F.col("next_stop_id") == F.col("_stop")), "left")
-    return cascade(met.drop("_route", "_stop"), model)
+    return cascade(met.drop("_route", "_stop"), model, tree=tree)
 
 
 def stop_name(stops: Column, stop_id: Column) -> Column:
@@ -201,7 +204,7 @@ def answer_requests(requests: DataFrame, snapshots: DataFrame, scores: DataFrame
         rows = rows.withColumns({"tree_eta": F.lit(None).cast("double"), "seasonal_eta": F.lit(None).cast("double")})
     else:
         rows = rows.join(scores, ["trip_id", "stop_id"], "left")
-    answered = cascade(rows.filter(F.col("reason").isNull()), F.col("model"))
+    answered = cascade(rows.filter(F.col("reason").isNull()), F.col("model"), tree=None if scores is None else "tree_eta")
     columns = ["request_id", "trip_id", "stop_id", "reason", "eta_seconds", "distance_m", "speed_ms", "model_used",
                "clamped", "fallback"]
     refused = rows.filter(F.col("reason").isNotNull()).select(

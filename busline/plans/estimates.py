@@ -113,10 +113,8 @@ def model_cascade(spark, sf):
 
 
 def estimates(spark, sf):
-    rows = features(spark, sf).withColumns({
-        "distance_m": F.col("next_stop_m"), "speed_ms": F.col("smoothed_ms"), "tree_eta": F.lit(None).cast("double"),
-        "seasonal_eta": F.lit(None).cast("double")})
-    return eta.cascade(rows, "xgboost")
+    """Estimates without any trained model."""
+    return eta.estimated(features(spark, sf).withColumns({"distance_m": F.col("next_stop_m"), "speed_ms": F.col("smoothed_ms")}))
 
 
 _ESTIMATES = {**_FEATURES, "est": """SELECT *, next_stop_m / greatest(v, 1.4d) AS eta_seconds, v < 1.4d AS clamped FROM feats""",

@@ -207,6 +207,15 @@ def test_custom_physics_function(spark):
     assert eta.cascade(rows, "physics", physics=slow).first().eta_seconds == 40
 
 
+def test_a_bus_at_its_stop_is_scored_by_trees_only_where_there_are_any(spark):
+    rows = spark.createDataFrame([(0.0, 5.0, None, None, "urban")], "distance_m double, speed_ms double, tree_eta double, "
+                                                                    "seasonal_eta double, segment_mode string")
+    with_trees, without = eta.cascade(rows, "xgboost").first(), eta.estimated(rows).first()
+    assert (with_trees.model_used, with_trees.fallback) == ("xgboost", False)
+    assert (without.model_used, without.fallback, without.eta_seconds, without.clamped) == ("physics", True, 0.0, False)
+    assert eta.estimated(rows, model="sarima").first().model_used == "physics"
+
+
 def test_startup_buffer_keeps_the_first_rows(spark):
     df = spark.range(0, 50).select(F.col("id").alias("arrival"))
     out = context.startup_buffer(df, 30, size=10)

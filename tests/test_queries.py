@@ -31,8 +31,8 @@ def text(value):
     return f"{value:.9g}" if isinstance(value, float) else str(value)
 
 
-def compare(spark, database, name):
-    df = entry.queries()[name](spark, SF)
+def compare(spark, database, name, folder=SF):
+    df = entry.queries()[name](spark, folder)
     columns = sorted(df.columns)
     result = database.execute(entry.oracle_sql()[name])
     names = [d[0] for d in result.description]
@@ -55,6 +55,17 @@ def test_chunked_history_equals_sql(spark, database, name, monkeypatch):
     compare(spark, database, name)
 
 
+def test_records_of_buses_at_their_last_stop_equal_sql(spark, tmp_path):
+    """A month later every bus that moves stands at the end of its line, at distance 0 from the last stop."""
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        later = " REPLACE (ts + INTERVAL 30 DAY AS ts)" if f == "events.parquet" else ""
+        con.execute(f"COPY (SELECT *{later} FROM '{SF}/{f}') TO '{tmp_path}/{f}'")
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{tmp_path}/{f}'")
+    compare(spark, con, "eta_stream_records", str(tmp_path))
+    assert con.execute(entry.oracle_sql()["eta_stream_records"] + " WHERE next_stop_m = 0").fetchall()
+
+
 def test_queries_without_sql_run(spark):
     for name in sorted(set(entry.queries()) - set(entry.oracle_sql())):
         assert entry.queries()[name](spark, SF).count() > 0
