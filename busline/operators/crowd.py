@@ -102,27 +102,43 @@ def with_trust(reports: DataFrame, profiles: DataFrame, limits: C.Thresholds = C
             .withColumn("trust", F.coalesce("trust_score", F.lit(limits.default_trust))).drop("trust_score"))
 
 
+def exact_parts(value: Column, name: str) -> dict[str, Column]:
+    """A double from 2^-14 to 2^33, or 0, as whole numbers of 2^-30 and 2^-66; these add up exactly, in any order."""
+    scaled = value * 2.0 ** 30
+    whole = F.floor(scaled)
+    return {f"{name}_hi": whole, f"{name}_lo": ((scaled - whole) * 2.0 ** 36).cast("long")}
+
+
+def exact_sum(name: str) -> Column:
+    """The sum of such parts, rounded once."""
+    return F.col(f"{name}_hi") * 2.0 ** -30 + F.col(f"{name}_lo") * 2.0 ** -66
+
+
 def live_occupancy(requests: DataFrame, reports: DataFrame, profiles: DataFrame, limits: C.Thresholds = C.DEFAULTS,
-                   width: int = 3 * chunked.HOUR_MS) -> DataFrame:
+                   width: int = 3 * chunked.HOUR_MS, exact: bool = False) -> DataFrame:
     """Requests (request_id, route_id, stop_id, t) with sums over the reports of the last 20 minutes.
 
     No request meets a report. Reports are summed per (place, instant), the instants that requests
     ask about are added with zero weight, and one trailing window over these instants answers them
     all. Requests then pick up their instant's answer, one row per (place, instant).
     The window runs backwards, so that trust is added newest first: a blend exactly on the edge of two labels hangs on the
-    last bit of these sums.
+    last bit of these sums. With ``exact`` they are rounded once instead, and no order of the reports matters.
     """
-    sums = ["_n", "_s", "_t", "_st"]
+    added = {"_t": F.col("trust"), "_st": F.col("score") * F.col("trust")}
+    if exact:
+        added = {n: part for name, value in added.items() for n, part in exact_parts(value, name).items()}
+    sums = ["_n", "_s", *added]
     said = with_trust(reports, profiles, limits).groupBy(*PLACE, "t").agg(
-        F.count("*").alias("_n"), F.sum("score").cast("double").alias("_s"), F.sum("trust").alias("_t"),
-        F.sum(F.col("score") * F.col("trust")).alias("_st"))
+        F.count("*").alias("_n"), F.sum("score").cast("double").alias("_s"), *[F.sum(c).alias(n) for n, c in added.items()])
     asked = requests.select(*PLACE, "t").distinct().select(
-        *PLACE, "t", F.lit(0).cast("long").alias("_n"), *[F.lit(0.0).alias(c) for c in sums[1:]])
+        *PLACE, "t", *[F.lit(0).cast(said.schema[c].dataType).alias(c) for c in sums])
     instants = said.unionByName(asked).groupBy(*PLACE, "t").agg(*[F.sum(c).alias(c) for c in sums])
     halo = chunked.range_halo(instants, "t", limits.crowd_window_ms, width)
     back = Window.partitionBy(*PLACE, CHUNK).orderBy(F.desc("t")).rangeBetween(0, limits.crowd_window_ms)
-    totals = halo.select(*PLACE, "t", "_halo", *[F.sum(c).over(back).alias(n) for c, n in zip(
-        sums, ["report_count", "score_sum", "trust_sum", "weighted_sum"])]).filter(~F.col("_halo")).drop("_halo")
+    totals = halo.select(*PLACE, "t", "_halo", *[F.sum(c).over(back).alias(c) for c in sums]).filter(~F.col("_halo"))
+    total = exact_sum if exact else F.col
+    totals = totals.select(*PLACE, "t", F.col("_n").alias("report_count"), F.col("_s").alias("score_sum"),
+                           total("_t").alias("trust_sum"), total("_st").alias("weighted_sum"))
     return requests.join(totals, [*PLACE, "t"], "left").withColumn(
         "avg_live", F.when(F.col("trust_sum") > 0, F.col("weighted_sum") / F.col("trust_sum"))
         .when(F.col("report_count") > 0, F.col("score_sum") / F.col("report_count")))

@@ -111,7 +111,7 @@ def _asked(spark, sf):
 def _live(spark, sf):
     profiles = S.materialised(crowd.trust_profiles(_judged(spark, sf), width=chunked.ARRIVAL_CHUNK))
     reports, asked = view(spark, sf, "crowd_reports"), _asked(spark, sf)
-    return crowd.live_occupancy(asked, reports, profiles, width=CROWD_CHUNK)
+    return crowd.live_occupancy(asked, reports, profiles, width=CROWD_CHUNK, exact=True)
 
 
 @query("live_occupancy", _recursive(f"SELECT request_id, CAST(n AS BIGINT) AS report_count, {S.steady_sql('live', 6)} AS avg_live FROM scored", "ev", **_HYBRID))

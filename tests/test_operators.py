@@ -197,6 +197,20 @@ def test_hybrid_literal(spark):
     assert abs(out.final_score - 62) < 1e-9 and out.prediction == "SEMI_FULL" and out.confidence == 0.9 and out.live_adjustment
 
 
+def test_live_sums_are_rounded_once(spark):
+    """Sums of trust equal the exact ones, whatever the order of the reports, of which two share an instant."""
+    rng = random.Random(3)
+    said = [(7, 8, 1000 * (i - i % 2), rng.randint(0, 100), f"p{rng.randint(0, 30)}") for i in range(60)]
+    profiles = {f"p{i}": rng.randint(0, 100) / 100 for i in range(29)}
+    reports = spark.createDataFrame(said, "route_id int, stop_id int, t long, score long, passenger_id string")
+    trust = spark.createDataFrame(list(profiles.items()), "passenger_id string, trust_score double")
+    requests = spark.createDataFrame([(k, 7, 8, 1000 * k) for k in range(60)], "request_id int, route_id int, stop_id int, t long")
+    for row in crowd.live_occupancy(requests, reports, trust, exact=True).collect():
+        near = [(s, profiles.get(p, 0.8)) for _, _, t, s, p in said if t <= row.t]
+        assert row.trust_sum == math.fsum(w for _, w in near) and row.weighted_sum == math.fsum(s * w for s, w in near)
+        assert row.report_count == len(near) and row.score_sum == sum(s for s, _ in near)
+
+
 def test_custom_physics_function(spark):
     rows = spark.createDataFrame([(100.0, 5.0, None, None, "urban")], "distance_m double, speed_ms double, tree_eta double, "
                                                                       "seasonal_eta double, segment_mode string")
