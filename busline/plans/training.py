@@ -96,7 +96,7 @@ def eta_features(spark, sf):
 def eta_model_metrics(spark, sf):
     """Boosted trees on the records: held-out error per route, with the physics clamp applied."""
     from busline.operators import eta
-    rows = S.materialised(train.eta_features(view(spark, sf, "eta_records")).drop("off_route"))
+    rows = S.materialised(train.eta_features(view(spark, sf, "eta_records")).select("route_id", "record_seq", "line", "eta_seconds", *C.ETA_FEATURES))
     fit_on, test_on = train.split_by_hash(rows, ["record_seq", "line"])
     model = train.train_eta_model(fit_on)
     scored = train.score_eta(model, test_on).withColumn("_t", eta.tree_outcome(F.col("distance_m"), F.col("speed_ms"), F.col("tree_eta")))

@@ -485,6 +485,30 @@ def test_trust_is_added_newest_first(spark):
     assert all(abs(r.final_score - 40) < 1e-9 for r in out)
 
 
+def test_trees_are_trained_on_as_many_rows_as_their_cuts_tell_apart(spark, monkeypatch):
+    """Ten times the records are the same merged rows with ten times the weight; a record and its merged row reach the same leaves."""
+    mix = lambda n, k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n))
+    rows = spark.range(4000).select("id", (mix(100_000, 1) / 7.0).alias("distance_m"), (1.5 + mix(20, 2) / 4.0).alias("speed_ms"), mix(24, 3).cast("double").alias("hour_of_day"),
+                                    F.lit(1.0).alias("day_of_week"), F.when(F.col("id") % 5 > 0, 0.0).alias("is_weekend"), F.lit(1.0).alias("stops_remaining"))
+    rows = rows.withColumn("physics_eta", F.col("distance_m") / F.col("speed_ms")).withColumn("eta_seconds", F.col("physics_eta") + F.col("hour_of_day") * 10).persist()
+    values = train.standing_values(rows, C.ETA_FEATURES)
+    assert values["hour_of_day"] == [float(h) for h in range(24)] and len(values["distance_m"]) == 32 and values["day_of_week"] == [1.0]
+    once = train.merged(rows, C.ETA_FEATURES, "eta_seconds").collect()
+    tenfold = train.merged(rows.crossJoin(spark.range(10).toDF("copy")), C.ETA_FEATURES, "eta_seconds").collect()
+    assert len(once) < 4000 and sum(r.weight for r in once) == 4000
+    cells = lambda found: {tuple(r[c] for c in C.ETA_FEATURES): r for r in found}
+    first, second = cells(once), cells(tenfold)
+    assert first.keys() == second.keys() and all(second[k].weight == 10 * r.weight and abs(second[k].eta_seconds - r.eta_seconds) < 1e-6 for k, r in first.items())
+    sizes, fit = [], train.Pipeline.fit
+    monkeypatch.setattr(train.Pipeline, "fit", lambda self, df: sizes.append(df.count()) or fit(self, df))
+    model = train.train_eta_model(rows.crossJoin(spark.range(3).toDF("copy")), trees=5, depth=4)
+    assert sizes == [len(once)]
+    told = train.score_eta(model, rows).select("id", F.col("tree_eta").alias("of_row"))
+    near = rows.select("id", *[train.snapped(F.col(c), values[c]).alias(c) for c in C.ETA_FEATURES])
+    both = train.score_eta(model, near).join(told, "id")
+    assert both.count() == 4000 and both.filter("tree_eta <> of_row").count() == 0
+
+
 def test_forest_draws_are_compiled_and_scores_are_those_of_the_trees(spark):
     import numpy as np
     df = spark.range(3000).select(F.col("id").alias("k"), (F.xxhash64("id") % 100 / 7.0).alias("a"), (F.xxhash64("id", F.lit(1)) % 10 / 3.0).alias("b"))
